@@ -1 +1,18 @@
 """Named queries: operators bound to tables, each beside the SQL it must equal."""
+
+from __future__ import annotations
+
+from importlib import import_module
+
+from .registry import ORACLES, QUERIES
+
+_MODULES = (
+    "tape_checks",
+)
+
+
+def load_all() -> tuple[dict, dict]:
+    """Import every query module once and return the registry."""
+    for name in _MODULES:
+        import_module(f"{__name__}.{name}")
+    return QUERIES, ORACLES
