@@ -8,6 +8,7 @@ from .registry import ORACLES, QUERIES
 
 _MODULES = (
     "tape_checks",
+    "asof_queries",
 )
 
 

@@ -219,7 +219,7 @@ def session_clock_buckets(spark, sf):
     f"""WITH {TAPE_SQL}, l AS (SELECT *, (ts_us + 19800000000) % {DAY} / 1000000.0 AS s FROM tape),
     f AS (SELECT *, 2 * 3.141592653589793 * (s - 33300) / 22500 AS a FROM l WHERE s >= 33300 AND s <= 55800)
     SELECT seq, round(sin(a), 6) AS phase_sin, round(cos(a), 6) AS phase_cos,
-      round((s - 33300) / 60.0, 6) AS minutes_from_open, round((55800 - s) / 60.0, 6) AS minutes_to_close,
+      round((s - 33300) / 60.0, 8) AS minutes_from_open, round((55800 - s) / 60.0, 8) AS minutes_to_close,
       CAST(date_diff('day', CAST(make_timestamp(ts_us + 19800000000) AS DATE), DATE '2024-02-01') AS INTEGER) AS dte FROM f""",
 )
 def session_phase_features(spark, sf):
@@ -228,7 +228,7 @@ def session_phase_features(spark, sf):
     rows = tape(spark, sf).where(C.in_session(t))
     return rows.select(
         "seq",
-        *[F.round(c, 6).alias(n) for n, c in C.session_phase(t).items()],
+        *[F.round(c, 8 if n.startswith("minutes") else 6).alias(n) for n, c in C.session_phase(t).items()],
         C.calendar_days(t, expiry).alias("dte"),
     )
 
