@@ -9,6 +9,7 @@ from .registry import ORACLES, QUERIES
 _MODULES = (
     "tape_checks",
     "asof_queries",
+    "book_queries",
 )
 
 

@@ -9,6 +9,7 @@ from ..functions.book import TICK
 from ..operators.asof import asof, asof_offsets
 from ..operators.slices import nxt, ordered_scan, run_sum
 from ..operators.trades import classify_prints
+from ..session import cut_lineage
 from .bindings import BOOKS_SQL, DAY, HOUR, KEYS, TAPE_SQL, books, slices_for, table, tape, time_slices
 from .registry import query
 
@@ -554,7 +555,11 @@ def lagged_placebo_source(spark, sf):
 )
 def same_side_print_return(spark, sf):
     cuts = time_slices(spark, sf)
-    signed = classified(spark, sf).where(F.col("side").isin("buy", "sell")).select("instrument_id", "side", "seq", "ts_us", "price")
+    signed = cut_lineage(
+        classified(spark, sf)
+        .where(F.col("side").isin("buy", "sell"))
+        .select("instrument_id", "side", "seq", "ts_us", "price")
+    )
     started = asof(
         anchors(spark, sf), signed, keys=KEYS, left_ts="ts_us", right_ts="ts_us", values=["side"],
         slices=cuts, right_ties=["seq"], prefix="",

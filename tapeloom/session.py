@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -29,16 +31,19 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame, fallback_dir: str | None = None) -> DataFrame:
-    """Materialise an iterated plan on storage every executor can read again.
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise a plan that later steps read several times, on storage every executor can reach.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. ``fallback_dir`` is only
-    for sessions without that setting, such as a test on one machine.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a local-mode session
+    without that setting gets a folder of its own.
     """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or fallback_dir
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            raise ValueError("set spark.checkpoint.dir to a shared folder before iterating")
-        spark.sparkContext.setCheckpointDir(folder)
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a shared folder")
+            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
