@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of the market conventions.
@@ -166,56 +166,97 @@ def depth_weighted_offset(levels: Column, mid: Column) -> Column:
 
 def size_build_slope(levels: Column, best_price: Column) -> Column:
     """Least-squares slope of quantity on distance from best; at least three levels."""
+    zero = F.lit(0.0)
+
+    def add(a: Column, x: Column) -> Column:
+        d, q = F.abs(x["price"] - best_price), x["quantity"].cast("double")
+        return F.struct(
+            (a["x"] + d).alias("x"), (a["y"] + q).alias("y"), (a["xx"] + d * d).alias("xx"), (a["xy"] + d * q).alias("xy")
+        )
+
     n = F.size(levels).cast("double")
-    mean_x = F.aggregate(levels, F.lit(0.0), lambda a, x: a + F.abs(x["price"] - best_price)) / n
-    mean_y = F.aggregate(levels, F.lit(0.0), lambda a, x: a + x["quantity"].cast("double")) / n
-    sxx = F.aggregate(
-        levels,
-        F.lit(0.0),
-        lambda a, x: a + (F.abs(x["price"] - best_price) - mean_x) * (F.abs(x["price"] - best_price) - mean_x),
-    )
-    sxy = F.aggregate(
-        levels,
-        F.lit(0.0),
-        lambda a, x: a + (F.abs(x["price"] - best_price) - mean_x) * (x["quantity"] - mean_y),
+    return F.when(
+        F.size(levels) >= 3,
+        F.aggregate(
+            levels,
+            F.struct(*[zero.alias(k) for k in ("x", "y", "xx", "xy")]),
+            add,
+            lambda a: F.when(
+                n * a["xx"] - a["x"] * a["x"] > 1e-9,
+                (n * a["xy"] - a["x"] * a["y"]) / (n * a["xx"] - a["x"] * a["x"]),
+            ),
+        ),
     )
-    return F.when((F.size(levels) >= 3) & (sxx > 0), sxy / sxx)
 
 
-def quadratic_shape(ladder: Column, tick: float = TICK) -> Column:
-    """Slope and curvature of distance (ticks) on log cumulative size over five levels.
+def stage(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column the optimiser evaluates once.
 
-    Closed-form solution of the three centred normal equations, as struct<slope, curvature>.
+    A plain projection is substituted into every later use, including filters pushed below it; a
+    one-element explode is a border those rewrites do not cross.
     """
-    xs, ys = [], []
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def add_quadratic_shape(df: DataFrame, ladder: str, name: str, tick: float = TICK) -> DataFrame:
+    """Add struct<slope, curvature> of distance (ticks) on log cumulative size over five levels.
+
+    Closed-form centred normal equations. The sums are staged as columns of their own so that no
+    intermediate is evaluated twice.
+    """
+    points = []
     cumulative = F.lit(0.0)
     for i in range(5):
         level = F.get(ladder, i)
         cumulative = cumulative + level["quantity"].cast("double")
-        xs.append(F.log1p(cumulative))
-        ys.append(F.abs(level["price"] - best(ladder)) / F.lit(tick))
-    points = F.transform(
-        F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in zip(xs, ys, strict=True)]),
-        lambda p: F.struct(p["x"].alias("x"), (p["x"] * p["x"]).alias("z"), p["y"].alias("y")),
+        points.append(
+            F.struct(
+                F.log1p(cumulative).alias("x"),
+                (F.abs(level["price"] - F.get(ladder, 0)["price"]) / F.lit(tick)).alias("y"),
+            )
+        )
+    zero = F.lit(0.0)
+    pts, mean, cov = f"__{name}_p", f"__{name}_m", f"__{name}_c"
+    m, c = F.col(mean), F.col(cov)
+    df = stage(
+        df.withColumn(pts, F.array(*points)),
+        mean,
+        F.aggregate(
+            pts,
+            F.struct(zero.alias("x"), zero.alias("z"), zero.alias("y")),
+            lambda a, p: F.struct(
+                (a["x"] + p["x"]).alias("x"),
+                (a["z"] + p["x"] * p["x"]).alias("z"),
+                (a["y"] + p["y"]).alias("y"),
+            ),
+            lambda a: F.struct((a["x"] / 5.0).alias("x"), (a["z"] / 5.0).alias("z"), (a["y"] / 5.0).alias("y")),
+        ),
     )
 
-    def mean(f) -> Column:
-        return F.aggregate(points, F.lit(0.0), lambda a, p: a + f(p)) / 5.0
+    def centred(a: Column, p: Column) -> Column:
+        x, z, y = p["x"] - m["x"], p["x"] * p["x"] - m["z"], p["y"] - m["y"]
+        return F.struct(
+            (a["xx"] + x * x).alias("xx"),
+            (a["zz"] + z * z).alias("zz"),
+            (a["xz"] + x * z).alias("xz"),
+            (a["xy"] + x * y).alias("xy"),
+            (a["zy"] + z * y).alias("zy"),
+        )
 
-    mx, mz, my = mean(lambda p: p["x"]), mean(lambda p: p["z"]), mean(lambda p: p["y"])
-    sxx = mean(lambda p: (p["x"] - mx) * (p["x"] - mx))
-    szz = mean(lambda p: (p["z"] - mz) * (p["z"] - mz))
-    sxz = mean(lambda p: (p["x"] - mx) * (p["z"] - mz))
-    sxy = mean(lambda p: (p["x"] - mx) * (p["y"] - my))
-    szy = mean(lambda p: (p["z"] - mz) * (p["y"] - my))
-    det = sxx * szz - sxz * sxz
-    return F.when(
-        (F.size(ladder) >= 5) & (det > 1e-12),
-        F.struct(
-            ((sxy * szz - szy * sxz) / det).alias("slope"),
-            ((szy * sxx - sxy * sxz) / det).alias("curvature"),
-        ),
+    df = stage(
+        df, cov, F.aggregate(pts, F.struct(*[zero.alias(k) for k in ("xx", "zz", "xz", "xy", "zy")]), centred)
     )
+    det = c["xx"] * c["zz"] - c["xz"] * c["xz"]
+    return df.withColumn(
+        name,
+        F.when(
+            (F.size(ladder) >= 5) & (det > 25e-12),
+            F.struct(
+                ((c["xy"] * c["zz"] - c["zy"] * c["xz"]) / det).alias("slope"),
+                ((c["zy"] * c["xx"] - c["xy"] * c["xz"]) / det).alias("curvature"),
+            ),
+        ),
+    ).drop(pts, mean, cov)
 
 
 def region_totals(levels: Column) -> dict[str, Column]:
@@ -275,13 +316,21 @@ def state_features(
     return {name: F.when(usable, column) for name, column in out.items()}
 
 
-def lob_features(bids: Column, asks: Column, tick: float = TICK) -> dict[str, Column]:
-    """Five-level book block; every column is null unless the whole block is defined."""
+def lob_features(df: DataFrame, bids: str = "bids", asks: str = "asks", tick: float = TICK) -> DataFrame:
+    """Add the five-level book block as ``lob``; null unless the whole block is defined."""
+    df = add_quadratic_shape(add_quadratic_shape(df, bids, "__bs", tick), asks, "__as", tick)
+    df = df.withColumn(
+        "__t",
+        F.struct(
+            side_sum(bids, "quantity", 5).alias("bt"),
+            side_sum(asks, "quantity", 5).alias("at"),
+            side_sum(bids, "orders", 5).alias("bo"),
+            side_sum(asks, "orders", 5).alias("ao"),
+        ),
+    )
     b1, a1 = best(bids, "quantity").cast("double"), best(asks, "quantity").cast("double")
     bp, ap = best(bids), best(asks)
-    bt, at = side_sum(bids, "quantity", 5), side_sum(asks, "quantity", 5)
-    bo, ao = side_sum(bids, "orders", 5), side_sum(asks, "orders", 5)
-    bshape, ashape = quadratic_shape(bids, tick), quadratic_shape(asks, tick)
+    bt, at, bo, ao = (F.col(f"__t.{k}") for k in ("bt", "at", "bo", "ao"))
     out = {
         "spread_ticks": (ap - bp) / F.lit(tick),
         "microprice_tilt_ticks": ((ap * b1 + bp * a1) / (b1 + a1) - (bp + ap) / 2.0) / F.lit(tick),
@@ -290,31 +339,33 @@ def lob_features(bids: Column, asks: Column, tick: float = TICK) -> dict[str, Co
     }
     for i in range(5):
         b, a = F.get(bids, i), F.get(asks, i)
-        out[f"quantity_imbalance_l{i + 1}"] = imbalance(
-            b["quantity"].cast("double"), a["quantity"].cast("double")
-        )
-        out[f"order_count_imbalance_l{i + 1}"] = imbalance(
-            b["orders"].cast("double"), a["orders"].cast("double")
-        )
-    out["quantity_imbalance_cum1"] = imbalance(b1, a1)
-    out["quantity_imbalance_cum5"] = imbalance(bt, at)
-    out["bid_total_quantity_5"] = bt
-    out["ask_total_quantity_5"] = at
-    out["log1p_bid_total_quantity_5"] = F.log1p(bt)
-    out["log1p_ask_total_quantity_5"] = F.log1p(at)
-    out["order_count_imbalance_cum5"] = imbalance(bo, ao)
-    out["bid_average_order_size_proxy_5"] = F.when(bo > 0, bt / bo)
-    out["ask_average_order_size_proxy_5"] = F.when(ao > 0, at / ao)
-    out["average_order_size_log_ratio_proxy_5"] = F.log(
-        (1.0 + F.when(bo > 0, bt / bo)) / (1.0 + F.when(ao > 0, at / ao))
+        for field, label in (("quantity", "quantity"), ("orders", "order_count")):
+            out[f"{label}_imbalance_l{i + 1}"] = imbalance(b[field].cast("double"), a[field].cast("double"))
+    out |= {
+        "quantity_imbalance_cum1": imbalance(b1, a1),
+        "quantity_imbalance_cum5": imbalance(bt, at),
+        "bid_total_quantity_5": bt,
+        "ask_total_quantity_5": at,
+        "log1p_bid_total_quantity_5": F.log1p(bt),
+        "log1p_ask_total_quantity_5": F.log1p(at),
+        "order_count_imbalance_cum5": imbalance(bo, ao),
+        "bid_average_order_size_proxy_5": bt / bo,
+        "ask_average_order_size_proxy_5": at / ao,
+        "average_order_size_log_ratio_proxy_5": F.log((1.0 + bt / bo) / (1.0 + at / ao)),
+        "bid_slope": F.col("__bs.slope"),
+        "bid_curvature": F.col("__bs.curvature"),
+        "ask_slope": F.col("__as.slope"),
+        "ask_curvature": F.col("__as.curvature"),
+        "slope_asymmetry_ask_minus_bid": F.col("__as.slope") - F.col("__bs.slope"),
+        "curvature_asymmetry_ask_minus_bid": F.col("__as.curvature") - F.col("__bs.curvature"),
+    }
+    defined = (
+        (F.size(bids) >= 5) & (F.size(asks) >= 5) & (bp < ap) & (b1 + a1 > 0) & (bo > 0) & (ao > 0)
+        & F.col("__bs").isNotNull() & F.col("__as").isNotNull()
+    )
+    return stage(df, "lob", F.when(defined, F.struct(*[c.alias(n) for n, c in out.items()]))).drop(
+        "__bs", "__as", "__t"
     )
-    out["bid_slope"], out["bid_curvature"] = bshape["slope"], bshape["curvature"]
-    out["ask_slope"], out["ask_curvature"] = ashape["slope"], ashape["curvature"]
-    out["slope_asymmetry_ask_minus_bid"] = ashape["slope"] - bshape["slope"]
-    out["curvature_asymmetry_ask_minus_bid"] = ashape["curvature"] - bshape["curvature"]
-    usable = (F.size(bids) >= 5) & (F.size(asks) >= 5) & (bp < ap) & (b1 + a1 > 0)
-    defined = usable & bshape.isNotNull() & ashape.isNotNull() & (bo > 0) & (ao > 0)
-    return {name: F.when(defined, column) for name, column in out.items()}
 
 
 def touch_relative(

@@ -30,23 +30,29 @@ def classify(
     """
     dec = "decimal(20,8)"
     twice, both = price.cast(dec) * 2, bid.cast(dec) + ask.cast(dec)
+    absent = bid.isNull() | ask.isNull() | age_ms.isNull()
+    broken = (bid <= 0) | (ask <= 0) | (bid >= ask)
+    degraded = absent | broken | (age_ms > bound_ms)
     reason = (
-        F.when(bid.isNull() | ask.isNull() | age_ms.isNull(), "no_prevailing_quote")
-        .when((bid <= 0) | (ask <= 0) | (bid >= ask), "invalid_quote")
+        F.when(absent, "no_prevailing_quote")
+        .when(broken, "invalid_quote")
         .when(age_ms > bound_ms, "stale_quote")
         .when(twice != both, "quote_rule")
         .when(last_differing.isNull(), "no_prior_differing_trade")
         .otherwise("tick_rule")
     )
     side = (
-        F.when(reason == "quote_rule", F.when(twice > both, "buy").otherwise("sell"))
-        .when(reason == "tick_rule", F.when(price > last_differing, "buy").otherwise("sell"))
+        F.when(degraded, "unclassified")
+        .when(twice > both, "buy")
+        .when(twice < both, "sell")
+        .when(price > last_differing, "buy")
+        .when(price < last_differing, "sell")
         .otherwise("unclassified")
     )
     return F.struct(
         side.alias("side"),
         reason.alias("reason"),
-        reason.isin("no_prevailing_quote", "invalid_quote", "stale_quote").alias("degraded"),
+        degraded.alias("degraded"),
         (increment > last_quantity).alias("coalesced"),
     )
 

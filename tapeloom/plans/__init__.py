@@ -10,6 +10,7 @@ _MODULES = (
     "tape_checks",
     "asof_queries",
     "book_queries",
+    "state_queries",
 )
 
 

@@ -116,6 +116,11 @@ def classified(spark, sf):
     )
 
 
+def stored_prints(spark, sf):
+    """Classified prints as a stored table, the way a tape keeps them for later readers."""
+    return cut_lineage(classified(spark, sf))
+
+
 _CLASS_COLS = (
     "instrument_id, seq, ts_us, round(price, 6) AS price, last_quantity, cumulative_volume, volume_increment, quote_channel, "
     "round(quote_bid, 6) AS quote_bid, round(quote_ask, 6) AS quote_ask, quote_ts, round(quote_age_ms, 3) AS quote_age_ms, "

@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import book as B
 from ..operators import flow
 from ..operators.asof import asof
-from ..operators.slices import ordered_scan, prev, run_sum, sliding
-from .asof_queries import CLASSIFIED_SQL, classified
+from ..operators.slices import ordered_scan, prev, sliding
+from .asof_queries import CLASSIFIED_SQL, stored_prints as classified
 from .bindings import BOOKS_SQL, DAY, HOUR, KEYS, TAPE_SQL, books, tape, time_slices
 from .registry import query
-from ..session import cut_lineage
 
 BIDS, ASKS = "bids", "asks"
 
@@ -124,16 +123,13 @@ def book_region_features(spark, sf):
     FROM u JOIN sh b ON u.seq = b.seq AND b.side = 'bid' JOIN sh a ON u.seq = a.seq AND a.side = 'ask'""",
 )
 def lob_feature_block(spark, sf):
-    feats = B.lob_features(BIDS, ASKS)
     shown = {
         "spread_ticks": 4, "bid_slope": 3, "slope_asymmetry_ask_minus_bid": 3, "bid_curvature": 3,
         "log1p_bid_total_quantity_5": 6, "quantity_imbalance_l3": 6, "order_count_imbalance_l2": 6,
         "average_order_size_log_ratio_proxy_5": 6,
     }
-    return (
-        books(spark, sf).where(feats["spread_ticks"].isNotNull())
-        .select("seq", *[F.round(feats[n], d).alias(n) for n, d in shown.items()])
-    )
+    rows = B.lob_features(books(spark, sf)).where(F.col("lob").isNotNull())
+    return rows.select("seq", *[F.round(f"lob.{n}", d).alias(n) for n, d in shown.items()])
 
 
 @query(
@@ -201,7 +197,6 @@ def level_one_flow_components(spark, sf):
 def component_intensity(spark, sf):
     parts = flow.level_one_components()
     rows = moves(spark, sf)
-    cells = F.inline(F.array(*[F.struct(F.lit(n).alias("component"), c.alias("v")) for n, c in parts.items()]))
     valid = F.col("invalid").isNull()
     # One row of eight sums and the time span: everything else follows from it.
     flat = rows.agg(
@@ -211,7 +206,6 @@ def component_intensity(spark, sf):
         *[F.sum(F.when(valid, c)).alias(f"s_{n}") for n, c in parts.items()],
         *[F.sum(F.when(valid, F.abs(c))).alias(f"a_{n}") for n, c in parts.items()],
     )
-    del cells
     seconds = (F.col("t1") - F.col("t0")) / 1e6
     whole = sum((F.col(f"a_{n}") for n in parts), F.lit(0.0))
     return flat.select(
