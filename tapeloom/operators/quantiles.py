@@ -96,17 +96,17 @@ def rank_correlation(
     pairs = (
         df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
         .groupBy(*groups, x, y)
-        .agg(F.count(F.lit(1)).alias("m"))
+        .agg(F.count(F.lit(1)).alias("__m"))
     )
     def ranked(value: str, cuts: Slices, name: str) -> DataFrame:
-        counted = pairs.groupBy(*groups, value).agg(F.sum("m").alias("n"))
-        cum = ordered_scan(counted, groups, [value], cuts, {"cum": run_sum("n")})
-        return cum.select(*groups, value, (F.col("cum") - F.col("n") + (F.col("n") + 1) / 2.0).alias(name))
+        counted = pairs.groupBy(*groups, value).agg(F.sum("__m").alias("__n"))
+        cum = ordered_scan(counted, groups, [value], cuts, {"cum": run_sum("__n")})
+        return cum.select(*groups, value, (F.col("cum") - F.col("__n") + (F.col("__n") + 1) / 2.0).alias(name))
 
     both = pairs.join(ranked(x, x_slices, "rx"), [*groups, x]).join(ranked(y, y_slices, "ry"), [*groups, y])
-    rx, ry, m = F.col("rx"), F.col("ry"), F.col("m")
+    rx, ry, m = F.col("rx"), F.col("ry"), F.col("__m")
     sums = both.groupBy(*groups).agg(
-        F.sum("m").alias("n"),
+        F.sum("__m").alias("n"),
         F.sum(m * rx).alias("sx"), F.sum(m * ry).alias("sy"),
         F.sum(m * rx * rx).alias("sxx"), F.sum(m * ry * ry).alias("syy"), F.sum(m * rx * ry).alias("sxy"),
     )

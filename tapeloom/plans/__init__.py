@@ -11,6 +11,7 @@ _MODULES = (
     "asof_queries",
     "book_queries",
     "state_queries",
+    "summary_queries",
 )
 
 
