@@ -12,6 +12,8 @@ _MODULES = (
     "book_queries",
     "state_queries",
     "summary_queries",
+    "bar_queries",
+    "chain_queries",
 )
 
 
