@@ -159,28 +159,38 @@ def eligibility(rules: Sequence[tuple[str, Column]]) -> Column:
     return out
 
 
+def _slice_model(z: np.ndarray, k: np.ndarray) -> np.ndarray:
+    theta, rho, psi = np.exp(z[0]), 0.999 * np.tanh(z[1]), np.exp(z[2])
+    core = np.sqrt((psi * k + theta * rho) ** 2 + theta**2 * (1 - rho**2))
+    return 0.5 * (theta + rho * psi * k + core)
+
+
 def _fit(k: np.ndarray, w: np.ndarray) -> tuple[float, float, float, float]:
-    """Deterministic coordinate-grid refinement of a three-parameter slice."""
-    centre = np.array([np.log(max(float(np.median(w)), 1e-6)), -0.3, np.log(min(0.1, np.sqrt(2 * max(float(np.median(w)), 1e-6))))])
-    width = np.array([2.0, 0.69, 3.0])
-    steps = np.linspace(-1.0, 1.0, 9)
-    grid = np.stack(np.meshgrid(steps, steps, steps, indexing="ij"), axis=-1).reshape(-1, 3)
-    best, loss = centre, np.inf
-    for _ in range(26):
-        trial = centre + grid * width
-        theta = np.exp(np.clip(trial[:, 0], -23, 1.6))[:, None]
-        rho = np.clip(trial[:, 1], -0.999, 0.999)[:, None]
-        psi = np.exp(np.clip(trial[:, 2], -23, 1.38))[:, None]
-        core = np.sqrt((psi * k + theta * rho) ** 2 + theta**2 * (1 - rho**2))
-        err = np.mean((0.5 * (theta + rho * psi * k + core) - w) ** 2, axis=1)
-        i = int(np.argmin(err))
-        if err[i] < loss:
-            loss, best = float(err[i]), trial[i]
-        centre, width = best, width * 0.6
-    return (
-        float(np.exp(np.clip(best[0], -23, 1.6))), float(np.clip(best[1], -0.999, 0.999)),
-        float(np.exp(np.clip(best[2], -23, 1.38))), loss,
-    )
+    """Damped least squares for one slice, from a few fixed starting points."""
+    middle = max(float(np.median(w)), 1e-6)
+    best, loss = None, np.inf
+    for rho0 in (-0.3, -0.7, 0.2):
+        z = np.array([np.log(middle), np.arctanh(rho0 / 0.999), np.log(min(0.1, np.sqrt(2 * middle)))])
+        damp, err = 1e-3, w - _slice_model(z, k)
+        for _ in range(200):
+            base = _slice_model(z, k)
+            jac = np.stack([(_slice_model(z + np.eye(3)[i] * 1e-6, k) - base) / 1e-6 for i in range(3)], axis=1)
+            normal, push = jac.T @ jac, jac.T @ err
+            step = np.linalg.lstsq(normal + damp * np.diag(np.diag(normal) + 1e-18), push, rcond=None)[0]
+            trial = np.clip(z + step, [-23, -4, -23], [1.6, 4, 1.38])
+            new = w - _slice_model(trial, k)
+            if new @ new < err @ err:
+                done = err @ err - new @ new < 1e-22
+                z, err, damp = trial, new, max(damp * 0.3, 1e-12)
+                if done:
+                    break
+            else:
+                damp *= 4
+                if damp > 1e12:
+                    break
+        if err @ err < loss:
+            best, loss = z, float(err @ err)
+    return float(np.exp(best[0])), float(0.999 * np.tanh(best[1])), float(np.exp(best[2])), loss / len(k)
 
 
 def fit_slices(points: DataFrame, keys: Sequence[str], k: str, w: str, minimum: int = MIN_CONSENSUS_PAIRS) -> DataFrame:

@@ -14,6 +14,7 @@ _MODULES = (
     "summary_queries",
     "bar_queries",
     "chain_queries",
+    "inference_queries",
 )
 
 

@@ -322,12 +322,12 @@ def parity_feature_columns(spark, sf):
 
 @query(
     "leg_costs",
-    f"""WITH {QUOTES_SQL} SELECT date, side, round(sum(20 + close * oi * 0.00035 + CASE WHEN side = 'PUT' THEN close * oi * 0.001 ELSE 0 END), 4) AS cost, round(avg(100 * (20 + close * oi * 0.00035 + CASE WHEN side = 'PUT' THEN close * oi * 0.001 ELSE 0 END) / (close * oi)), 6) AS cost_pct FROM panel GROUP BY 1, 2""",
+    f"""WITH {QUOTES_SQL} SELECT date, side, round(sum(20 + close * oi * 0.00035 + CASE WHEN side = 'PUT' THEN close * oi * 0.001 ELSE 0 END), 2) AS cost, round(avg(100 * (20 + close * oi * 0.00035 + CASE WHEN side = 'PUT' THEN close * oi * 0.001 ELSE 0 END) / (close * oi)), 6) AS cost_pct FROM panel GROUP BY 1, 2""",
 )
 def leg_costs(spark, sf):
     cost = O.leg_cost(F.col("close"), F.col("oi"), 20.0, 0.00035, 0.001, F.col("side") == "PUT")
     return panel(spark, sf).groupBy("date", "side").agg(
-        F.round(F.sum(cost), 4).alias("cost"), F.round(F.avg(O.cost_fraction(cost, F.col("close"), F.col("oi"))), 6).alias("cost_pct")
+        F.round(F.sum(cost), 2).alias("cost"), F.round(F.avg(O.cost_fraction(cost, F.col("close"), F.col("oi"))), 6).alias("cost_pct")
     )
 
 
