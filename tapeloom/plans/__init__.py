@@ -15,6 +15,8 @@ _MODULES = (
     "bar_queries",
     "chain_queries",
     "inference_queries",
+    "order_queries",
+    "panel_queries",
 )
 
 

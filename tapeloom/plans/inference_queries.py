@@ -252,7 +252,7 @@ def family_shrinkage(spark, sf):
 )
 def past_only_ensemble_weights(spark, sf):
     v = vectors(spark, sf)
-    long = v.select("label", F.inline(F.array(F.struct(F.lit("a").alias("model"), F.col("x1").alias("s")), F.struct(F.lit("b"), F.col("x2")))))
+    long = v.select("label", F.inline(F.array(F.struct(F.lit("a").alias("model"), F.col("x1").alias("s")), F.struct(F.lit("b").alias("model"), F.col("x2").alias("s")))))
     return G.ensemble_weights(long, ["label"], "model", "s", 0.1).withColumn("weight", F.round("weight", 6))
 
 
