@@ -17,6 +17,7 @@ _MODULES = (
     "inference_queries",
     "order_queries",
     "panel_queries",
+    "stream_queries",
 )
 
 

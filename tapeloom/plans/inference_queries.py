@@ -170,8 +170,8 @@ def penalty_selection_out_of_sample(spark, sf):
 
 @query(
     "horse_race_cells",
-    f"""WITH {TAPE_SQL}, g AS (SELECT channel, ts_us // {HOUR} AS slot, arg_max(value, (ts_us, seq)) AS v FROM tape GROUP BY 1, 2), c AS (SELECT a.channel, a.slot, w, h, a.v - p.v AS x, f.v - a.v AS y FROM g a, (VALUES (1), (3)) ww(w), (VALUES (1), (2)) hh(h), g p, g f WHERE p.channel = a.channel AND p.slot = a.slot - w AND f.channel = a.channel AND f.slot = a.slot + h),
-    s AS (SELECT *, median(slot) OVER () AS cut FROM c), t AS (SELECT channel, w, h, count(*) AS n, regr_slope(y, x) AS b, regr_intercept(y, x) AS b0, avg(y) AS my FROM c WHERE slot < 473700 GROUP BY 1, 2, 3)
+    f"""WITH {TAPE_SQL}, g AS MATERIALIZED (SELECT channel, ts_us // {HOUR} AS slot, arg_max(value, (ts_us, seq)) AS v FROM tape GROUP BY 1, 2), ww AS (SELECT a.channel, a.slot, w, a.slot - w AS ps, a.v FROM g a, (VALUES (1), (3)) ww(w)), pp AS (SELECT ww.channel, ww.slot, w, ww.v - p.v AS x, ww.v FROM ww JOIN g p ON p.channel = ww.channel AND p.slot = ww.ps),
+    hh AS (SELECT pp.*, h, slot + h AS fs FROM pp, (VALUES (1), (2)) hh(h)), c AS MATERIALIZED (SELECT hh.channel, hh.slot, w, h, x, f.v - hh.v AS y FROM hh JOIN g f ON f.channel = hh.channel AND f.slot = hh.fs), t AS (SELECT channel, w, h, count(*) AS n, regr_slope(y, x) AS b, regr_intercept(y, x) AS b0, avg(y) AS my FROM c WHERE slot < 473700 GROUP BY 1, 2, 3)
     SELECT c.channel, c.w AS "window", c.h AS horizon, CAST(any_value(t.n) AS DOUBLE) AS train_n, CAST(count(*) AS DOUBLE) AS test_n, round(1 - sum((y - b0 - b * x) ^ 2) / sum((y - my) ^ 2), 5) AS oos_r2 FROM c JOIN t ON c.channel = t.channel AND c.w = t.w AND c.h = t.h WHERE c.slot >= 473706 GROUP BY 1, 2, 3""",
 )
 def horse_race_cells(spark, sf):
