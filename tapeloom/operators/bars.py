@@ -21,9 +21,15 @@ def make_bars(df: DataFrame, keys: Sequence[str], ts: str, tie: str, price: str,
     )
 
 
+def log_return(price: str, before: str) -> Column:
+    """Log return, null unless both prices are positive."""
+    ok = (F.col(price) > 0) & (F.col(before) > 0)
+    return F.when(ok, F.log(F.col(price) / F.col(before)))
+
+
 def log_returns(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], price: str, slices: Slices) -> DataFrame:
     """Adds the log return ``r`` and the previous one ``r1``."""
-    one = ordered_scan(df, keys, order_by, slices, {"__p": prev(price)}).withColumn("r", F.log(F.col(price) / F.col("__p")))
+    one = ordered_scan(df, keys, order_by, slices, {"__p": prev(price)}).withColumn("r", log_return(price, "__p"))
     return ordered_scan(one.drop("__p"), keys, order_by, slices, {"r1": prev("r")})
 
 
@@ -45,7 +51,7 @@ def realized_measures(returns: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def path_measures(df: DataFrame, keys: Sequence[str], clock: str, price: str, slices: Slices) -> DataFrame:
     """Lag-1 autocorrelation, straight-line R2, efficiency ratio and displacement of a price path."""
-    steps = ordered_scan(df, keys, [clock], slices, {"__p": prev(price)}).withColumn("r", F.log(F.col(price) / F.col("__p"))).withColumn(
+    steps = ordered_scan(df, keys, [clock], slices, {"__p": prev(price)}).withColumn("r", log_return(price, "__p")).withColumn(
         "step", F.abs(F.col(price) - F.col("__p"))
     )
     lagged = ordered_scan(steps.drop("__p"), keys, [clock], slices, {"r1": prev("r")})
@@ -62,7 +68,7 @@ def path_measures(df: DataFrame, keys: Sequence[str], clock: str, price: str, sl
     return agg.select(
         *keys, "points", F.when(F.col("den") > 0, F.col("num") / F.col("den")).alias("rho1"), "line_r2",
         F.when(F.col("path") > 0, F.abs(F.col("final") - F.col("first")) / F.col("path")).alias("efficiency"),
-        ((F.col("final") / F.col("first") - 1) * 100).alias("displacement_pct"), "realized_volatility",
+        ((F.try_divide("final", "first") - 1) * 100).alias("displacement_pct"), "realized_volatility",
     )
 
 

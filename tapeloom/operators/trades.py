@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .slices import Slices, last, ordered_scan, prev
 
 # Rule identities stored beside a classification.
@@ -133,7 +134,10 @@ def classify_prints(
     stepped = ordered_scan(
         observed, keys, [ts, seq], slices, {"p0": prev("price"), "v0": prev("cumulative_volume")}
     ).withColumn("turn", F.when(F.col("price") != F.col("p0"), F.col("p0")))
-    quotes = complete_quotes(depth, keys, slices, ts=ts, seq=seq)
+    # Both inputs of the merge are read twice by it. Stored once they are narrow rows; left lazy,
+    # the ladders would be scanned again each time.
+    stepped = cut_lineage(stepped)
+    quotes = cut_lineage(complete_quotes(depth, keys, slices, ts=ts, seq=seq))
     wrapped = F.struct(F.col("quote").alias("q"), F.col("channel").alias("ch"))
     left = stepped.select(*keys, ts, seq, F.struct(*[F.col(c) for c in stepped.columns]).alias("print"))
     right = quotes.select(

@@ -81,10 +81,13 @@ PANEL_SQL = f"""{BOOKS_SQL}, st AS (SELECT instrument_id, seq, ts_us, len(bids)
    CAST(list_sum(list_transform(bids[1:5], lambda x: x.quantity)) AS DOUBLE) AS bd, CAST(list_sum(list_transform(asks[1:5], lambda x: x.quantity)) AS DOUBLE) AS ad FROM books),
 g AS (SELECT instrument_id, unnest(range((min(ts_us) + {STEP - 1}) // {STEP}, max(ts_us) // {STEP} + 1)) * {STEP} AS grid_ts FROM st GROUP BY 1),
 sn AS MATERIALIZED (SELECT g.instrument_id, g.grid_ts, (bp + ap) / 2.0 AS mid, ap - bp AS spread, (ap * bq + bp * aq) / (bq + aq) AS micro, (bd - ad) / (bd + ad) AS imb FROM g ASOF JOIN st s ON g.instrument_id = s.instrument_id AND g.grid_ts >= s.ts_us WHERE s.ok AND g.grid_ts - s.ts_us <= {2 * DAY}),
-panel AS MATERIALIZED (SELECT a.instrument_id, a.grid_ts, ln(a.mid) AS log_mid, a.spread / a.mid AS relative_spread, (a.micro - a.mid) / a.spread AS microprice_dislocation, a.imb AS depth_imbalance, ln(a.mid / l.mid) AS lag_return,
-   sin(2 * 3.141592653589793 * (a.grid_ts % {DAY}) / {float(DAY)}) AS time_sin, cos(2 * 3.141592653589793 * (a.grid_ts % {DAY}) / {float(DAY)}) AS time_cos,
-   (f1.mid - a.mid) / greatest(a.spread / 2.0, 0.025) AS markout_1, (f2.mid - a.mid) / greatest(a.spread / 2.0, 0.025) AS markout_2
-  FROM sn a JOIN sn l ON l.instrument_id = a.instrument_id AND l.grid_ts = a.grid_ts - {STEP} JOIN sn f1 ON f1.instrument_id = a.instrument_id AND f1.grid_ts = a.grid_ts + {STEP} JOIN sn f2 ON f2.instrument_id = a.instrument_id AND f2.grid_ts = a.grid_ts + {2 * STEP})"""
+sq AS MATERIALIZED (SELECT *, grid_ts - {STEP} AS tl, grid_ts + {STEP} AS t1, grid_ts + {2 * STEP} AS t2 FROM sn),
+j0 AS MATERIALIZED (SELECT a.*, l.mid AS lmid FROM sq a JOIN sq l ON l.instrument_id = a.instrument_id AND l.grid_ts = a.tl),
+j1 AS MATERIALIZED (SELECT a.*, f.mid AS mid1 FROM j0 a JOIN sq f ON f.instrument_id = a.instrument_id AND f.grid_ts = a.t1),
+j2 AS MATERIALIZED (SELECT a.*, f.mid AS mid2 FROM j1 a JOIN sq f ON f.instrument_id = a.instrument_id AND f.grid_ts = a.t2),
+panel AS MATERIALIZED (SELECT instrument_id, grid_ts, ln(mid) AS log_mid, spread / mid AS relative_spread, (micro - mid) / spread AS microprice_dislocation, imb AS depth_imbalance, ln(mid / lmid) AS lag_return,
+   sin(2 * 3.141592653589793 * (grid_ts % {DAY}) / {float(DAY)}) AS time_sin, cos(2 * 3.141592653589793 * (grid_ts % {DAY}) / {float(DAY)}) AS time_cos,
+   (mid1 - mid) / greatest(spread / 2.0, 0.025) AS markout_1, (mid2 - mid) / greatest(spread / 2.0, 0.025) AS markout_2 FROM j2)"""
 
 COLUMNS = (
     "log_mid", "relative_spread", "microprice_dislocation", "depth_imbalance", "lag_return", "time_sin", "time_cos", "markout_1", "markout_2",
