@@ -18,6 +18,7 @@ _MODULES = (
     "order_queries",
     "panel_queries",
     "stream_queries",
+    "feature_queries",
 )
 
 
