@@ -21,7 +21,7 @@ def nearest_control(
     covariates: Sequence[str],
     event_id: str,
     control_id: str,
-    slices: Slices,
+    slices: Slices | None = None,
 ) -> DataFrame:
     """For each event the control of its stratum with least squared range-scaled distance, ties by id.
 
@@ -47,6 +47,8 @@ def nearest_control(
         )
 
     left, right = scaled(events, event_id), scaled(controls, control_id)
+    if slices is None:
+        slices = Slices.plan(right, "axis", rows_per_slice=200_000)
     units = [f"u_{c}" for c in covariates]
     guess = left
     for direction, prefix in (("backward", "b_"), ("forward", "f_")):
@@ -79,8 +81,10 @@ def nearest_control(
         b = b.sort_values(control_id)
         pool, ids = b[units].to_numpy(dtype=float), b[control_id].to_numpy()
         best, dist = [], []
-        for start in range(0, len(a), 256):
-            part = a[units].to_numpy(dtype=float)[start : start + 256]
+        asking = a[units].to_numpy(dtype=float)
+        width = max(1, 4_000_000 // len(pool))  # keeps the distance block near 32 MB
+        for start in range(0, len(a), width):
+            part = asking[start : start + width]
             d = np.zeros((len(part), len(pool)))
             for j in range(len(units)):
                 d += (part[:, j, None] - pool[None, :, j]) ** 2

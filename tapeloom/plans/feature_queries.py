@@ -8,7 +8,7 @@ from ..operators import features as X
 from ..operators import flow
 from ..operators.matching import nearest_control, relocations
 from ..operators.quantiles import quantiles
-from ..operators.slices import Slices, ordered_scan, prev, row_no
+from ..operators.slices import ordered_scan, prev, row_no
 from .bindings import DAY, HOUR, TAPE_SQL, slices_for, table, tape, time_slices
 from .book_queries import ATOMIC_SQL, atomic, moves
 from .registry import query
@@ -167,8 +167,7 @@ def matched_controls(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", F.col("o_orderpriority").alias("stratum"), F.col("o_totalprice").alias("a"), F.col("o_custkey").cast("double").alias("b"))
     events = o.where(F.col("o_orderstatus") == "F").select(F.col("o_orderkey").alias("event_id"), "stratum", "a", "b")
     controls = o.where(F.col("o_orderstatus") == "P").select(F.col("o_orderkey").alias("control_id"), "stratum", "a", "b")
-    grid_cuts = Slices(tuple(i * 1e9 / 16 for i in range(1, 16)))
-    out = nearest_control(events, controls, ["stratum"], ["a", "b"], "event_id", "control_id", grid_cuts)
+    out = nearest_control(events, controls, ["stratum"], ["a", "b"], "event_id", "control_id")
     return out.select("event_id", "control_id", F.round("distance", 8).alias("distance"))
 
 

@@ -67,12 +67,25 @@ def satisfies(channels: Column, instruments: Column, start: Column, end: Column)
 
 
 def resolve(requests: DataFrame, handles: DataFrame) -> DataFrame:
-    """Best dataset per request: same trading date, usable status, newest completion first."""
-    usable = handles.where(F.col("status").isin("active", "completed"))
-    pairs = requests.join(usable, "trading_date").where(
+    """Best dataset per request: same trading date, usable status, newest completion first.
+
+    Requests and datasets that look alike to the rule are folded first, so only distinct shapes of
+    one trading date are compared.
+    """
+    shape = ["trading_date", "status", "channels", "instrument_ids", "coverage_start", "coverage_end"]
+    usable = (
+        handles.where(F.col("status").isin("active", "completed"))
+        .groupBy(*shape)
+        .agg(F.max(F.struct("completed_at", "dataset_id")).alias("newest"))
+    )
+    asked = ["trading_date", "req_channels", "req_instruments", "req_start", "req_end", "allow_active"]
+    wanted = requests.select(*asked).distinct()
+    pairs = wanted.join(usable, "trading_date").where(
         (F.col("status") == "completed") | F.col("allow_active")
     ).where(satisfies(F.col("channels"), F.col("instrument_ids"), F.col("coverage_start"), F.col("coverage_end")))
-    best = pairs.groupBy("request_id").agg(
-        F.max_by("dataset_id", F.struct("completed_at", "dataset_id")).alias("dataset_id")
-    )
-    return requests.select("request_id").join(best, "request_id", "left")
+    best = pairs.groupBy(*asked).agg(F.max("newest").alias("newest"))
+    same = None
+    for c in asked:
+        match = requests[c].eqNullSafe(best[c])
+        same = match if same is None else same & match
+    return requests.join(best, same, "left").select("request_id", F.col("newest.dataset_id").alias("dataset_id"))
