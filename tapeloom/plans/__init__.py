@@ -19,6 +19,7 @@ _MODULES = (
     "panel_queries",
     "stream_queries",
     "feature_queries",
+    "study_queries",
 )
 
 

@@ -63,7 +63,7 @@ def _rows(spark: SparkSession) -> int:
 def books(spark: SparkSession, sf_dir: str, levels: int = 6) -> DataFrame:
     """Tape rows with two ladders derived from each row's own fields.
 
-    The reference mid moves in whole ticks with ``value``; every 41st row is crossed and every 53rd
+    The base mid moves in whole ticks with ``value``; every 41st row is crossed and every 53rd
     has no bids, so the refusal branches are exercised.
     """
     seq = F.col("seq")
