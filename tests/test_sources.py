@@ -170,3 +170,14 @@ def test_clock(spark):
     us = [int(dt.datetime(2026, 7, 31, 10, 5, tzinfo=dt.timezone.utc).timestamp() * 1e6), int(dt.datetime(2026, 8, 3, 10, 5, tzinfo=dt.timezone.utc).timestamp() * 1e6)]
     df = spark.createDataFrame([(u,) for u in us], "t long")
     assert [r["x"] for r in df.select(C.in_session(F.col("t")).alias("x")).collect()] == [False, True]
+
+
+def test_functions_travel_by_value():
+    """Workers need neither an install nor the driver's working directory."""
+    from pyspark import cloudpickle
+
+    import tapeloom  # noqa: F401
+    from tapeloom.operators.chain import _fit
+
+    assert "tapeloom" in cloudpickle.list_registry_pickle_by_value()
+    assert len(cloudpickle.dumps(_fit)) > 1000
