@@ -71,7 +71,8 @@ def books(spark: SparkSession, sf_dir: str, levels: int = 6) -> DataFrame:
     half = F.when(seq % 41 == 0, F.lit(-2)).otherwise(1 + seq % 3)
     step = 1 + seq % 2
 
-    def level(i: int, side: int) -> Column:
+    def level(i: Column, side: int) -> Column:
+        i = i.cast("long")
         ticks = base + side * (half + i * step)
         weight = seq * (31 if side < 0 else 37) + i * (17 if side < 0 else 13)
         return F.struct(
@@ -80,12 +81,11 @@ def books(spark: SparkSession, sf_dir: str, levels: int = 6) -> DataFrame:
             (1 + (seq + i * (5 if side < 0 else 7)) % 9).cast("int").alias("orders"),
         )
 
-    # Spelled out level by level: stays in generated code, and a query that only reads the touch
-    # keeps only the touch.
-    bids = F.array(*[level(i, -1) for i in range(levels)])
-    asks = F.array(*[level(i, 1) for i in range(levels)])
-    empty = F.slice(bids, 1, 0)
-    return tape(spark, sf_dir).withColumn("bids", F.when(seq % 53 == 0, empty).otherwise(bids)).withColumn("asks", asks)
+    rungs = F.sequence(F.lit(0), F.lit(levels - 1))
+    bids = F.transform(rungs, lambda i: level(i, -1))
+    asks = F.transform(rungs, lambda i: level(i, 1))
+    rows = tape(spark, sf_dir)
+    return rows.withColumn("bids", F.when(seq % 53 == 0, F.slice(bids, 1, 0)).otherwise(bids)).withColumn("asks", asks)
 
 
 TAPE_SQL = """tape AS (SELECT user_id AS instrument_id, event_id AS seq, epoch_us(ts) AS ts_us,
