@@ -12,7 +12,18 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
-_MODULES = ("decontamination", "sharding", "simhash", "mixing", "quality")
+_MODULES = (
+    "toxicity",
+    "neighbours",
+    "archives",
+    "decontamination",
+    "sharding",
+    "simhash",
+    "url_rules",
+    "mixing",
+    "licenses",
+    "quality",
+)
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
