@@ -60,7 +60,7 @@ def running_base(counts: DataFrame, key: str, value: str, name: str, block: int
     earlier = (Window.unboundedPreceding, -1)
     counts = counts.withColumn("__block", F.floor(F.col(key) / block).cast("long"))
     totals = counts.groupBy("__block").agg(F.sum(value).alias("__total"))
-    totals = totals.select("__block", F.coalesce(F.sum("__total").over(Window.orderBy("__block").rowsBetween(*earlier)), F.lit(0)).alias("__base"))
+    totals = totals.select("__block", F.coalesce(F.sum("__total").over(Window.orderBy("__block").rowsBetween(*earlier)), F.lit(0)).alias("__earlier"))
     inside = F.sum(value).over(Window.partitionBy("__block").orderBy(key).rowsBetween(*earlier))
     out = counts.withColumn("__inside", F.coalesce(inside, F.lit(0))).join(totals, "__block")
-    return out.withColumn(name, F.col("__base") + F.col("__inside")).drop("__block", "__base", "__inside")
+    return out.withColumn(name, F.col("__earlier") + F.col("__inside")).drop("__block", "__earlier", "__inside")

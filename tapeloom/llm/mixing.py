@@ -81,10 +81,6 @@ def _meet(left: DataFrame, per_source: DataFrame) -> DataFrame:
     return left.join(right, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
 
 
-def _below(plan_key: str = "cut_key") -> Column:
-    return F.coalesce(F.col("key") < F.col(plan_key), F.lit(False))
-
-
 def mixed(light: DataFrame, plan: DataFrame) -> DataFrame:
     """Rows of ``light`` with ``taken``: the words the mix takes from each, repeats counted.
 
@@ -93,7 +89,7 @@ def mixed(light: DataFrame, plan: DataFrame) -> DataFrame:
     """
     at_cut = F.coalesce(F.col("key") == F.col("cut_key"), F.lit(False))
     part = F.floor(F.col("part") * F.col("size") / F.col("tie_size")).cast("long")
-    last = F.when(_below(), F.col("size")).when(at_cut, part).otherwise(0)
+    last = F.when(F.col("key") < F.col("cut_key"), F.col("size")).when(at_cut, part).otherwise(0)
     return _meet(light, plan).withColumn("taken", (F.col("epochs") * F.col("size") + last).cast("long"))
 
 
@@ -132,9 +128,10 @@ def op8_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def take_mix(docs: DataFrame) -> DataFrame:
     """``docs`` as the mix takes them: whole rows, each as often as its source's budget asks, the row at the
     cut included. Texts are not shuffled; they meet a table of one row a source."""
-    keyed = docs.withColumns({"__size": words_in(), "key": random_key()})
-    light = stored(keyed.select("source", F.col("__size").alias("size"), "key"), "mix-light")
-    last = F.when(_below() | F.coalesce((F.col("key") == F.col("cut_key")) & (F.col("part") > 0), F.lit(False)), 1).otherwise(0)
-    times = (F.col("epochs") + last).cast("int")
-    taken = _meet(keyed.drop("__size"), plan_mix(light).drop("source_size", "target")).withColumn("__times", times).where("__times > 0")
+    keyed = docs.withColumns({"__size": words_in(), "__key": random_key()})
+    light = stored(keyed.select("source", F.col("__size").alias("size"), F.col("__key").alias("key")), "mix-light")
+    plan = plan_mix(light).select("source", *[F.col(c).alias(f"__{c}") for c in ("epochs", "cut_key", "part")])
+    more = (F.col("__key") < F.col("__cut_key")) | ((F.col("__key") == F.col("__cut_key")) & (F.col("__part") > 0))
+    times = (F.col("__epochs") + F.when(more, 1).otherwise(0)).cast("int")
+    taken = _meet(keyed, plan).withColumn("__times", times).where("__times > 0")
     return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)

@@ -46,19 +46,19 @@ _BYTE_AT = np.arange(8, dtype=np.int64) * 256
 _BITS_OF = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def with_fingerprints(docs: DataFrame, words: int = 3, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns of ``docs`` plus ``fp``; whole texts, null and empty ones give 0."""
+def with_fingerprints(docs: DataFrame, words: int = 3, keep: list[str] | None = None, name: str = "fp") -> DataFrame:
+    """``keep`` columns of ``docs(text)`` plus fingerprint ``name``; whole texts, null and empty ones give 0."""
     small_batches(docs.sparkSession)
-    keep = [c for c in docs.columns if c != "fp"] if keep is None else keep
-    source = docs.select(*keep, F.col(text).alias("__text"))
+    keep = docs.columns if keep is None else keep
+    source = docs.select(*keep) if "text" in keep else docs.select(*keep, "text")
+    at = source.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(t.as_py(), words) for t in batch.column(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps, pa.int64())], names=[*keep, "fp"])
+            fps = pa.array([fingerprint(t.as_py(), words) for t in batch.column(at)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], fps], names=[*keep, name])
 
-    schema = T.StructType([source.schema[c] for c in keep] + [T.StructField("fp", T.LongType())])
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, T.StructType([*source.schema.fields[: len(keep)], T.StructField(name, T.LongType())]))
 
 
 # ---- pivots -------------------------------------------------------------------------------------
@@ -247,9 +247,13 @@ def op6_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
-    """``docs`` with one row of each component kept: the one with the smallest doc_id, then text hash."""
+    """``docs`` with one row of each component kept: the one with the smallest doc_id, then text hash.
+
+    Rows with their fingerprints are written to the shared folder first, so each text is read once; the
+    kept rows' numbers then meet them in one join. Null ids come after all others.
+    """
     uid = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("n"))
-    rows = stored(with_fingerprints(docs.withColumn("__uid", uid), words), "simhash-rows")
-    groups = near_copy_groups(rows.select("fp", F.col("__uid").alias("id")), radius)
+    rows = stored(with_fingerprints(docs.withColumn("__uid", uid), words, name="__fp"), "simhash-rows")
+    groups = near_copy_groups(rows.select(F.col("__fp").alias("fp"), F.col("__uid").alias("id")), radius)
     kept = groups.select(F.col("group_id").alias("__uid")).distinct()
     return rows.join(kept, "__uid", "left_semi").select(*docs.columns)
