@@ -232,7 +232,7 @@ def write_archives(pages: DataFrame, folder: str, settings: Settings = Settings(
             for page_id, url, text, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if sink is None:
                     name = f"pages-{uuid.uuid4().hex}.warc.zst"
-                    sink, held = store.open_output_stream(f"{root}/{name}"), [f"{folder}/{name}", 0, 0]
+                    sink, held = store.open_output_stream(f"{root}/{name}", compression=None), [f"{folder}/{name}", 0, 0]
                     held[2] += sink.write(dictionary_frame(dictionary, s.level)) or 0
                 frame = packer.compress(page_record(page_id, url, text.encode("utf-8", "surrogatepass"), digest, refers_to))
                 sink.write(frame)
@@ -273,7 +273,7 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
             for path, records in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 store, at = fs.FileSystem.from_uri(path)
                 rows, size, n = [], 0, 0
-                with store.open_input_stream(at) as stream:
+                with store.open_input_stream(at, compression=None) as stream:
                     for content in frames(stream):
                         page = parse(content)
                         rows.append(page if with_payload else page._replace(payload=None))

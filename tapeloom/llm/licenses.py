@@ -148,7 +148,30 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES)
     ).drop("uid")
 
 
-@query("op9_diagonal_licenses")
+SQL = rf"""WITH t(template, label, base, words) AS (VALUES {", ".join(f"({n}, '{t.label}', {t.base}, '{t.words}')" for n, t in enumerate(TEMPLATES))}),
+s AS (SELECT *, string_split(words, ' ') AS w FROM t),
+g AS (SELECT template, label, base, len(w) - 2 AS grams, unnest(range(0, len(w) - 2)) AS place, w FROM s),
+tg AS (SELECT template, label, base, grams, place, w[place + 1] || ' ' || w[place + 2] || ' ' || w[place + 3] AS gram FROM g),
+d AS (SELECT row_number() OVER () AS uid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT uid, unnest(range(0, len(w) - 2)) AS word, w FROM d),
+h AS (SELECT uid, template, label, base, grams, word, place, word - place AS diagonal FROM i JOIN tg ON gram = w[word + 1] || ' ' || w[word + 2] || ' ' || w[word + 3]),
+v AS (SELECT uid, template, label, base, grams, diagonal, count(*) AS votes, min(word) AS low, max(word) AS high, min(place) AS since, max(place) AS upto FROM h GROUP BY ALL),
+a AS (SELECT *, CASE WHEN base THEN 1 WHEN coalesce(diagonal - lag(diagonal) OVER o > {NEAR} OR low - lag(high) OVER o > grams, true) THEN 1 ELSE 0 END AS apart FROM v
+  WINDOW o AS (PARTITION BY uid, template ORDER BY diagonal, low)),
+r AS (SELECT *, sum(apart) OVER (PARTITION BY uid, template ORDER BY diagonal, low) AS run FROM a),
+y AS (SELECT *, coalesce(since > lag(upto) OVER (PARTITION BY uid, template, run ORDER BY diagonal, low), true) AS fits FROM r),
+m AS (SELECT uid, template, label, base, grams, run, sum(CASE WHEN fits THEN votes ELSE 0 END) AS votes, min(low) AS first_word, max(high) AS last_start FROM y GROUP BY ALL),
+k AS (SELECT *, least(1.0, CAST(votes AS DOUBLE) / grams) AS coverage FROM m WHERE CASE WHEN base THEN votes = grams
+  ELSE votes >= {ENOUGH} * grams AND last_start - first_word + 1 <= 1.5 * grams + {NEAR} END)
+SELECT any_value(d.doc_id) AS doc_id, CAST(any_value(len(d.w)) AS BIGINT) AS n_words, count(*) FILTER (WHERE base) AS n_base,
+  min(first_word) FILTER (WHERE base) AS first_word, max(first_word) FILTER (WHERE base) AS last_word,
+  coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (WHERE base)), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (WHERE label IS NOT NULL)), ','), '') AS labels,
+  coalesce(max(coverage), 0.0) AS score FROM d LEFT JOIN k USING (uid) GROUP BY uid"""
+
+
+@query("op9_diagonal_licenses", SQL)
 def op9_diagonal_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License places of every document; an empty table gives no rows."""
     return scan_licenses(table(spark, sf_dir, "documents"))

@@ -135,7 +135,45 @@ RULES = [
 ]
 
 
-@query("op7_redirect_equivalence")
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _node_sql(url: str) -> str:
+    def part(pattern: str) -> str:
+        return f"coalesce(regexp_extract({url}, '{pattern}', 1), '')"
+
+    host = f"translate({part('(?s)^.*?://([^/?#]*)')}, '{_UPPER}', '{_LOWER}')"
+    scheme, path = f"translate({part('(?s)^(.*?)://')}, '{_UPPER}', '{_LOWER}')", part("(?s)^.*?://[^/?#]*([^?#]*)")
+    tail = part("(?s)^.*?://[^/?#]*[^?#]*([?][^#]*)?")
+    return f"CASE WHEN contains({url}, '://') THEN {scheme} || '://' || {host} || coalesce(nullif({path}, ''), '/') || {tail} END"
+
+
+def _found_sql(source: str, url: str) -> str:
+    """Rows of ``source`` with host, path and the deciding rule."""
+    host = f"translate(coalesce(regexp_extract({url}, '(?s)^.*?://([^/?#]*)', 1), ''), '{_UPPER}', '{_LOWER}')"
+    path = f"coalesce(regexp_extract({url}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
+    return f"""SELECT h.*, r.rule, r.verdict AS own FROM (SELECT *, {host} AS host, {path} AS path FROM {source}) h
+  LEFT JOIN rules r ON (h.host = r.rhost OR ends_with(h.host, '.' || r.rhost)) AND starts_with(h.path, r.rpath)
+  QUALIFY row_number() OVER (PARTITION BY h.k ORDER BY len(r.rule) DESC NULLS LAST, r.rule DESC) = 1"""
+
+
+SQL = rf"""WITH RECURSIVE rules(verdict, rhost, rpath, rule) AS (VALUES {", ".join(f"('{r.verdict}', '{r.host}', '{r.path}', '{r.host}{r.path}')" for r in RULES)}),
+p AS (SELECT row_number() OVER () AS k, page_id, url, html FROM pages),
+tags AS (SELECT url, unnest(regexp_extract_all(html, '(?is)<link[^>]*>')) AS tag, '(?i)rel\s*=\s*["'']?canonical' AS kind, '(?is)href\s*=\s*["'']?([^"''\s>]+)' AS target FROM p
+  UNION ALL SELECT url, unnest(regexp_extract_all(html, '(?is)<meta[^>]*>')), '(?i)http-equiv\s*=\s*["'']?refresh', '(?is)url\s*=\s*["'']?([^"''\s>]+)' FROM p),
+t AS (SELECT url, regexp_extract(tag, target, 1) AS x FROM tags WHERE contains(url, '://') AND regexp_matches(tag, kind)),
+w AS (SELECT url, CASE WHEN contains(x, '://') THEN x WHEN starts_with(x, '//') THEN regexp_extract(url, '(?s)^(.*?)://', 1) || ':' || x
+  WHEN starts_with(x, '/') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || x END AS x FROM t),
+e AS (SELECT {_node_sql("url")} AS a, {_node_sql("x")} AS b FROM w),
+edges AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
+nodes AS (SELECT row_number() OVER () AS k, a AS node FROM (SELECT DISTINCT a FROM edges)),
+judged AS ({_found_sql("nodes", "node")}),
+bad AS (SELECT node FROM judged WHERE own = 'block' UNION SELECT edges.b FROM bad JOIN edges ON edges.a = bad.node),
+f AS ({_found_sql("p", "url")})
+SELECT page_id, host, path, rule, coalesce(own, CASE WHEN {_node_sql("url")} IN (SELECT node FROM bad) THEN 'block' END, 'allow') AS verdict FROM f"""
+
+
+@query("op7_redirect_equivalence", SQL)
 def op7_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on every page's URL; repeated rows each return a row."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
