@@ -87,11 +87,13 @@ def draw_weights(df: DataFrame, id_cols: Sequence[str], replicates: int, seed: i
     """Block-bootstrap weights: each block appears in each replicate with a Poisson(1) count drawn
     from a seeded hash, so replicates are reproducible and no block leaves its task."""
     u = (F.pmod(F.xxhash64(*[F.col(c) for c in id_cols], "replicate", F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    weight, cumulative, term = F.lit(0), 0.0, 0.36787944117144233
-    for k in range(9):
+    # Steps of the distribution function, as far as the draws can tell them apart.
+    weight, cumulative, term, k = F.lit(0), 0.0, 0.36787944117144233, 0
+    while term > 0.25 / (1 << 30):
         cumulative += term
         weight = weight + (F.col("__u") >= cumulative).cast("int")
-        term /= k + 1
+        k += 1
+        term /= k
     return (
         df.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
         .withColumn("__u", u)

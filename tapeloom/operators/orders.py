@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .slices import Slices, ordered_scan, prev, run_sum
+from .slices import Slices, last_before, ordered_scan, prev, run_sum
 
-# Which event may follow a state.
+# Which event may follow a state, whatever is pending.
 LEGAL_EDGES = (
     ("prepared", "SubmissionStarted"),
     ("prepared", "BrokerRejected"),
@@ -17,24 +17,24 @@ LEGAL_EDGES = (
     ("submission_started", "BrokerRejected"),
     ("submission_started", "SubmissionAmbiguous"),
     ("acknowledged", "FillUpdate"),
-    ("acknowledged", "ModifyRequested"),
-    ("acknowledged", "CancelRequested"),
     ("partially_filled", "FillUpdate"),
-    ("partially_filled", "ModifyRequested"),
-    ("partially_filled", "CancelRequested"),
+    ("filled", "FillUpdate"),
     ("ambiguous_submission", "ReconcileWorking"),
     ("ambiguous_submission", "ReconcileCancelled"),
     ("ambiguous_submission", "ReconcileRejected"),
     ("reconciliation_required", "ReconcileWorking"),
     ("reconciliation_required", "ReconcileCancelled"),
     ("reconciliation_required", "ReconcileRejected"),
-    ("filled", "FillUpdate"),
-    ("filled", "CancelAccepted"),
-    ("cancelled", "CancelAccepted"),
     ("cancelled", "ReconcileCancelled"),
     ("rejected", "BrokerRejected"),
     ("rejected", "ReconcileRejected"),
 )
+# Events that need a pending change, or its absence, and events that end one.
+NEED_NOTHING_PENDING = ("ModifyRequested", "CancelRequested")
+NEED_MODIFY = ("ModifyAccepted", "ModifyRejected")
+NEED_CANCEL = ("CancelAccepted", "CancelRejected")
+END_PENDING = (*NEED_MODIFY, *NEED_CANCEL, "ReconcileWorking", "ReconcileCancelled", "ReconcileRejected")
+WORKING = ("acknowledged", "partially_filled")
 
 
 def reconcile(expected: DataFrame, observed: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
@@ -79,16 +79,31 @@ def latest_disposition(events: DataFrame, key: str, seq: str) -> DataFrame:
     )
 
 
-def illegal_transitions(
-    events: DataFrame, key: str, seq: str, state: str, event: str, slices: Slices,
-    legal: Sequence[tuple[str, str]] = LEGAL_EDGES,
-) -> DataFrame:
-    """Events that the edge table does not allow in the state left by the previous event."""
-    edges = events.sparkSession.createDataFrame(list(legal), "before string, __e string")
-    walked = ordered_scan(events, [key], [seq], slices, {"before": prev(state)}).where(F.col("before").isNotNull())
-    return walked.join(
-        F.broadcast(edges.withColumnRenamed("__e", event)), ["before", event], "left_anti"
+def illegal_transitions(events: DataFrame, key: str, seq: str, state: str, event: str, slices: Slices) -> DataFrame:
+    """Events that may not follow the state and the pending change that the earlier events left.
+
+    Adds ``before`` (the state) and ``pending`` (none, modify or cancel). A change is pending from its
+    request until it is accepted, rejected or reconciled, or the order is filled. A cancel may be confirmed
+    again after the order has ended if one was ever requested. A key's first event has no ``before`` and is
+    not judged.
+    """
+    kind = F.col(event)
+    mark = F.when(kind == "ModifyRequested", "modify").when(kind == "CancelRequested", "cancel")
+    mark = mark.when(kind.isin(*END_PENDING) | ((kind == "FillUpdate") & (F.col(state) == "filled")), "none")
+    outs = {"before": prev(state), "pending": last_before(mark), "__asked": last_before(F.when(kind == "CancelRequested", True))}
+    walked = ordered_scan(events, [key], [seq], slices, outs).where(F.col("before").isNotNull())
+    walked = walked.withColumn("pending", F.coalesce("pending", F.lit("none")))
+    before, pending = F.col("before"), F.col("pending")
+    ended, asked = before.isin("filled", "cancelled"), F.coalesce("__asked", F.lit(False))
+    legal = (
+        F.concat_ws(" ", before, kind).isin(*[f"{a} {b}" for a, b in LEGAL_EDGES])
+        | (kind.isin(*NEED_NOTHING_PENDING) & before.isin(*WORKING) & (pending == "none"))
+        | (kind.isin(*NEED_MODIFY) & (pending == "modify"))
+        | ((kind == "CancelAccepted") & F.when(ended, asked).otherwise(pending == "cancel"))
+        | ((kind == "CancelRejected") & (pending == "cancel"))
+        | ((kind == "SubmissionAmbiguous") & (pending != "none"))
     )
+    return walked.where(~legal).drop("__asked")
 
 
 def first_failing(rules: Sequence[tuple[str, Column]]) -> Column:

@@ -20,14 +20,16 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 SLICE = "__slice"
-_GRID = 4096  # candidate cut points read back to the driver: a fixed, small number
+_GRID = 4096  # quantile cuts read back to the driver; longer tables cut evenly between them
+NULL_SLICE = -1
 
 
 @dataclass(frozen=True)
 class Slices:
-    """Monotone map from an ordered value to a slice number."""
+    """Monotone map from an ordered value to a slice number; nulls sort first and have a slice of their own."""
 
     cuts: tuple[float, ...]
+    between: int = 1  #: equal steps of value between two neighbouring cuts
 
     @classmethod
     def plan(
@@ -40,7 +42,8 @@ class Slices:
     ) -> Slices:
         """Equal-depth cuts from one column-pruned pass; the driver receives at most 4,096 numbers.
 
-        Any cuts give right results (the map only has to be monotone), so a plan made on one
+        Where more slices are wanted, every range between two cuts is divided evenly, so the number of
+        slices has no upper bound while the plan stays small. Any cuts give right results (the map only has to be monotone), so a plan made on one
         snapshot of a table stays valid for later ones.
         """
         grid = ",".join(str(i / _GRID) for i in range(1, _GRID))
@@ -54,34 +57,28 @@ class Slices:
         wanted = max(min_slices, -(-int(row["n"]) // rows_per_slice))
         step = max(1, _GRID // min(wanted, _GRID))
         picked = row["cuts"][step - 1 :: step]
-        return cls(tuple(sorted({float(c) for c in picked})))
+        cuts = tuple(sorted({float(c) for c in picked}))
+        return cls(cuts, -(-wanted // max(1, len(cuts))) if wanted > _GRID else 1)
 
     def of(self, value: Column | str) -> Column:
         """Slice number of ``value``: how many cuts are at or below it."""
         v = (F.col(value) if isinstance(value, str) else value).cast("double")
         n = len(self.cuts)
         if n == 0:
-            return F.lit(0)
-        if n <= 24:
-            total = F.lit(0)
-            for cut in self.cuts:
-                total = total + (v >= F.lit(cut)).cast("int")
-            return total
+            return F.when(v.isNull(), NULL_SLICE).otherwise(0)
         cuts = F.from_json(F.lit("[" + ",".join(repr(c) for c in self.cuts) + "]"), "array<double>")
-        width = 1
-        while width * 2 <= n:
-            width *= 2
-        steps = []
-        while width:
-            steps.append(width)
-            width //= 2
-        return F.aggregate(
+        steps = [1 << k for k in reversed(range(n.bit_length()))]
+        found = F.aggregate(
             F.array(*[F.lit(s) for s in steps]),
             F.lit(0),
-            lambda pos, s: F.when(
-                (pos + s <= n) & (F.get(cuts, pos + s - 1) <= v), pos + s
-            ).otherwise(pos),
+            lambda pos, s: F.when((pos + s <= n) & (F.get(cuts, pos + s - 1) <= v), pos + s).otherwise(pos),
         )
+        if self.between > 1:
+            low, high = F.get(cuts, found - 1), F.get(cuts, found)
+            part = F.floor((v - low) / (high - low) * self.between)
+            inside = F.coalesce(F.greatest(F.lit(0), F.least(part, F.lit(self.between - 1))), F.lit(0))
+            found = (found * self.between + inside).cast("int")
+        return F.when(v.isNull(), NULL_SLICE).otherwise(found)
 
 
 @dataclass(frozen=True)

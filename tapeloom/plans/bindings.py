@@ -48,6 +48,12 @@ def time_slices(spark: SparkSession, sf_dir: str) -> Slices:
     return _SLICES[key]
 
 
+def train_until(spark: SparkSession, sf_dir: str) -> int:
+    """The instant at seven tenths of the tape's span: training ends there, whatever dates the tape has."""
+    low, high = tape(spark, sf_dir).agg(F.min("ts_us"), F.max("ts_us")).first()
+    return 0 if low is None else low + (high - low) * 7 // 10
+
+
 def slices_for(spark: SparkSession, sf_dir: str, tag: str, df: DataFrame, column: str) -> Slices:
     """Cuts of any other ordered column, cached under a tag."""
     key = (spark.sparkContext.applicationId, sf_dir, tag)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import inference as I
 from ..operators import regression as G
 from ..operators.folds import embargoed_split, expanding_folds
-from .bindings import DAY, HOUR, TAPE_SQL, slices_for, table, tape, time_slices
+from .bindings import DAY, HOUR, TAPE_SQL, slices_for, table, tape, time_slices, train_until
 from .registry import query
 
 VEC_SQL = "v AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS x1, CAST(embedding[2] AS DOUBLE) AS x2, CAST(embedding[3] AS DOUBLE) AS x3, CAST(embedding[4] AS DOUBLE) + 0.5 * CAST(embedding[1] AS DOUBLE) - 0.25 * CAST(embedding[2] AS DOUBLE) AS y FROM embeddings)"
@@ -170,9 +170,9 @@ def penalty_selection_out_of_sample(spark, sf):
 
 @query(
     "horse_race_cells",
-    f"""WITH {TAPE_SQL}, g AS MATERIALIZED (SELECT channel, ts_us // {HOUR} AS slot, arg_max(value, (ts_us, seq)) AS v FROM tape GROUP BY 1, 2), ww AS (SELECT a.channel, a.slot, w, a.slot - w AS ps, a.v FROM g a, (VALUES (1), (3)) ww(w)), pp AS (SELECT ww.channel, ww.slot, w, ww.v - p.v AS x, ww.v FROM ww JOIN g p ON p.channel = ww.channel AND p.slot = ww.ps),
-    hh AS (SELECT pp.*, h, slot + h AS fs FROM pp, (VALUES (1), (2)) hh(h)), c AS MATERIALIZED (SELECT hh.channel, hh.slot, w, h, x, f.v - hh.v AS y FROM hh JOIN g f ON f.channel = hh.channel AND f.slot = hh.fs), t AS (SELECT channel, w, h, count(*) AS n, regr_slope(y, x) AS b, regr_intercept(y, x) AS b0, avg(y) AS my FROM c WHERE slot < 473700 GROUP BY 1, 2, 3)
-    SELECT c.channel, c.w AS "window", c.h AS horizon, CAST(any_value(t.n) AS DOUBLE) AS train_n, CAST(count(*) AS DOUBLE) AS test_n, round(1 - sum((y - b0 - b * x) ^ 2) / sum((y - my) ^ 2), 5) AS oos_r2 FROM c JOIN t ON c.channel = t.channel AND c.w = t.w AND c.h = t.h WHERE c.slot >= 473706 GROUP BY 1, 2, 3""",
+    f"""WITH {TAPE_SQL}, k AS (SELECT (min(ts_us) + (max(ts_us) - min(ts_us)) * 7 // 10) // {HOUR} AS cut FROM tape), g AS MATERIALIZED (SELECT channel, ts_us // {HOUR} AS slot, arg_max(value, (ts_us, seq)) AS v FROM tape GROUP BY 1, 2), ww AS (SELECT a.channel, a.slot, w, a.slot - w AS ps, a.v FROM g a, (VALUES (1), (3)) ww(w)), pp AS (SELECT ww.channel, ww.slot, w, ww.v - p.v AS x, ww.v FROM ww JOIN g p ON p.channel = ww.channel AND p.slot = ww.ps),
+    hh AS (SELECT pp.*, h, slot + h AS fs FROM pp, (VALUES (1), (2)) hh(h)), c AS MATERIALIZED (SELECT hh.channel, hh.slot, w, h, x, f.v - hh.v AS y FROM hh JOIN g f ON f.channel = hh.channel AND f.slot = hh.fs), t AS (SELECT channel, w, h, count(*) AS n, regr_slope(y, x) AS b, regr_intercept(y, x) AS b0, avg(y) AS my FROM c WHERE slot < (SELECT cut FROM k) GROUP BY 1, 2, 3)
+    SELECT c.channel, c.w AS "window", c.h AS horizon, CAST(any_value(t.n) AS DOUBLE) AS train_n, CAST(count(*) AS DOUBLE) AS test_n, round(1 - sum((y - b0 - b * x) ^ 2) / sum((y - my) ^ 2), 5) AS oos_r2 FROM c JOIN t ON c.channel = t.channel AND c.w = t.w AND c.h = t.h WHERE c.slot >= (SELECT cut + 6 FROM k) GROUP BY 1, 2, 3""",
 )
 def horse_race_cells(spark, sf):
     from ..operators.slices import sliding
@@ -195,8 +195,9 @@ def horse_race_cells(spark, sf):
     long = near.select("channel", "slot", cells).dropna()
     keys = ["channel", "window", "horizon"]
     # One pass over the long table: train and test moments side by side, then a solve per cell.
-    train = G.moments(long.where(F.col("slot") < 473700), keys, ["x"], "y")
-    test = G.moments(long.where(F.col("slot") >= 473706), keys, ["x"], "y")
+    cut = train_until(spark, sf) // HOUR
+    train = G.moments(long.where(F.col("slot") < cut), keys, ["x"], "y")
+    test = G.moments(long.where(F.col("slot") >= cut + 6), keys, ["x"], "y")
     fits = G.solve_moments(train, ["x"])
     scored = G.score_from_moments(test, fits, keys, ["x"]).join(fits.select(*keys, F.col("n").alias("train_n")), keys)
     return scored.select(*keys, "train_n", "test_n", F.round("oos_r2", 5).alias("oos_r2"))

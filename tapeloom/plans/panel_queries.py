@@ -12,7 +12,7 @@ from ..operators import regression as G
 from ..operators.asof import asof
 from ..operators.slices import Slices, sliding
 from ..session import cut_lineage
-from .bindings import BOOKS_SQL, DAY, HOUR, KEYS, books, time_slices
+from .bindings import BOOKS_SQL, DAY, HOUR, KEYS, books, time_slices, train_until
 from .registry import query
 
 
@@ -102,17 +102,18 @@ def daily_panel(spark, sf):
     return panel(spark, sf).select("instrument_id", "grid_ts", *[F.round(c, 6).alias(c) for c in COLUMNS])
 
 
-CUT = 1705708800000000  # 2024-01-20 00:00 UTC
+CUT_SQL = "SELECT min(ts_us) + (max(ts_us) - min(ts_us)) * 7 // 10 AS cut FROM tape"
 
 
 @query(
     "daily_panel_walk_forward",
-    f"""WITH {PANEL_SQL}, tr AS (SELECT count(*) AS n, regr_slope(markout_1, depth_imbalance) AS b, regr_intercept(markout_1, depth_imbalance) AS b0, avg(markout_1) AS my FROM panel WHERE grid_ts <= {CUT}),
-    te AS (SELECT * FROM panel WHERE grid_ts > {CUT + DAY}) SELECT CAST(any_value(n) AS DOUBLE) AS train_n, CAST(count(*) AS DOUBLE) AS test_n, round(any_value(b), 6) AS beta, round(1 - sum((markout_1 - b0 - b * depth_imbalance) ^ 2) / sum((markout_1 - my) ^ 2), 6) AS oos_r2 FROM te, tr""",
+    f"""WITH {PANEL_SQL}, k AS ({CUT_SQL}), tr AS (SELECT count(*) AS n, regr_slope(markout_1, depth_imbalance) AS b, regr_intercept(markout_1, depth_imbalance) AS b0, avg(markout_1) AS my FROM panel WHERE grid_ts <= (SELECT cut FROM k)),
+    te AS (SELECT * FROM panel WHERE grid_ts > (SELECT cut + {DAY} FROM k)) SELECT CAST(any_value(n) AS DOUBLE) AS train_n, CAST(count(*) AS DOUBLE) AS test_n, round(any_value(b), 6) AS beta, round(1 - sum((markout_1 - b0 - b * depth_imbalance) ^ 2) / sum((markout_1 - my) ^ 2), 6) AS oos_r2 FROM te, tr""",
 )
 def daily_panel_walk_forward(spark, sf):
     rows = panel(spark, sf).select("grid_ts", "depth_imbalance", "markout_1")
-    side = F.when(F.col("grid_ts") <= CUT, "train").when(F.col("grid_ts") > CUT + DAY, "test")
+    cut = train_until(spark, sf)
+    side = F.when(F.col("grid_ts") <= cut, "train").when(F.col("grid_ts") > cut + DAY, "test")
     # Both sides' moments leave the panel in one pass.
     m = cut_lineage(G.moments(rows.withColumn("side", side).where(F.col("side").isNotNull()), ["side"], ["depth_imbalance"], "markout_1"))
     fits = G.solve_moments(m.where("side = 'train'").drop("side"), ["depth_imbalance"])

@@ -12,9 +12,10 @@ from .registry import query
 
 
 def live(spark, sf):
-    """The events table followed as a stream; ``at`` is the event time."""
+    """The events table, one file or a folder of files, followed as a stream; ``at`` is the event time."""
     schema = table(spark, sf, "events").schema
-    rows = feeds.follow_parquet(spark, sf, schema, glob="events.parquet")
+    # A pattern, as a stream takes a plain path for a folder.
+    rows = feeds.follow_parquet(spark, f"{sf}/event[s].parquet", schema, files_per_trigger=int(spark.conf.get("spark.tapeloom.filesPerTrigger", "64")))
     at = F.col("ts").cast("timestamp")
     return rows.select(
         F.col("user_id").alias("instrument_id"), F.col("event_id").alias("seq"), F.unix_micros(at).alias("ts_us"), at.alias("at"),

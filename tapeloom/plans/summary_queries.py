@@ -428,22 +428,24 @@ def cell_rankings(spark, sf):
 
 @query(
     "threshold_grid_selection",
-    """WITH q AS (SELECT o_custkey AS expiry, CAST(o_orderdate AS DATE) AS date, o_orderkey, o_totalprice / 500000 AS q, o_totalprice / 1000 - 150 AS pnl FROM orders), t AS (SELECT unnest([0.2, 0.4, 0.6, 0.8]) AS threshold),
+    """WITH q AS (SELECT o_custkey AS expiry, CAST(o_orderdate AS DATE) AS date, o_orderkey, o_totalprice / 500000 AS q, CAST(round(o_totalprice * 100) AS BIGINT) - 15000000 AS pnl FROM orders), t AS (SELECT unnest([0.2, 0.4, 0.6, 0.8]) AS threshold),
     s AS (SELECT CAST(threshold AS DOUBLE) AS threshold, expiry, arg_min(pnl, (date, o_orderkey)) AS pnl FROM q, t WHERE q < threshold GROUP BY 1, 2)
-    SELECT threshold, count(*) AS n, round(sum(pnl - 2), 4) AS total, round(avg(pnl - 2), 6) AS mean, round(avg(CASE WHEN pnl - 2 > 0 THEN 1.0 ELSE 0 END), 6) AS win_rate FROM s GROUP BY 1""",
+    SELECT threshold, count(*) AS n, CAST(sum(pnl - 200000) AS DOUBLE) / 100000 AS total, round(CAST(sum(pnl - 200000) AS DOUBLE) / count(*) / 100000, 6) AS mean, round(avg(CASE WHEN pnl > 200000 THEN 1.0 ELSE 0 END), 6) AS win_rate FROM s GROUP BY 1""",
 )
 def threshold_grid_selection(spark, sf):
     o = table(spark, sf, "orders").select(
         F.col("o_custkey").alias("expiry"), F.to_date("o_orderdate").alias("date"), "o_orderkey",
-        (F.col("o_totalprice") / 500000).alias("q"), (F.col("o_totalprice") / 1000 - 150).alias("pnl"),
+        (F.col("o_totalprice") / 500000).alias("q"), (F.round(F.col("o_totalprice") * 100).cast("long") - 15_000_000).alias("pnl"),
     )
     passing = F.filter(F.array(*[F.lit(t) for t in (0.2, 0.4, 0.6, 0.8)]), lambda t: F.col("q") < t)
     first = o.withColumn("threshold", F.explode(passing)).groupBy("threshold", "expiry").agg(
         F.min_by("pnl", F.struct("date", "o_orderkey")).alias("pnl")
     )
-    net = F.col("pnl") - 2
+    # Profits are whole hundred-thousandths, so that sums are exact in any order.
+    net = F.col("pnl") - 200_000
+    total = F.sum(net).cast("double")
     return first.groupBy("threshold").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum(net), 4).alias("total"), F.round(F.avg(net), 6).alias("mean"),
+        F.count(F.lit(1)).alias("n"), (total / 100_000).alias("total"), F.round(total / F.count(F.lit(1)) / 100_000, 6).alias("mean"),
         F.round(F.avg(F.when(net > 0, 1.0).otherwise(0.0)), 6).alias("win_rate"),
     )
 

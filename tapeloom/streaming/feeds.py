@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def follow_parquet(
-    spark: SparkSession, path: str, schema: T.StructType, *, files_per_trigger: int = 64, bytes_per_trigger: str | None = None, glob: str | None = None
+    spark: SparkSession, path: str, schema: T.StructType, *, files_per_trigger: int = 64, bytes_per_trigger: str | None = None
 ) -> DataFrame:
     """Follow published Parquet segments, bounded per trigger."""
     reader = spark.readStream.schema(schema)
@@ -23,8 +23,6 @@ def follow_parquet(
         reader = reader.option("maxBytesPerTrigger", bytes_per_trigger)
     else:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
     return reader.parquet(path)
 
 
@@ -98,6 +96,8 @@ def run_available(stream: DataFrame, target: str, checkpoint: str, mode: str = "
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
+    # A stream without rows leaves an empty table, not a missing one.
+    stream.sparkSession.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{target}/batch=-1")
     query = (
         stream.writeStream.outputMode(mode)
         .option("checkpointLocation", checkpoint)

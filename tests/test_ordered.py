@@ -161,3 +161,38 @@ def test_episode_joins_at_the_running_end(spark):
     df = spark.createDataFrame([(1, t) for t in (0, 10, 20, 31, 31, 50)], "k int, t long")
     got = sorted(tuple(r) for r in episodes(df, ["k"], "t", 10, S.Slices((15.0,))).select("start_ts", "end_ts", "bursts", "events").collect())
     assert got == [(0, 30, 3, 3), (31, 41, 1, 2), (50, 60, 1, 1)]
+
+
+@pytest.mark.parametrize("cuts", [S.Slices(()), S.Slices((80.0, 160.0, 240.0, 320.0)), S.Slices(tuple(float(c) for c in range(0, 400, 10))), S.Slices(tuple(float(c) for c in range(0, 400, 2)), 25)])
+def test_null_order_values_are_first_with_any_number_of_cuts(spark, cuts):
+    rng = random.Random(8)
+    data = [(rng.randrange(3), None if rng.random() < 0.1 else rng.uniform(-5, 405), i, rng.choice([None, 1.0, 2.0])) for i in range(900)]
+    rows = spark.createDataFrame(data, "k int, t double, i long, v double")
+    got = S.ordered_scan(rows, ["k"], ["t", "i"], cuts, {"p": S.prev("v"), "l": S.last("v"), "rs": S.run_sum("i"), "rn": S.row_no(), "n": S.nxt("i")})
+    w = Window.partitionBy("k").orderBy("t", "i")
+    past = w.rowsBetween(Window.unboundedPreceding, 0)
+    want = rows.select(
+        "*", F.lag("v").over(w).alias("p"), F.last("v", True).over(past).alias("l"), F.sum("i").over(past).alias("rs"),
+        F.row_number().over(w).cast("long").alias("rn"), F.lead("i").over(w).alias("n"),
+    )
+    assert same(got, want)
+
+
+def test_slices_between_cuts_are_monotone_and_unbounded(spark):
+    cuts = S.Slices((0.0, 10.0, 11.0, 100.0), 1000)
+    rows = spark.range(-50, 1500).select((F.col("id") / 10).alias("t")).withColumn("s", cuts.of("t")).orderBy("t").collect()
+    assert all(a.s <= b.s for a, b in zip(rows, rows[1:], strict=False))
+    assert len({r.s for r in rows}) > 500
+    assert spark.range(1).select(cuts.of(F.lit(None).cast("double")).alias("s")).first().s == S.NULL_SLICE
+
+
+def test_top_rows_of_a_hot_group_for_small_and_large_k(spark):
+    from tapeloom.operators.ranking import top_k
+
+    rows = spark.range(0, 5000, 1, 6).select((F.col("id") % 100 < 2).cast("int").alias("g"), ((F.col("id") * 7919) % 5003).alias("x"), "id")
+    for k in (3, 1200):
+        got = top_k(rows, ["g"], [("x", True), ("id", True)], k)
+        w = Window.partitionBy("g").orderBy("x", "id")
+        assert same(got, rows.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k))
+    plan = top_k(rows, ["g"], [("x", True), ("id", True)], 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2
