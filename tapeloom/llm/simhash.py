@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb, log2
 
 import numpy as np
 import pyarrow as pa
@@ -164,21 +165,32 @@ def _link_runs(code: np.ndarray, fps: np.ndarray, radius: int) -> list[tuple[int
     return [x for x in links if sets.join(*x)]
 
 
-def link_fingerprints(fps: DataFrame, radius: int = 3) -> DataFrame:
+def equal_sets(n: int, radius: int) -> int:
+    """How many of ``radius`` + k sets of bit pairs a search group fixes, so that a group of ``n`` random
+    fingerprints holds few: a pair's count of ones carries 1.5 bits. More sets mean more groups for each
+    fingerprint, but never other links."""
+    k = 3
+    while 48 * k / (radius + k) < log2(max(n, 2)) - 2 and comb(radius + k + 1, k + 1) <= 256:
+        k += 1
+    return k
+
+
+def link_fingerprints(fps: DataFrame, radius: int = 3, fixed: int | None = None) -> DataFrame:
     """Links (a, b) among the distinct values of ``fps.fp`` that connect what lies within ``radius`` bits.
 
-    The distance table deals fingerprints to search groups: the 32 bit pairs fall into ``radius`` + 3
-    sets, and two fingerprints within the radius have equal pivot coordinates on at least three sets.
-    So each fingerprint goes to one group for every choice of three sets, pairs of a group whose pivot
-    distances differ by more than the radius anywhere are discarded, and the rest are compared. No link
-    is lost. A group gives at most one link for each member, not all its pairs; a group larger than a
+    The distance table deals fingerprints to search groups: the 32 bit pairs fall into ``radius`` + k
+    sets, and two fingerprints within the radius have equal pivot coordinates on at least k sets. So each
+    fingerprint goes to one group for every choice of k sets, pairs of a group whose pivot distances
+    differ by more than the radius anywhere are discarded, and the rest are compared. No link is lost
+    whatever k (``fixed``) is; by default it follows the number of fingerprints, see ``equal_sets``. A group gives at most one link for each member, not all its pairs; a group larger than a
     block is cut exactly, see ``forest``. A task holds one group's fingerprints (8 bytes each) at a time.
     """
-    sets = radius + 3
+    fixed = equal_sets(fps.count(), radius) if fixed is None else fixed
+    sets = radius + fixed
     if sets > 32:
         raise ValueError("the radius must be below 30")
     masks = [sum(3 << (2 * p) for p in range(32) if p % sets == s) for s in range(sets)]
-    chosen = [int(np.uint64(sum(masks[s] for s in three)).view(np.int64)) for three in combinations(range(sets), 3)]
+    chosen = [int(np.uint64(sum(masks[s] for s in own)).view(np.int64)) for own in combinations(range(sets), fixed)]
     fp = F.col("fp")
     low = fp.bitwiseAND(F.lit(0x5555555555555555))
     high = F.shiftrightunsigned(fp, 1).bitwiseAND(F.lit(0x5555555555555555))

@@ -64,13 +64,17 @@ def as_signed(values):
     return [int(np.uint64(v).view(np.int64)) for v in values]
 
 
-@pytest.mark.parametrize("radius", [0, 1, 3, 5])
-def test_links_connect_as_all_pairs_do(spark, radius, monkeypatch):
+def test_sets_follow_the_number_of_fingerprints():
+    assert [simhash.equal_sets(n, 3) for n in (0, 1, 10**5, 10**7, 10**8, 10**9, 10**11)] == [3, 3, 3, 3, 4, 5, 8]
+
+
+@pytest.mark.parametrize(("radius", "fixed"), [(0, 3), (1, 4), (3, 3), (3, None), (3, 5), (5, 3)])
+def test_links_connect_as_all_pairs_do(spark, radius, fixed, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 64)  # so that long groups are cut
     rng = np.random.default_rng(radius)
     values = cluster(rng, 150, 2) | cluster(rng, 150, 9) | {int(rng.integers(0, 2**64, dtype=np.uint64)) for _ in range(150)} | {0}
     frame = spark.createDataFrame([(v,) for v in as_signed(values)], "fp long")
-    links = [(r.a, r.b) for r in simhash.link_fingerprints(frame, radius).collect()]
+    links = [(r.a, r.b) for r in simhash.link_fingerprints(frame, radius, fixed).collect()]
     assert all((a ^ b & (2**64 - 1) if a >= 0 and b >= 0 else (a ^ b) & (2**64 - 1)).bit_count() <= radius for a, b in links)
     up = {v: v for v in as_signed(values)}
 
