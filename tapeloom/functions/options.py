@@ -17,8 +17,27 @@ MIN_CONSENSUS_PAIRS = 5
 _SQRT2 = math.sqrt(2.0)
 
 
+_STEP, _EDGE = 1.0 / 64.0, 6.5
+_GRID_ERF = np.array([math.erf(i * _STEP - _EDGE) for i in range(int(2 * _EDGE / _STEP) + 1)])
+
+
+def _erf(x: np.ndarray) -> np.ndarray:
+    """Error function of arrays: the exact value at the nearest grid point and seven Taylor terms from it."""
+    inside = np.clip(np.nan_to_num(x), -_EDGE, _EDGE)
+    i = np.rint((inside + _EDGE) / _STEP).astype(np.int64)
+    at = i * _STEP - _EDGE
+    h = inside - at
+    before, slope = np.zeros_like(at), 2.0 / math.sqrt(math.pi) * np.exp(-at * at)
+    total, power = _GRID_ERF[i], h.copy()
+    for n in range(1, 8):
+        total = total + slope * power
+        before, slope = slope, -2.0 * at * slope - 2.0 * (n - 1) * before
+        power = power * h / (n + 1)
+    return np.where(np.isnan(x), np.nan, total)
+
+
 def _cdf(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (1.0 + np.array([math.erf(v / _SQRT2) for v in np.ravel(x)]).reshape(np.shape(x)))
+    return 0.5 * (1.0 + _erf(np.asarray(x, dtype=float) / _SQRT2))
 
 
 def _price(fwd, strike, years, vol, rate, call):
@@ -67,11 +86,20 @@ def _implied_vol_batch(
         f, k, t, r, c, p = f[idx], k[idx], t[idx], r[idx], c[idx], p[idx]
         low, high = np.full(len(idx), 1e-8), np.full(len(idx), 5.0)
         reachable = _price(f, k, t, high, r, c) >= p
-        for _ in range(80):
-            mid = 0.5 * (low + high)
-            below = _price(f, k, t, mid, r, c) < p
-            low, high = np.where(below, mid, low), np.where(below, high, mid)
-        out[idx] = np.where(reachable, 0.5 * (low + high), np.nan)
+        vol = np.clip(np.sqrt(2.0 * math.pi / t) * p / (np.exp(-r * t) * f), 0.01, 2.0)
+        # Newton steps inside a bracket that every price narrows; a step that leaves it is a bisection.
+        for _ in range(100):
+            gap = _price(f, k, t, vol, r, c) - p
+            low, high = np.where(gap < 0, vol, low), np.where(gap < 0, high, vol)
+            root = vol * np.sqrt(t)
+            d1 = np.log(f / k) / root + 0.5 * root
+            vega = np.exp(-r * t - 0.5 * d1 * d1) * f * np.sqrt(t) / math.sqrt(2.0 * math.pi)
+            step = vol - gap / np.maximum(vega, 1e-300)
+            new = np.where((step > low) & (step < high), step, 0.5 * (low + high))
+            moved, vol = np.abs(new - vol).max(), new
+            if moved < 1e-13:
+                break
+        out[idx] = np.where(reachable, vol, np.nan)
     return pd.Series(out).where(~np.isnan(out), None)
 
 
@@ -89,7 +117,7 @@ def black76(fwd: Column, strike: Column, years: Column, vol: Column, rate: Colum
 
 
 def implied_vol(price: Column, fwd: Column, strike: Column, years: Column, rate: Column, call: Column) -> Column:
-    """Black-76 volatility by vectorised bisection; null outside the no-arbitrage bounds."""
+    """Black-76 volatility by bracketed Newton steps; null outside the no-arbitrage bounds."""
     return _as_udf(_implied_vol_batch)(price, fwd, strike, years, rate, call)
 
 

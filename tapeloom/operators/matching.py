@@ -21,9 +21,14 @@ def nearest_control(
     covariates: Sequence[str],
     event_id: str,
     control_id: str,
+    quiet: str | None = None,
     slices: Slices | None = None,
 ) -> DataFrame:
-    """For each event the control of its stratum with least squared range-scaled distance, ties by id.
+    """For each event the quiet control of its stratum with the least squared scaled distance, ties by id.
+
+    A covariate's scale is its range over the stratum's quiet controls and the event itself, or 1 if that
+    is 0. Every event has a row: where none can be matched ``reason`` says whether the stratum has no
+    controls or no quiet ones (``quiet`` names the flag; without it every control is quiet).
 
     A first guess (the control just below and just above on the first covariate) bounds the distance.
     Only controls whose first covariate lies within that bound can win, so an event visits just the
@@ -31,45 +36,48 @@ def nearest_control(
     compared at the end. No control is dropped and no pair table is built.
     """
     first = covariates[0]
-    low_high = [f(F.col(c)).alias(f"{n}_{c}") for c in covariates for n, f in (("lo", F.min), ("hi", F.max))]
-    ranges = controls.groupBy(*strata).agg(*low_high)
-    micro = 1_000_000_000  # scaled first covariate as an integer axis
-
-    def scaled(df: DataFrame, id_col: str) -> DataFrame:
-        unit = [
-            F.when(F.col(f"hi_{c}") > F.col(f"lo_{c}"), (F.col(c) - F.col(f"lo_{c}")) / (F.col(f"hi_{c}") - F.col(f"lo_{c}"))).otherwise(F.lit(0.0)).alias(f"u_{c}")
-            for c in covariates
-        ]
-        return (
-            df.join(ranges, list(strata))
-            .select(*strata, id_col, *unit)
-            .withColumn("axis", F.round(F.col(f"u_{first}") * micro).cast("long"))
-        )
-
-    left, right = scaled(events, event_id), scaled(controls, control_id)
+    calm = F.lit(True) if quiet is None else F.coalesce(F.col(quiet), F.lit(False))
+    low_high = [f(F.when(calm, F.col(c))).alias(f"{n}_{c}") for c in covariates for n, f in (("lo", F.min), ("hi", F.max))]
+    ranges = controls.groupBy(*strata).agg(F.count(F.when(calm, 1)).alias("__quiet"), *low_high)
+    micro = 1_000_000_000  # first covariate over its control range as an integer axis
+    width = F.col(f"hi_{first}") - F.col(f"lo_{first}")
+    axis = F.when(width > 0, F.round((F.col(first) - F.col(f"lo_{first}")) / width * micro)).otherwise(0).cast("long")
+    asked = events.select(*strata, event_id, *covariates).join(ranges, list(strata), "left")
+    reason = F.when(F.col("__quiet").isNull(), "no_same_stratum_candidates").when(F.col("__quiet") == 0, "no_quiet_same_stratum_candidates")
+    refused = asked.withColumn("reason", reason).where(F.col("reason").isNotNull()).select(*strata, event_id, "reason")
+
+    def scale(c: str):
+        span = F.greatest(F.col(f"hi_{c}"), F.col(c)) - F.least(F.col(f"lo_{c}"), F.col(c))
+        return F.when(span > 0, span).otherwise(1.0)
+
+    scales = [f"s_{c}" for c in covariates]
+    left = asked.where(F.col("__quiet") > 0).select(
+        *strata, event_id, *covariates, axis.alias("axis"), *[scale(c).alias(n) for c, n in zip(covariates, scales, strict=True)],
+        F.when(width > 0, scale(first) / width).otherwise(0.0).alias("__stretch"),
+    )
+    right = controls.where(calm).join(ranges, list(strata)).select(*strata, control_id, *covariates, axis.alias("axis"))
     if slices is None:
         slices = Slices.plan(right, "axis", rows_per_slice=200_000)
-    units = [f"u_{c}" for c in covariates]
     guess = left
     for direction, prefix in (("backward", "b_"), ("forward", "f_")):
         guess = asof(
-            guess, right, keys=strata, left_ts="axis", right_ts="axis", values=units, slices=slices,
+            guess, right, keys=strata, left_ts="axis", right_ts="axis", values=list(covariates), slices=slices,
             right_ties=[control_id], direction=direction, prefix=prefix,
         )
 
     def gap(prefix: str):
         total = F.lit(0.0)
-        for u in units:
-            total = total + (F.col(u) - F.col(f"{prefix}{u}")) ** 2
-        return total
+        for c in covariates:
+            total = total + ((F.col(c) - F.col(f"{prefix}{c}")) / F.col(f"s_{c}")) ** 2
+        return F.coalesce(total, F.lit(float("inf")))
 
     # A little slack covers the rounding of the axis.
-    bound = F.sqrt(F.least(F.coalesce(gap("b_"), F.lit(float("inf"))), F.coalesce(gap("f_"), F.lit(float("inf"))))) + 1e-8
-    asked = guess.withColumn("reach", F.ceil(bound * micro)).where(F.col("reach").isNotNull())
-    visits = asked.withColumn(
+    bound = F.sqrt(F.least(gap("b_"), gap("f_"))) * F.col("__stretch") + 1e-8
+    reach = F.ceil(bound * micro) + 1
+    visits = guess.withColumn("reach", reach).withColumn(
         SLICE, F.explode(F.sequence(slices.of(F.col("axis") - F.col("reach")), slices.of(F.col("axis") + F.col("reach"))))
-    ).select(*strata, SLICE, event_id, *units)
-    homes = right.withColumn(SLICE, slices.of("axis")).select(*strata, SLICE, control_id, *units)
+    ).select(*strata, SLICE, event_id, *covariates, *scales)
+    homes = right.withColumn(SLICE, slices.of("axis")).select(*strata, SLICE, control_id, *covariates)
     schema = T.StructType(
         [*[visits.schema[s] for s in strata], visits.schema[event_id], homes.schema[control_id], T.StructField("distance", T.DoubleType())]
     )
@@ -79,15 +87,15 @@ def nearest_control(
         if a.empty or b.empty:
             return pd.DataFrame(columns=names)
         b = b.sort_values(control_id)
-        pool, ids = b[units].to_numpy(dtype=float), b[control_id].to_numpy()
+        pool, ids = b[covariates].to_numpy(dtype=float), b[control_id].to_numpy()
         best, dist = [], []
-        asking = a[units].to_numpy(dtype=float)
-        width = max(1, 4_000_000 // len(pool))  # keeps the distance block near 32 MB
-        for start in range(0, len(a), width):
-            part = asking[start : start + width]
+        asking, by = a[covariates].to_numpy(dtype=float), a[scales].to_numpy(dtype=float)
+        rows = max(1, 4_000_000 // len(pool))  # keeps the distance block near 32 MB
+        for start in range(0, len(a), rows):
+            part, unit = asking[start : start + rows], by[start : start + rows]
             d = np.zeros((len(part), len(pool)))
-            for j in range(len(units)):
-                d += (part[:, j, None] - pool[None, :, j]) ** 2
+            for j in range(len(covariates)):
+                d += ((part[:, j, None] - pool[None, :, j]) / unit[:, j, None]) ** 2
             at = d.argmin(axis=1)
             best.append(ids[at])
             dist.append(d[np.arange(len(part)), at])
@@ -96,10 +104,12 @@ def nearest_control(
         return out[names]
 
     keys = [*strata, SLICE]
+    covariates = list(covariates)
     found = visits.groupBy(*keys).cogroup(homes.groupBy(*keys)).applyInPandas(search, schema)
-    return found.groupBy(*strata, event_id).agg(
+    best = found.groupBy(*strata, event_id).agg(
         F.min_by(control_id, F.struct("distance", control_id)).alias(control_id), F.min("distance").alias("distance")
     )
+    return best.withColumn("reason", F.lit(None).cast("string")).unionByName(refused, allowMissingColumns=True)
 
 
 def relocations(moves: DataFrame, id_cols: Sequence[str], side: str, far: float, tolerance: float = 0.25) -> DataFrame:

@@ -195,37 +195,35 @@ def ensemble_weights(scores: DataFrame, groups: Sequence[str], model: str, score
     return joined.select(*groups, model, (F.col("e") / F.col("t")).alias("weight"))
 
 
-def stoikov_adjustment(transitions: DataFrame, minimum: int = 10) -> DataFrame:
+def stoikov_adjustment(transitions: DataFrame, minimum: int = 10, until: int | None = None, resolved: str = "resolved_ts", most_states: int = 4096) -> DataFrame:
     """Microprice adjustment per state: solve (I - B) g = g1 on the state lattice.
 
-    The tape is reduced to counts per (state, next state), a table whose size is the number of
-    states squared; one task then solves it.
+    Only transitions resolved before ``until`` enter: one that begins in training and ends after it would
+    tell the fit about the test period. Shares are of a state's own transitions, so what leads to a state
+    with fewer than ``minimum`` leaves the chain. ``converged`` says whether the chain dies out; if it
+    does not, the adjustment is the one-step mean. The tape is reduced to counts per (state, next state);
+    one task solves that table, which a lattice of more than ``most_states`` states refuses.
     """
+    if until is not None:
+        transitions = transitions.where(F.col(resolved) < until)
     cells = transitions.groupBy("state", "next_state").agg(F.count(F.lit(1)).alias("n"), F.sum("mid_change_ticks").alias("s"))
-    schema = "state string, transitions long, one_step double, adjustment double, estimated boolean"
+    schema = "state string, transitions long, one_step double, adjustment double, estimated boolean, converged boolean"
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        per = pdf.groupby("state").agg(n=("n", "sum"), s=("s", "sum"))
-        names = sorted(per.index[per["n"] >= minimum])
-        at = {s: i for i, s in enumerate(names)}
-        counts = np.array([per.loc[s, "n"] for s in names], dtype=float)
-        chain = np.zeros((len(names), len(names)))
-        for s, t, n in zip(pdf["state"], pdf["next_state"], pdf["n"], strict=True):
-            if s in at and t in at:
-                chain[at[s], at[t]] += n
-        g1 = np.array([per.loc[s, "s"] for s in names]) / counts if names else np.array([])
-        g = g1
-        if names:
-            chain = chain / counts[:, None]
-            if np.max(np.abs(np.linalg.eigvals(chain))) < 1 - 1e-9:
-                g = np.linalg.solve(np.eye(len(names)) - chain, g1)
-        rows = [
+        states = pdf.groupby("state", as_index=False)[["n", "s"]].sum().sort_values("state")
+        if len(states) > most_states:
+            raise ValueError(f"more than {most_states} states")
+        enough = states[states["n"] >= minimum]
+        share = pdf.pivot_table(index="state", columns="next_state", values="n", aggfunc="sum", fill_value=0)
+        inside = share.reindex(index=enough["state"], columns=enough["state"], fill_value=0).to_numpy(dtype=float) / enough["n"].to_numpy(dtype=float)[:, None]
+        step = (enough["s"] / enough["n"]).to_numpy(dtype=float)
+        dies = bool(len(enough)) and float(np.abs(np.linalg.eigvals(inside)).max()) < 1 - 1e-9
+        solved = dict(zip(enough["state"], np.linalg.solve(np.eye(len(enough)) - inside, step) if dies else step, strict=True))
+        return pd.DataFrame(
             {
-                "state": s, "transitions": int(per.loc[s, "n"]), "one_step": float(per.loc[s, "s"] / per.loc[s, "n"]),
-                "adjustment": float(g[at[s]]) if s in at else None, "estimated": s in at,
+                "state": states["state"], "transitions": states["n"], "one_step": states["s"] / states["n"],
+                "adjustment": states["state"].map(solved).astype(float), "estimated": states["n"] >= minimum, "converged": dies,
             }
-            for s in sorted(per.index)
-        ]
-        return pd.DataFrame(rows)
+        )
 
-    return cells.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(lambda pdf: solve(pdf), schema)
+    return cells.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(solve, schema)

@@ -277,7 +277,7 @@ def t_and_welch_summaries(spark, sf):
 def stoikov_microprice(spark, sf):
     from .state_queries import stoikov_transitions
 
-    return G.stoikov_adjustment(stoikov_transitions(spark, sf))
+    return G.stoikov_adjustment(stoikov_transitions(spark, sf), until=train_until(spark, sf))
 
 
 @query(

@@ -116,16 +116,15 @@ def stream_signal_episodes(spark, sf):
 
 @query(
     "stream_forecast_maturity",
-    f"""WITH {TAPE_SQL} SELECT f.instrument_id, f.seq AS issued_seq, p.seq AS price_seq, round(p.value - f.value, 6) AS realised FROM tape f JOIN tape p ON f.instrument_id = p.instrument_id AND f.channel = 'signup' AND p.channel = 'view' AND p.ts_us >= f.ts_us + {HOUR} AND p.ts_us <= f.ts_us + {12 * HOUR}""",
+    f"""WITH {TAPE_SQL}, p AS (SELECT instrument_id, ts_us, arg_max(value, seq) AS v FROM tape WHERE channel = 'view' GROUP BY 1, 2), c AS (SELECT instrument_id, max(ts_us) AS upto FROM p GROUP BY 1),
+    f AS (SELECT instrument_id, seq, ts_us + {HOUR} AS t0, ts_us + {12 * HOUR} AS t1 FROM tape WHERE channel = 'signup')
+    SELECT f.instrument_id, f.seq AS issued_seq, round(b.v - a.v, 6) AS realised FROM f JOIN c ON c.instrument_id = f.instrument_id AND c.upto >= f.t1
+    ASOF JOIN p a ON a.instrument_id = f.instrument_id AND a.ts_us <= f.t0 ASOF JOIN p b ON b.instrument_id = f.instrument_id AND b.ts_us <= f.t1""",
 )
 def stream_forecast_maturity(spark, sf):
-    rows = live(spark, sf)
-    issued = rows.where(F.col("channel") == "signup").select("instrument_id", F.col("seq").alias("issued_seq"), F.col("at").alias("issued_at"), F.col("value").alias("v0"))
-    prices = rows.where(F.col("channel") == "view").select("instrument_id", F.col("seq").alias("price_seq"), F.col("at").alias("price_at"), F.col("value").alias("v1"))
-    joined = feeds.mature_forecasts(
-        issued, prices, "instrument_id", issue_ts="issued_at", price_ts="price_at", gap="1 HOUR", horizon="12 HOURS", watermark="1 day"
-    ).select(F.col("f.instrument_id").alias("instrument_id"), "issued_seq", "price_seq", F.round(F.col("v1") - F.col("v0"), 6).alias("realised"))
-    return spark.read.parquet(drain(spark, joined, "append")).drop("batch")
+    rows = live(spark, sf).where(F.col("channel").isin("signup", "view")).select("instrument_id", "seq", "ts_us", "value", (F.col("channel") == "signup").alias("forecast"))
+    out = drain(spark, stateful.settle_forecasts(rows, "instrument_id", HOUR, 12 * HOUR), "append")
+    return spark.read.parquet(out).select("instrument_id", "issued_seq", F.round("realised", 6).alias("realised"))
 
 
 @query(

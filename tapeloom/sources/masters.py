@@ -275,11 +275,17 @@ def read_minute_files(
     return rows if clocks is None else rows.where(F.col("clock").isin(*clocks))
 
 
-def read_daily_index(spark: SparkSession, path: str, date_format: str = "yyyy-MM-dd") -> DataFrame:
-    """Daily index CSV (date, open, high, low, close), one row per date: the last file row wins."""
-    schema = "date string, open double, high double, low double, close double"
-    rows = spark.read.schema(schema).option("header", True).csv(path)
-    ordered = rows.withColumn("date", F.try_to_date("date", date_format)).where(F.col("date").isNotNull())
-    return ordered.groupBy("date").agg(
-        F.max_by(F.struct("open", "high", "low", "close"), F.struct("close", "high", "low", "open")).alias("r")
-    ).select("date", "r.*")
+def read_daily_index(spark: SparkSession, path: str, start: str = "09:15", end: str = "15:30") -> DataFrame:
+    """Index prints (datetime, open, close) of CSV files to one row a date: date, open, close, prints.
+
+    Of prints with one timestamp the last in file order counts. A date opens with its first print from
+    ``start`` on and closes with its last one up to ``end``; dates without a print in between have no row.
+    """
+    rows = spark.read.option("header", True).csv(path).select(
+        F.col("datetime"), F.col("open").cast("double").alias("open"), F.col("close").cast("double").alias("close"),
+        F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n")).alias("place"),
+    )
+    prints = rows.where(F.col("datetime").isNotNull()).groupBy("datetime").agg(F.max_by(F.struct("open", "close"), "place").alias("r"))
+    prints = prints.select(F.to_date(F.substring("datetime", 1, 10)).alias("date"), F.substring("datetime", 12, 5).alias("clock"), "datetime", "r.*")
+    session = prints.where(F.col("clock").between(start, end))
+    return session.groupBy("date").agg(F.min_by("open", "datetime").alias("open"), F.max_by("close", "datetime").alias("close"), F.count("*").alias("prints"))

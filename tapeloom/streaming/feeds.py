@@ -62,23 +62,6 @@ def drop_repeats(rows: DataFrame, ts: str, watermark: str, ids: Sequence[str]) -
     return rows.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(list(ids))
 
 
-def mature_forecasts(
-    issued: DataFrame, prices: DataFrame, key: str, *, issue_ts: str, price_ts: str, gap: str, horizon: str, watermark: str
-) -> DataFrame:
-    """Issued forecasts joined to the price path between maturity start and end.
-
-    Both sides carry a watermark and the join is bounded in time, so state is bounded too.
-    """
-    left = issued.withWatermark(issue_ts, watermark).alias("f")
-    right = prices.withWatermark(price_ts, watermark).alias("p")
-    on = (
-        (F.col(f"f.{key}") == F.col(f"p.{key}"))
-        & (F.col(f"p.{price_ts}") >= F.col(f"f.{issue_ts}") + F.expr(f"INTERVAL {gap}"))
-        & (F.col(f"p.{price_ts}") <= F.col(f"f.{issue_ts}") + F.expr(f"INTERVAL {horizon}"))
-    )
-    return left.join(right, on, "inner")
-
-
 def feed_health(latest: DataFrame, now: Column, ts: str, slow: int, dead: int) -> DataFrame:
     """Age of the latest row per key and its live / slow / dead label, in microseconds."""
     age = now - F.col(ts)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -97,3 +98,36 @@ def episode_machine(rows: DataFrame, key: str, signal: str, activate_after: int)
     return rows.groupBy(key).applyInPandasWithState(
         step, f"{key} {kind}, opened_ts long, closed_ts long, frames long, outcome string", "sign int, count long, opened long", "append", GroupStateTimeout.NoTimeout
     )
+
+
+def settle_forecasts(rows: DataFrame, key: str, gap_us: int, horizon_us: int) -> DataFrame:
+    """One outcome for each issued forecast: the price move from ``gap_us`` to ``horizon_us`` after it.
+
+    Input: key, ``seq, ts_us, value`` and ``forecast`` (true for an issued forecast, false for a price).
+    The price at an instant is the last one at or before it. A forecast waits until a price at or after
+    its end has come, over as many micro-batches as that takes; one that begins before the first price can
+    never be settled and is dropped. State holds waiting forecasts and the prices they may still need.
+    """
+
+    def step(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(frames)).sort_values(["ts_us", "seq"])
+        held = [np.array(x, dtype=t) for x, t in zip(state.get, (np.int64, np.int64, np.int64, float), strict=True)] if state.exists else [np.empty(0, np.int64)] * 3 + [np.empty(0)]
+        asked, paid = pdf[pdf["forecast"]], pdf[~pdf["forecast"]]
+        issued, at = np.r_[held[0], asked["seq"].to_numpy()], np.r_[held[1], asked["ts_us"].to_numpy()]
+        ts, price = np.r_[held[2], paid["ts_us"].to_numpy()], np.r_[held[3], paid["value"].to_numpy(dtype=float)]
+        begin, end = at + gap_us, at + horizon_us
+        first = np.searchsorted(ts, begin, side="right") - 1
+        covered = end <= (ts[-1] if len(ts) else -1)
+        done = covered & (first >= 0)
+        last = np.searchsorted(ts, end[done], side="right") - 1
+        out = pd.DataFrame({key: [keys[0]] * int(done.sum()), "issued_seq": issued[done], "realised": price[last] - price[first[done]]})
+        waiting = ~covered
+        needed = min([*begin[waiting].tolist(), *ts[-1:].tolist()], default=0)
+        keep = max(0, int(np.searchsorted(ts, needed, side="right")) - 1)
+        state.update((issued[waiting].tolist(), at[waiting].tolist(), ts[keep:].tolist(), price[keep:].tolist()))
+        yield out
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.groupBy(key).applyInPandasWithState(
+        step, f"{key} {kind}, issued_seq long, realised double", "issued array<long>, at array<long>, ts array<long>, price array<double>", "append", GroupStateTimeout.NoTimeout
+    )

@@ -132,8 +132,12 @@ def test_minute_files_registry_and_index(spark, folder):
     reg = M.read_registry(spark, f"{folder}/r.json", "features", ST.StructType([ST.StructField("name", ST.StringType())]))
     assert sorted(r["name"] for r in reg.collect()) == ["a", "b"]
     with open(f"{folder}/v.csv", "w") as f:
-        f.write("date,open,high,low,close\n2026-08-03,1,2,1,2\n2026-08-03,1,2,1,2\n2026-08-04,1,2,1,2\n")
-    assert M.read_daily_index(spark, f"{folder}/v.csv").count() == 2
+        f.write(
+            "datetime,open,close\n2026-08-03 09:00:00+05:30,9,9\n2026-08-03 09:16:00+05:30,3,4\n2026-08-03 09:15:00+05:30,1,2\n"
+            "2026-08-03 15:30:00+05:30,5,6\n2026-08-03 15:30:00+05:30,7,8\n2026-08-03 15:31:00+05:30,0,0\n2026-08-04 16:00:00+05:30,1,1\n"
+        )
+    got = [tuple(r) for r in M.read_daily_index(spark, f"{folder}/v.csv").collect()]
+    assert got == [(dt.date(2026, 8, 3), 1.0, 8.0, 3)]
 
 
 def test_bars_write_once(spark, folder):

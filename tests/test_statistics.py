@@ -160,3 +160,67 @@ def test_components_and_clusters(spark):
     pairs = spark.createDataFrame([("a", "b", 0.9), ("b", "c", -0.95), ("c", "d", 0.1)], "a string, b string, r double")
     clusters = {r["feature"]: r["component"] for r in correlation_clusters(pairs, 0.8).collect()}
     assert clusters == {"a": "a", "b": "a", "c": "a", "d": "d"}
+
+
+def test_error_function_and_literal_option_values(spark):
+    import math
+
+    x = np.linspace(-7, 7, 20_011)
+    assert np.abs(O._erf(x) - np.array([math.erf(v) for v in x])).max() < 4e-16
+    assert np.isnan(O._erf(np.array([np.nan]))[0])
+    rows = spark.createDataFrame([(100.0, 100.0, 1.0, 0.2, 0.05, True), (105.0, 100.0, 0.5, 0.3, 0.02, False)], "f double, k double, t double, v double, r double, c boolean")
+    got = rows.select(O.black76(*[F.col(c) for c in "fktvrc"]).alias("p")).collect()
+    assert got[0].p == pytest.approx(7.577082146427274, abs=1e-12) and got[1].p == pytest.approx(6.32173589008192, abs=1e-12)
+
+
+def test_nearest_quiet_control_equals_brute_force(spark):
+    from tapeloom.operators.matching import nearest_control
+
+    rng = np.random.default_rng(3)
+    events = [(i, int(rng.integers(0, 6)), float(rng.normal(0, 3)), float(rng.normal())) for i in range(150)]
+    controls = [(1000 + i, int(rng.integers(0, 4)), float(np.round(rng.normal(), 1)), 2.5 if i % 3 else float(rng.normal()), bool(rng.random() < 0.6)) for i in range(300)]
+    controls += [(2000, 4, 0.0, 0.0, False)]
+    e = spark.createDataFrame(events, "e long, g int, a double, b double")
+    c = spark.createDataFrame(controls, "c long, g int, a double, b double, quiet boolean")
+    got = {r.e: (r.c, r.distance, r.reason) for r in nearest_control(e, c, ["g"], ["a", "b"], "e", "c", "quiet").collect()}
+    assert len(got) == len(events)
+    for i, g, *x in events:
+        same = [r for r in controls if r[1] == g]
+        calm = [r for r in same if r[4]]
+        if not calm:
+            assert got[i] == (None, None, "no_quiet_same_stratum_candidates" if same else "no_same_stratum_candidates")
+            continue
+        spans = [max(x[j], *[r[2 + j] for r in calm]) - min(x[j], *[r[2 + j] for r in calm]) or 1.0 for j in range(2)]
+        best = min((sum(((x[j] - r[2 + j]) / spans[j]) ** 2 for j in range(2)), r[0]) for r in calm)
+        assert got[i][0] == best[1] and got[i][1] == pytest.approx(best[0]) and got[i][2] is None
+
+
+def test_chain_fit_keeps_to_training_and_leaks_to_dropped_states(spark):
+    from tapeloom.operators.regression import stoikov_adjustment
+
+    rows = [("a", "b", 1.0, 5)] * 10 + [("a", "z", 0.0, 5)] * 10 + [("b", "a", -1.0, 5)] * 5 + [("b", "z", 2.0, 5)] * 15 + [("z", "a", 0.0, 5)] * 3
+    rows += [("a", "a", 99.0, 10)] * 50
+    frame = spark.createDataFrame(rows, "state string, next_state string, mid_change_ticks double, resolved_ts long")
+    got = {r.state: r for r in stoikov_adjustment(frame, until=10).collect()}
+    want = np.linalg.solve(np.eye(2) - np.array([[0, 0.5], [0.25, 0]]), [0.5, 1.25])
+    assert [got[s].adjustment for s in "ab"] == pytest.approx(list(want))
+    assert (got["a"].transitions, got["z"].estimated, got["z"].adjustment, got["a"].converged) == (20, False, None, True)
+    endless = spark.createDataFrame([("a", "a", 1.0, 1)] * 12, frame.schema)
+    r = stoikov_adjustment(endless).first()
+    assert (r.converged, r.adjustment) == (False, 1.0)
+
+
+def test_order_events_need_their_pending_change(spark):
+    from tapeloom.operators.orders import illegal_transitions
+    from tapeloom.operators.slices import Slices
+
+    story = [
+        ("acknowledged", "BrokerAcknowledged"), ("acknowledged", "CancelRequested"), ("cancelled", "CancelAccepted"), ("cancelled", "CancelAccepted"),
+        ("acknowledged", "BrokerAcknowledged"), ("acknowledged", "ModifyAccepted"), ("acknowledged", "ModifyRequested"), ("acknowledged", "CancelRequested"),
+        ("acknowledged", "ModifyRejected"), ("filled", "FillUpdate"), ("filled", "CancelAccepted"),
+    ]
+    rows = [(1, i, s, e) for i, (s, e) in enumerate(story[:4])] + [(2, i, s, e) for i, (s, e) in enumerate(story[4:])]
+    frame = spark.createDataFrame(rows, "k long, n long, s string, e string")
+    bad = illegal_transitions(frame, "k", "n", "s", "e", Slices((2.0, 4.0))).collect()
+    # The refused cancel request of order 2 still stands in the given events, so its late cancel is known.
+    assert sorted((r.k, r.e, r.pending) for r in bad) == [(2, "CancelRequested", "modify"), (2, "ModifyAccepted", "none"), (2, "ModifyRejected", "cancel")]
