@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb, log2
+from math import acos, ceil, comb, log, log2, pi, sqrt
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +48,7 @@ _BYTE_AT = np.arange(8, dtype=np.int64) * 256
 _BITS_OF = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def with_fingerprints(docs: DataFrame, words: int = 3, keep: list[str] | None = None, name: str = "fp") -> DataFrame:
+def with_fingerprints(docs: DataFrame, words: int = 3, keep: list[str] | None = None, name: str = "fp", wide: bool = False) -> DataFrame:
     """``keep`` columns of ``docs(text)`` plus fingerprint ``name``; whole texts, null and empty ones give 0."""
     small_batches(docs.sparkSession)
     keep = docs.columns if keep is None else keep
@@ -56,10 +57,11 @@ def with_fingerprints(docs: DataFrame, words: int = 3, keep: list[str] | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = pa.array([fingerprint(t.as_py(), words) for t in batch.column(at)], pa.int64())
+            made = wide_fingerprint if wide else fingerprint
+            fps = pa.array([made(t.as_py(), words) for t in batch.column(at)], pa.binary() if wide else pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], fps], names=[*keep, name])
 
-    return source.mapInArrow(run, T.StructType([*source.schema.fields[: len(keep)], T.StructField(name, T.LongType())]))
+    return source.mapInArrow(run, T.StructType([*source.schema.fields[: len(keep)], T.StructField(name, T.BinaryType() if wide else T.LongType())]))
 
 
 # ---- pivots -------------------------------------------------------------------------------------
@@ -225,14 +227,16 @@ def link_fingerprints(fps: DataFrame, radius: int = 3, fixed: int | None = None)
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_copy_groups(fps: DataFrame, radius: int = 3) -> DataFrame:
-    """(fp, component, group_id) for each distinct fingerprint of ``fps(fp, id)``.
+def near_copy_groups(fps: DataFrame, radius: int = 3, similarity: float | None = None) -> DataFrame:
+    """(fp, component, group_id) for each distinct fingerprint of ``fps(fp, id)``, linked within ``radius``
+    bits or, for wide fingerprints, by ``similarity``.
 
     ``group_id`` is the smallest id in the fingerprint's component (null ids count last). Equal
     fingerprints are one row before the search, so a group of copies of any size costs one row.
     """
     nodes = stored(fps.groupBy("fp").agg(F.min("id").alias("least")), "simhash-nodes")
-    links = stored(link_fingerprints(nodes, radius), "simhash-links")
+    found = link_fingerprints(nodes, radius) if similarity is None else link_similar(nodes, similarity)
+    links = stored(found, "simhash-links")
     member = connected_components(links, "simhash-components").select(F.col("node").alias("fp"), "component")
     linked = stored(nodes.join(member, "fp"), "simhash-members")
     least = linked.groupBy("component").agg(F.min("least").alias("group_id"))
@@ -258,14 +262,152 @@ def op6_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def drop_near_copies(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
+# ---- a given similarity -------------------------------------------------------------------------
+# Three bits of 64 mean near identity. For a looser similarity the fingerprint is wider, so that the number
+# of differing bits tells the similarity, and groups fix sampled bits, as no exact rule has few groups there.
+
+
+def wide_fingerprint(text: str | None, words: int = 5, lanes: int = 4) -> bytes:
+    """SimHash of ``lanes`` times 64 bits, eight bytes a lane; zero bytes for a text without words.
+
+    Lanes after the first come from mixing the same shingle hashes with other constants.
+    """
+    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not tokens:
+        return bytes(8 * lanes)
+    digest = xxhash.xxh64_intdigest
+    starts = range(max(1, len(tokens) - words + 1))
+    hashes = np.array([digest(b" ".join(tokens[i : i + words]), 42) for i in starts], dtype="<u8")
+    out = []
+    for lane in range(lanes):
+        h = hashes
+        if lane:
+            h = h + np.uint64(lane * 0x9E3779B97F4A7C15 % 2**64)
+            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            h = h ^ (h >> np.uint64(31))
+        octets = h.view(np.uint8).reshape(-1, 8)
+        counts = np.bincount((octets + _BYTE_AT).ravel(), minlength=2048).reshape(8, 256)
+        out.append(np.packbits((2 * (counts @ _BITS_OF) > len(h)).ravel(), bitorder="little").tobytes())
+    return b"".join(out)
+
+
+def bits_apart(similarity: float, bits: int) -> float:
+    """Expected differing bits of two texts whose shingle sets of one size have this Jaccard similarity."""
+    return bits * acos(2 * similarity / (1 + similarity)) / pi
+
+
+class Tables(NamedTuple):
+    """Sampled bits of each table: two fingerprints that agree on all bits of one table are compared."""
+
+    bits: int
+    tables: int
+
+
+def tables_for(n: int, similarity: float, recall: float = 0.97) -> Tables:
+    """As many bits as keep groups of ``n`` random fingerprints small, and as many tables as two texts of
+    exactly this similarity need to meet with this chance (more similar ones meet more surely)."""
+    bits = max(16, ceil(log2(max(n, 2))) - 3)
+    agree = (1 - bits_apart(similarity, 1)) ** bits
+    return Tables(bits, ceil(log(1 - recall) / log(1 - agree)))
+
+
+def _wide_links(code: np.ndarray, fps: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Positions of linked rows within runs of equal ``code``: a spanning forest of each run's links."""
+    start = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+    length = np.diff(np.r_[start, len(code)])
+    of_run = np.repeat(length, length)
+    at = np.flatnonzero((of_run > 1) & (of_run <= SHORT_RUN))
+    links: list[tuple[int, int]] = []
+    for step in range(1, SHORT_RUN):
+        i = np.flatnonzero(code[at][step:] == code[at][:-step])
+        if not len(i):
+            break
+        a, b = at[i], at[i + step]
+        near = np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1) <= most
+        links += zip(a[near].tolist(), b[near].tolist(), strict=True)
+    for s, n in zip(start[length > SHORT_RUN], length[length > SHORT_RUN], strict=True):
+        rest = np.arange(s, s + n)
+        while len(rest):
+            front, rest = [int(rest[0])], rest[1:]
+            while front and len(rest):
+                x = front.pop()
+                near = np.bitwise_count(fps[rest] ^ fps[x]).sum(axis=1) <= most
+                links += [(x, int(y)) for y in rest[near]]
+                front += rest[near].tolist()
+                rest = rest[~near]
+    return links
+
+
+def link_similar(fps: DataFrame, similarity: float = 0.8, lanes: int = 4, seed: int = 17) -> DataFrame:
+    """Links (a, b) among the distinct wide fingerprints ``fps.fp``: those no further apart than texts of
+    this similarity are expected to be, with a standard deviation of slack, found where they agree on
+    the sampled bits of a table.
+
+    A fingerprint goes to one group for each table; a group gives a spanning forest of its links, never
+    all pairs, and holds few unrelated fingerprints at any table size, see ``tables_for``.
+    """
+    bits = 64 * lanes
+    apart = bits_apart(similarity, bits)
+    most = int(apart + sqrt(apart * (1 - apart / bits)))
+    plan = tables_for(fps.count(), similarity)
+    rng = np.random.default_rng(seed)
+    sampled = [np.sort(rng.choice(bits, plan.bits, replace=False)) for _ in range(plan.tables)]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            raw = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=np.uint8).reshape(-1, bits // 8)
+            each = np.unpackbits(raw, axis=1, bitorder="little")
+            for n, own in enumerate(sampled):
+                packed = np.packbits(each[:, own], axis=1, bitorder="little")
+                codes = [xxhash.xxh64_intdigest(row.tobytes(), n) >> 1 for row in packed]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.int64())], names=["fp", "code"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_code, held = np.empty(0, np.int64), np.empty((0, lanes), np.uint64)
+
+        def out(code: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
+            sets, found = _Sets(), []
+            for i, j in _wide_links(code, own, most) if len(code) else []:
+                pair = own[i].tobytes(), own[j].tobytes()
+                if sets.join(*pair):
+                    found.append(pair)
+            if found:
+                a, b = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=np.uint64).reshape(-1, lanes)
+            code = batch.column(1).to_numpy()
+            parts.append((code, own))
+            if code[0] == code[-1] == parts[0][0][-1]:
+                continue  # still inside one group
+            held_code, held = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            cut = int(np.searchsorted(held_code, held_code[-1], side="left"))
+            parts = [(held_code[cut:], held[cut:])]
+            yield from out(held_code[:cut], held[:cut])
+        if parts:
+            yield from out(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+
+    small_batches(fps.sparkSession, 4096)
+    dealt = fps.select("fp").distinct().mapInArrow(deal, "fp binary, code long")
+    return dealt.repartition("code").sortWithinPartitions("code").mapInArrow(run, "a binary, b binary").distinct()
+
+
+def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of each component kept: the one with the smallest doc_id, then text hash.
 
-    Rows with their fingerprints are written to the shared folder first, so each text is read once; the
-    kept rows' numbers then meet them in one join. Null ids come after all others.
+    Links join texts whose five-word shingles are similar to the given degree, as far as wide fingerprints
+    tell. Rows with their fingerprints are written to the shared folder first, so each text is read once;
+    the kept rows' numbers then meet them in one join. Null ids come after all others.
     """
     uid = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("n"))
-    rows = stored(with_fingerprints(docs.withColumn("__uid", uid), words, name="__fp"), "simhash-rows")
-    groups = near_copy_groups(rows.select(F.col("__fp").alias("fp"), F.col("__uid").alias("id")), radius)
+    rows = stored(with_fingerprints(docs.withColumn("__uid", uid), words, name="__fp", wide=True), "simhash-rows")
+    groups = near_copy_groups(rows.select(F.col("__fp").alias("fp"), F.col("__uid").alias("id")), similarity=similarity)
     kept = groups.select(F.col("group_id").alias("__uid")).distinct()
     return rows.join(kept, "__uid", "left_semi").select(*docs.columns)

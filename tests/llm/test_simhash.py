@@ -179,3 +179,67 @@ def test_components_of_paths_stars_and_loops(spark):
 
 def test_no_edges(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_bits_and_tables_of_a_similarity():
+    assert simhash.bits_apart(1.0, 256) == 0 and simhash.bits_apart(0.0, 256) == 128
+    assert simhash.bits_apart(0.8, 64) == pytest.approx(9.7, abs=0.1)
+    small, large = simhash.tables_for(100, 0.8), simhash.tables_for(10**9, 0.8)
+    assert small.bits == 16 and large.bits == 27 and large.tables > small.tables
+    for plan in (small, large):
+        assert 1 - (1 - (1 - simhash.bits_apart(0.8, 1)) ** plan.bits) ** plan.tables >= 0.97
+
+
+def test_wide_fingerprints_begin_with_the_narrow_one():
+    for text in ("", None, "one", "a b c d e f g h i j k l m"):
+        wide = simhash.wide_fingerprint(text, words=3)
+        assert len(wide) == 32 and int.from_bytes(wide[:8], "little", signed=True) == simhash.fingerprint(text)
+    rng = np.random.default_rng(0)
+    texts = [" ".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 60)) for _ in range(40)]
+    raw = np.frombuffer(b"".join(simhash.wide_fingerprint(t) for t in texts), dtype=np.uint64).reshape(-1, 4)
+    lanes = np.bitwise_count(raw[:, :1] ^ raw[:, 1:]).mean()
+    assert 30 < lanes < 34
+
+
+def similar_corpus(seed=4, bases=60, words=150):
+    """Each base with copies of 1, 2 and 12 changed words: (doc_id, text, source)."""
+    rng = np.random.default_rng(seed)
+    vocabulary = np.array([f"w{i}" for i in range(3000)])
+    rows = []
+    for b in range(bases):
+        base = rng.choice(vocabulary, words)
+        for edits in (0, 1, 2, 12):
+            copy = base.copy()
+            copy[rng.choice(words, edits, replace=False)] = [f"x{b}_{edits}_{i}" for i in range(edits)]
+            rows.append((len(rows), " ".join(copy), "s"))
+    return rows
+
+
+def shingle_similarity(a, b, k=5):
+    x, y = ({tuple(t.split()[i : i + k]) for i in range(len(t.split()) - k + 1)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_stage_joins_what_is_similar_and_nothing_else(spark):
+    rows = similar_corpus()
+    kept = {r.doc_id for r in simhash.drop_near_copies(docs(spark, rows)).collect()}
+    near = [i for i, t, _ in rows if i % 4 in (1, 2)]
+    assert all(shingle_similarity(rows[i][1], rows[i - i % 4][1]) > 0.8 for i in near)
+    assert sum(i in kept for i in near) <= 0.05 * len(near)
+    far = [i for i, t, _ in rows if i % 4 == 3]
+    assert max(shingle_similarity(rows[i][1], rows[i - 3][1]) for i in far) < 0.6
+    assert all(i in kept for i in far) and all(i in kept for i in range(0, len(rows), 4))
+
+
+def test_wide_links_of_long_runs_are_forests(spark):
+    rng = np.random.default_rng(6)
+    centre = rng.integers(0, 2**63, 4).astype(np.uint64)
+    values = np.tile(centre, (200, 1))
+    for row in values[:150]:
+        for b in rng.choice(256, 10, replace=False):
+            row[b // 64] ^= np.uint64(1 << int(b % 64))
+    values[150:] = rng.integers(0, 2**63, (50, 4)).astype(np.uint64)
+    links = simhash._wide_links(np.zeros(200, np.int64), values, 41)
+    assert len(links) == 149 and {i for pair in links for i in pair} == set(range(150))
+    short = simhash._wide_links(np.repeat(np.arange(10), 20), values, 41)
+    assert all(a // 20 == b // 20 and np.bitwise_count(values[a] ^ values[b]).sum() <= 41 for a, b in short)
