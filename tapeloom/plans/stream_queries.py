@@ -104,14 +104,23 @@ def stream_decayed_mean(spark, sf):
 
 @query(
     "stream_signal_episodes",
-    f"""WITH {TAPE_SQL}, s AS (SELECT instrument_id, seq, ts_us, CASE WHEN value > 60 THEN 1 WHEN value < 15 THEN -1 ELSE 0 END AS g FROM tape), b AS (SELECT *, CASE WHEN g IS DISTINCT FROM lag(g) OVER (PARTITION BY instrument_id ORDER BY ts_us, seq) THEN 1 ELSE 0 END AS new FROM s),
-    k AS (SELECT *, sum(new) OVER (PARTITION BY instrument_id ORDER BY ts_us, seq ROWS UNBOUNDED PRECEDING) AS run FROM b), r AS (SELECT instrument_id, run, any_value(g) AS g, min(ts_us) AS opened_ts, count(*) AS frames FROM k GROUP BY 1, 2), n AS (SELECT *, lead(g) OVER w AS ng, lead(opened_ts) OVER w AS closed_ts FROM r WINDOW w AS (PARTITION BY instrument_id ORDER BY run))
-    SELECT instrument_id, opened_ts, closed_ts, frames, CASE WHEN ng = 0 THEN 'corrected' ELSE 'invalidated' END AS outcome FROM n WHERE g <> 0 AND frames >= 2 AND closed_ts IS NOT NULL""",
+    f"""WITH RECURSIVE {TAPE_SQL}, s AS (SELECT instrument_id, ts_us, row_number() OVER (PARTITION BY instrument_id ORDER BY ts_us, seq) AS rn, value BETWEEN 35 AND 45 AS z,
+      CASE WHEN seq % 17 = 0 THEN NULL WHEN value > 55 THEN 1 WHEN value < 25 THEN -1 ELSE 0 END AS g FROM tape),
+    r AS (SELECT DISTINCT instrument_id, CAST(0 AS BIGINT) AS rn, 0 AS a_dir, CAST(0 AS BIGINT) AS a_open, CAST(0 AS BIGINT) AS a_conf, 0 AS shut, 0 AS astray, 0 AS p_dir, CAST(0 AS BIGINT) AS p_open, 0 AS p_n,
+        CAST(NULL AS VARCHAR) AS outcome, CAST(0 AS BIGINT) AS o_open, CAST(0 AS BIGINT) AS o_conf, CAST(0 AS BIGINT) AS ended FROM s
+      UNION ALL SELECT instrument_id, rn, CASE WHEN still THEN a_dir WHEN pn >= 2 THEN q ELSE 0 END, CASE WHEN still THEN a_open ELSE po END, CASE WHEN still THEN a_conf ELSE ts_us END,
+        CASE WHEN still THEN t1 ELSE 0 END, CASE WHEN still THEN c1 ELSE 0 END, CASE WHEN still OR pn >= 2 THEN 0 ELSE q END, po, CASE WHEN pn >= 2 THEN 0 ELSE pn END, done, a_open, a_conf, ts_us
+      FROM (SELECT *, CASE WHEN still OR q = 0 THEN 0 WHEN p_dir = q THEN p_n + 1 ELSE 1 END AS pn, CASE WHEN p_dir = q AND q <> 0 THEN p_open ELSE ts_us END AS po
+        FROM (SELECT *, a_dir <> 0 AND done IS NULL AS still, coalesce(g, 0) AS q
+          FROM (SELECT *, CASE WHEN a_dir = 0 THEN NULL WHEN g IS NULL THEN 'censored' WHEN t1 >= 2 THEN 'corrected' WHEN c1 >= 2 THEN 'invalidated' END AS done
+            FROM (SELECT r.*  EXCLUDE (rn), s.rn, s.ts_us, s.g, CASE WHEN s.z THEN shut + 1 ELSE 0 END AS t1, CASE WHEN s.g = a_dir THEN 0 ELSE astray + 1 END AS c1 FROM r JOIN s ON s.instrument_id = r.instrument_id AND s.rn = r.rn + 1)))))
+    SELECT instrument_id, o_open AS opened_ts, o_conf AS confirmed_ts, ended AS closed_ts, outcome FROM r WHERE outcome IS NOT NULL""",
 )
 def stream_signal_episodes(spark, sf):
-    signal = F.when(F.col("value") > 60, 1.0).when(F.col("value") < 15, -1.0).otherwise(0.0)
-    rows = live(spark, sf).select("instrument_id", "seq", "ts_us", signal.alias("signal"))
-    return spark.read.parquet(drain(spark, stateful.episode_machine(rows, "instrument_id", "signal", 2), "append")).drop("batch")
+    value, seen = F.col("value"), F.col("seq") % 17 != 0
+    signal = F.when(seen, F.when(value > 55, 1.0).when(value < 25, -1.0).otherwise(0.0))
+    rows = live(spark, sf).select("instrument_id", "seq", "ts_us", signal.alias("signal"), value.between(35, 45).alias("shut"))
+    return spark.read.parquet(drain(spark, stateful.episode_machine(rows, "instrument_id", "signal", "shut", 2, 2), "append")).drop("batch")
 
 
 @query(

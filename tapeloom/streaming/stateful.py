@@ -70,33 +70,42 @@ def decayed_mean(rows: DataFrame, key: str, value: str, half_life_us: int, reset
     )
 
 
-def episode_machine(rows: DataFrame, key: str, signal: str, activate_after: int) -> DataFrame:
-    """Pending, active, corrected and invalidated episodes of a signed signal.
-
-    A non-zero signal opens a pending episode; after ``activate_after`` frames of one sign it is
-    active; a return to zero corrects it and a sign change invalidates it.
+def episode_machine(rows: DataFrame, key: str, signal: str, closed: str, confirm: int, correct: int) -> DataFrame:
+    """Confirmed episodes of a signed signal and how they end.
+
+    Input: key, ``seq, ts_us``, the signal (its sign is the direction, 0 does not qualify, null means that
+    there was no observation) and whether the gap has closed to its target. ``confirm`` frames of one
+    direction in a row make an episode. It is censored when an observation is missing, corrected after
+    ``correct`` frames in a row with the gap closed, and invalidated after ``correct`` frames in a row
+    without its direction. The frame that ends an episode may begin the next.
     """
 
     def step(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(frames)).sort_values(["ts_us", "seq"])
-        sign, count, opened = state.get if state.exists else (0, 0, 0)
-        out = []
-        for ts, x in zip(pdf["ts_us"], pdf[signal], strict=True):
-            now = (x > 0) - (x < 0)
-            if sign and now != sign:
-                if count >= activate_after:
-                    out.append((keys[0], opened, ts, count, "corrected" if now == 0 else "invalidated"))
-                sign, count = 0, 0
-            if now:
-                if not sign:
-                    sign, opened = now, ts
-                count += 1
-        state.update((int(sign), int(count), int(opened)))
-        yield pd.DataFrame(out, columns=[key, "opened_ts", "closed_ts", "frames", "outcome"])
+        way, seen, since, shut, astray, count = state.get if state.exists else (0, 0, 0, 0, 0, 0)
+        out = []  # since is 0 while an episode is not confirmed yet
+        for ts, x, z in zip(pdf["ts_us"], pdf[signal], pdf[closed], strict=True):
+            known = not pd.isna(x)
+            now = int(np.sign(x)) if known else 0
+            if since:
+                shut, astray = (shut + 1 if z else 0), (0 if now == way else astray + 1)
+                end = "censored" if not known else "corrected" if shut >= correct else "invalidated" if astray >= correct else None
+                if end is None:
+                    continue
+                out.append((keys[0], seen, since, ts, end))
+                way, since, count = 0, 0, 0
+            if not now or now != way:
+                way, seen, count = now, ts, 0
+            count += bool(now)
+            if now and count >= confirm:
+                since, shut, astray = ts, 0, 0
+        state.update(tuple(int(v) for v in (way, seen, since, shut, astray, count)))
+        yield pd.DataFrame(out, columns=[key, "opened_ts", "confirmed_ts", "closed_ts", "outcome"])
 
     kind = rows.schema[key].dataType.simpleString()
     return rows.groupBy(key).applyInPandasWithState(
-        step, f"{key} {kind}, opened_ts long, closed_ts long, frames long, outcome string", "sign int, count long, opened long", "append", GroupStateTimeout.NoTimeout
+        step, f"{key} {kind}, opened_ts long, confirmed_ts long, closed_ts long, outcome string",
+        "way int, seen long, since long, shut long, astray long, count long", "append", GroupStateTimeout.NoTimeout,
     )
 
 
