@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,3 +40,30 @@ def two_proportion_z(s1: str, n1: str, s2: str, n2: str) -> Column:
 
 def binomial_z(successes: Column, n: Column, p0: float = 0.5) -> Column:
     return (successes - n * p0) / F.sqrt(n * p0 * (1 - p0))
+
+
+def correlations(rows: DataFrame, vector: str) -> DataFrame:
+    """(a, b, r): correlation of every two positions (from 1) of an array column, in one pass.
+
+    Each batch of rows becomes sums and cross products as one matrix product; only those, a row for each
+    two positions, are added up by Spark. Rows with a null array or a null in it are left out, and all
+    arrays must be of one length. The pair of a position that does not vary has no correlation.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
+            k, sums, squares = x.shape[1], x.sum(axis=0), (x * x).sum(axis=0)
+            a, b = np.divmod(np.arange(k * k), k)
+            columns = [a + 1, b + 1, np.full(k * k, len(x)), sums[a], sums[b], squares[a], squares[b], (x.T @ x).ravel()]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+    names = ["a", "b", "n", "sa", "sb", "saa", "sbb", "sab"]
+    whole = rows.where(F.col(vector).isNotNull() & ~F.exists(vector, lambda v: v.isNull())).select(vector)
+    parts = whole.mapInArrow(run, "a long, b long, n long, sa double, sb double, saa double, sbb double, sab double")
+    t = parts.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in names[2:]])
+    n = F.col("n")
+    spread = (n * F.col("saa") - F.col("sa") ** 2) * (n * F.col("sbb") - F.col("sb") ** 2)
+    return t.select("a", "b", F.when(spread > 0, (n * F.col("sab") - F.col("sa") * F.col("sb")) / F.sqrt(spread)).alias("r"))

@@ -14,7 +14,8 @@ from .book_queries import ATOMIC_SQL, atomic, moves
 from .registry import query
 from .state_queries import GRID_SQL, grid, slot_slices
 
-NAMES = [f"f{i}" for i in range(1, 17)]
+WIDTH = 64
+NAMES = [f"f{i}" for i in range(1, WIDTH + 1)]
 
 
 def wide(spark, sf):
@@ -23,7 +24,7 @@ def wide(spark, sf):
 
 @query(
     "feature_quality_gates",
-    """WITH l AS (SELECT 'f' || CAST(i AS VARCHAR) AS feature, CAST(embedding[i] AS DOUBLE) AS value FROM embeddings, range(1, 17) t(i) WHERE vec_id % 10 < 7), a AS (SELECT feature, count(*) AS rows, count(CASE WHEN value NOT BETWEEN -0.35 AND 0.35 THEN 1 END) AS out_of_range, stddev_pop(CASE WHEN value BETWEEN -0.35 AND 0.35 THEN value END) AS sd FROM l GROUP BY 1)
+    """WITH l AS (SELECT 'f' || CAST(i AS VARCHAR) AS feature, CAST(embedding[i] AS DOUBLE) AS value FROM embeddings, range(1, 65) t(i) WHERE vec_id % 10 < 7), a AS (SELECT feature, count(*) AS rows, count(CASE WHEN value NOT BETWEEN -0.35 AND 0.35 THEN 1 END) AS out_of_range, stddev_pop(CASE WHEN value BETWEEN -0.35 AND 0.35 THEN value END) AS sd FROM l GROUP BY 1)
     SELECT feature, rows, out_of_range, round(sd, 6) AS sd, CASE WHEN out_of_range > 0 THEN 'out_of_range' WHEN sd < 0.001 THEN 'near_constant' END AS reason FROM a""",
 )
 def feature_quality_gates(spark, sf):
@@ -184,19 +185,16 @@ def relocation_pairs(spark, sf):
 
 @query(
     "correlation_clusters",
-    """WITH RECURSIVE l AS (SELECT vec_id, i, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, range(1, 13) t(i)), p AS (SELECT a.i AS a, b.i AS b, corr(a.v, b.v) AS r FROM l a JOIN l b ON a.vec_id = b.vec_id AND a.i < b.i GROUP BY 1, 2),
-    e AS (SELECT a AS s, b AS d FROM p WHERE abs(r) >= 0.08 UNION ALL SELECT b, a FROM p WHERE abs(r) >= 0.08), g AS (SELECT i AS n, i AS reach FROM range(1, 13) t(i) UNION SELECT g.n, e.d FROM g JOIN e ON e.s = g.reach)
+    """WITH RECURSIVE l AS (SELECT vec_id, i, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, range(1, 65) t(i)), p AS (SELECT a.i AS a, b.i AS b, corr(a.v, b.v) AS r FROM l a JOIN l b ON a.vec_id = b.vec_id AND a.i < b.i GROUP BY 1, 2),
+    e AS (SELECT a AS s, b AS d FROM p WHERE abs(r) >= 0.15 UNION ALL SELECT b, a FROM p WHERE abs(r) >= 0.15), g AS (SELECT i AS n, i AS reach FROM range(1, 65) t(i) UNION SELECT g.n, e.d FROM g JOIN e ON e.s = g.reach)
     SELECT n AS feature, min(reach) AS component FROM g GROUP BY 1""",
 )
 def correlation_clusters(spark, sf):
+    from ..operators.association import correlations
     from ..operators.surfaces import correlation_clusters as clusters
 
-    cols = [f"x{i}" for i in range(1, 13)]
-    e = table(spark, sf, "embeddings").select(*[F.get("embedding", i).cast("double").alias(c) for i, c in enumerate(cols)])
-    pairs = [(i, j) for i in range(1, 13) for j in range(i + 1, 13)]
-    row = e.agg(*[F.corr(f"x{i}", f"x{j}").alias(f"c{i}_{j}") for i, j in pairs])
-    table_ = row.select(F.inline(F.array(*[F.struct(F.lit(i).cast("long").alias("a"), F.lit(j).cast("long").alias("b"), F.col(f"c{i}_{j}").alias("r")) for i, j in pairs])))
-    return clusters(table_, 0.08)
+    pairs = correlations(table(spark, sf, "embeddings"), "embedding")
+    return clusters(pairs.where("a < b"), 0.15)
 
 
 @query(
