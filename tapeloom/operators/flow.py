@@ -241,10 +241,11 @@ def boundary_churn(side: str, overlap: float = 0.9) -> Column:
     )
 
 
-def atomic_events(moves: DataFrame, carry: Sequence[str], far: float) -> DataFrame:
+def atomic_events(moves: DataFrame, carry: Sequence[str], far: float, overlap: float = 0.9) -> DataFrame:
     """Far-book changes by price: additions, removals, size and order-count changes, one row each.
 
-    A level is far when its distance from the previous best exceeds ``far`` price units.
+    A level is far when its distance from the previous best exceeds ``far`` price units. Prices that come
+    and go because a side's visible window slid (``boundary_churn``) are no events.
     """
     parts = []
     for side, sign in (("bids", 1.0), ("asks", -1.0)):
@@ -255,7 +256,7 @@ def atomic_events(moves: DataFrame, carry: Sequence[str], far: float) -> DataFra
         def level(book: str, price: Column) -> Column:
             return F.get(F.filter(F.col(book), lambda x: x["price"] == price), 0)
 
-        opened = moves.select(*carry, "bids", "asks", "p", best.alias("best"), F.explode(prices).alias("price"))
+        opened = moves.select(*carry, "bids", "asks", "p", best.alias("best"), boundary_churn(side, overlap).alias("churn"), F.explode(prices).alias("price"))
         before, after = level(f"p.{side}", F.col("price")), level(side, F.col("price"))
         opened = opened.select(
             *carry,
@@ -263,8 +264,8 @@ def atomic_events(moves: DataFrame, carry: Sequence[str], far: float) -> DataFra
             "price",
             ((F.col("best") - F.col("price")) * sign).alias("distance"),
             before["quantity"].alias("q0"), after["quantity"].alias("q1"),
-            before["orders"].alias("o0"), after["orders"].alias("o1"),
-        ).where(F.col("distance") > far)
+            before["orders"].alias("o0"), after["orders"].alias("o1"), "churn",
+        ).where((F.col("distance") > far) & ~(F.col("churn") & (F.col("q0").isNull() | F.col("q1").isNull())))
         kinds = F.array_compact(
             F.array(
                 F.when(F.col("q1").isNull(), F.struct(F.lit("removal").alias("kind"), F.col("q0").cast("double").alias("magnitude"))),

@@ -299,25 +299,31 @@ def ladder_differences(spark, sf):
     )
 
 
+FAR = 0.1
+OVERLAP = 0.6  # ladders here are six levels deep, so a slide by one or two keeps less than in deep books
+CHURN_SQL = f"""sd AS (SELECT instrument_id, seq, ts_us, 'bid' AS side, pb AS old, bids AS new, pb[1].price AS best, 1.0 AS sgn FROM moves WHERE invalid IS NULL
+   UNION ALL SELECT instrument_id, seq, ts_us, 'ask', pa, asks, pa[1].price, -1.0 FROM moves WHERE invalid IS NULL),
+sp AS (SELECT *, list_transform(old, lambda x: x.price) AS op, list_transform(new, lambda x: x.price) AS np FROM sd),
+se AS (SELECT *, list_filter(op, lambda y: NOT list_contains(np, y)) AS gone, list_filter(np, lambda y: NOT list_contains(op, y)) AS come, list_filter(np, lambda y: list_contains(op, y)) AS kept FROM sp),
+lv AS (SELECT instrument_id, seq, ts_us, side, old, new, best, sgn, len(gone) > 0 AND len(come) > 0 AND len(kept) / CAST(least(len(op), len(np)) AS DOUBLE) >= {OVERLAP} AND len(gone) <= 2 AND len(come) <= 2
+  AND list_contains(gone, CASE side WHEN 'bid' THEN list_min(op) ELSE list_max(op) END) AND list_contains(come, CASE side WHEN 'bid' THEN list_min(np) ELSE list_max(np) END) AS churn FROM se)"""
+
+
 @query(
     "boundary_churn",
-    f"""WITH {MOVES_SQL}, d AS (SELECT seq, list_transform(pb, lambda x: x.price) AS op, list_transform(bids, lambda x: x.price) AS np FROM moves WHERE invalid IS NULL),
-    e AS (SELECT seq, op, np, list_filter(op, lambda y: NOT list_contains(np, y)) AS gone, list_filter(np, lambda y: NOT list_contains(op, y)) AS come, list_filter(np, lambda y: list_contains(op, y)) AS kept FROM d)
-    SELECT seq, len(gone) > 0 AND len(come) > 0 AND len(kept) / CAST(least(len(op), len(np)) AS DOUBLE) >= 0.6 AND len(gone) <= 2 AND len(come) <= 2
-      AND list_contains(gone, list_min(op)) AND list_contains(come, list_min(np)) AS churn FROM e""",
+    f"""WITH {MOVES_SQL}, {CHURN_SQL} SELECT seq, side, churn FROM lv""",
 )
 def boundary_churn(spark, sf):
-    return moves(spark, sf).where(F.col("invalid").isNull()).select("seq", flow.boundary_churn("bids", 0.6).alias("churn"))
+    sides = F.array(*[F.struct(F.lit(s[:-1]).alias("side"), flow.boundary_churn(s, OVERLAP).alias("churn")) for s in ("bids", "asks")])
+    return moves(spark, sf).where(F.col("invalid").isNull()).select("seq", F.inline(sides))
 
 
-FAR = 0.1
-ATOMIC_SQL = f"""{MOVES_SQL}, lv AS (SELECT instrument_id, seq, ts_us, 'bid' AS side, pb AS old, bids AS new, pb[1].price AS best, 1.0 AS sgn FROM moves WHERE invalid IS NULL
-   UNION ALL SELECT instrument_id, seq, ts_us, 'ask', pa, asks, pa[1].price, -1.0 FROM moves WHERE invalid IS NULL),
-ol AS (SELECT instrument_id, seq, ts_us, side, best, sgn, unnest(old) AS x FROM lv), nl AS (SELECT instrument_id, seq, ts_us, side, best, sgn, unnest(new) AS x FROM lv),
+ATOMIC_SQL = f"""{MOVES_SQL}, {CHURN_SQL},
+ol AS (SELECT instrument_id, seq, ts_us, side, best, sgn, churn, unnest(old) AS x FROM lv), nl AS (SELECT instrument_id, seq, ts_us, side, best, sgn, churn, unnest(new) AS x FROM lv),
 both_sides AS (SELECT coalesce(o.instrument_id, n.instrument_id) AS instrument_id, coalesce(o.seq, n.seq) AS seq, coalesce(o.ts_us, n.ts_us) AS ts_us, coalesce(o.side, n.side) AS side, coalesce(o.x.price, n.x.price) AS price,
-  (coalesce(o.best, n.best) - coalesce(o.x.price, n.x.price)) * coalesce(o.sgn, n.sgn) AS distance, o.x.quantity AS q0, n.x.quantity AS q1, o.x.orders AS o0, n.x.orders AS o1
+  (coalesce(o.best, n.best) - coalesce(o.x.price, n.x.price)) * coalesce(o.sgn, n.sgn) AS distance, o.x.quantity AS q0, n.x.quantity AS q1, o.x.orders AS o0, n.x.orders AS o1, coalesce(o.churn, n.churn) AS churn
   FROM ol o FULL JOIN nl n ON o.seq = n.seq AND o.side = n.side AND o.x.price = n.x.price),
-far AS (SELECT * FROM both_sides WHERE distance > {FAR}),
+far AS (SELECT * FROM both_sides WHERE distance > {FAR} AND NOT (churn AND (q0 IS NULL OR q1 IS NULL))),
 atomic AS (SELECT instrument_id, seq, ts_us, side, price, distance, 'removal' AS kind, CAST(q0 AS DOUBLE) AS magnitude FROM far WHERE q1 IS NULL
   UNION ALL SELECT instrument_id, seq, ts_us, side, price, distance, 'addition', q1 FROM far WHERE q0 IS NULL
   UNION ALL SELECT instrument_id, seq, ts_us, side, price, distance, 'quantity_increase', q1 - q0 FROM far WHERE q1 > q0
@@ -328,7 +334,7 @@ atomic AS (SELECT instrument_id, seq, ts_us, side, price, distance, 'removal' AS
 
 def atomic(spark, sf):
     valid = moves(spark, sf).where(F.col("invalid").isNull())
-    return flow.atomic_events(valid, ["instrument_id", "seq", "ts_us"], FAR)
+    return flow.atomic_events(valid, ["instrument_id", "seq", "ts_us"], FAR, OVERLAP)
 
 
 @query(
