@@ -116,15 +116,6 @@ def calibrate(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tup
     return float(max(w[0], 0.0)), float(w[1])
 
 
-def _coded(flat: pa.Array) -> tuple[pa.Array, pa.Array]:
-    """Codes and values, the values in byte order, so that a rerun codes alike."""
-    found = flat.dictionary_encode()
-    order = np.argsort(found.dictionary.to_numpy(zero_copy_only=False), kind="stable") if len(found.dictionary) else np.empty(0, np.int64)
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    return pa.array(place[found.indices.to_numpy()]), found.dictionary.take(pa.array(order))
-
-
 def _feature_sets(docs: DataFrame) -> DataFrame:
     """(role, features): each sample text's features."""
     small_batches(docs.sparkSession)
@@ -138,6 +129,31 @@ def _feature_sets(docs: DataFrame) -> DataFrame:
     return docs.select("role", "text").mapInArrow(run, schema)
 
 
+def _clearest(sets: DataFrame, n_p: int, n_u: int, s: Settings) -> dict[bytes, int]:
+    """The kept features, numbered: counted in Spark, and only the chosen ones reach the driver."""
+    each = sets.select("role", F.explode("features").alias("f")).groupBy("f").agg(
+        F.count(F.when(F.col("role") == "positive", 1)).alias("p"), F.count(F.when(F.col("role") == "unlabelled", 1)).alias("u")
+    )
+    p, u = F.col("p") / n_p, F.col("u") / n_u
+    clear = F.abs(p - u) / F.sqrt(p * (1 - p) / n_p + u * (1 - u) / n_u + 1e-9)
+    best = each.where(F.col("p") + F.col("u") >= s.least_texts).orderBy(clear.desc(), "f").limit(s.features)
+    return {f: n for n, f in enumerate(sorted(bytes(r.f) for r in best.select("f").collect()))}
+
+
+def _coded(sets: DataFrame, vocabulary: dict[bytes, int]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Positive and unlabelled texts as numbers of kept features, in an order that reruns share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = [[vocabulary[f] for f in t.as_py() if f in vocabulary] for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.list_(pa.int32()))], names=["role", "codes"])
+
+    out: dict[str, list[list[int]]] = {"positive": [], "unlabelled": []}
+    for r in sets.mapInArrow(run, "role string, codes array<int>").collect():
+        out[r.role].append(r.codes)
+    return tuple([np.array(t, dtype=np.int64) for t in sorted(texts)] for texts in out.values())
+
+
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
     """Fit on bounded samples: confirmed toxic rows of ``labels(doc_id, label)`` and unlabelled ``docs``.
 
@@ -159,26 +175,15 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     wanted = spark.createDataFrame(chosen, "doc_id long, role string")
     # At most positives + unlabelled ids: a broadcast of bounded size.
     sample = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(wanted), "doc_id")
-    rows = stored(_feature_sets(sample), "toxicity-sample").orderBy("role", F.xxhash64("features")).toArrow()
-    sets = rows.column("features").combine_chunks()
-    coded = pa.DictionaryArray.from_arrays(*_coded(sets.flatten()))
-    code, sizes = coded.indices.to_numpy(), np.diff(sets.offsets.to_numpy())
-    positive = rows.column("role").combine_chunks().to_numpy(zero_copy_only=False) == "positive"
-    of_p = np.repeat(positive, sizes)
-    width = len(coded.dictionary)
-    if positive.sum() < 2 or (~positive).sum() < 2 or not width:
+    sets = stored(_feature_sets(sample), "toxicity-sample")
+    sizes = {r.role: r["count"] for r in sets.groupBy("role").count().collect()}
+    n_p, n_u = sizes.get("positive", 0), sizes.get("unlabelled", 0)
+    if n_p < 2 or n_u < 2:
+        return Model({}, -35.0)
+    vocabulary = _clearest(sets, n_p, n_u, settings)
+    p, u = _coded(sets, vocabulary)
+    if not vocabulary:
         return Model({}, -35.0)
-    in_p, in_u = (np.bincount(code[own], minlength=width) for own in (of_p, ~of_p))
-    share_p, share_u = in_p / positive.sum(), in_u / (~positive).sum()
-    spread = np.sqrt(share_p * (1 - share_p) / positive.sum() + share_u * (1 - share_u) / (~positive).sum() + 1e-9)
-    clear = np.where(in_p + in_u >= settings.least_texts, np.abs(share_p - share_u) / spread, -1)
-    best = np.sort(np.argsort(-clear, kind="stable")[: settings.features])
-    best = best[clear[best] >= 0]
-    renamed = np.full(width, -1)
-    renamed[best] = np.arange(len(best))
-    texts = [c[c >= 0] for c in np.split(renamed[code], np.cumsum(sizes)[:-1])]
-    p, u = ([t for t, own in zip(texts, mask, strict=True) if own] for mask in (positive, ~positive))
-    vocabulary = {coded.dictionary[int(i)].as_py(): n for n, i in enumerate(best)}
     # Each member learns on two of three parts; the third part's margins calibrate the average.
     weights, offset, held_p, held_u = np.zeros(len(vocabulary)), 0.0, [], []
     parts = max(2, settings.members)
