@@ -66,6 +66,9 @@ class Slices:
         n = len(self.cuts)
         if n == 0:
             return F.when(v.isNull(), NULL_SLICE).otherwise(0)
+        if n <= 24 and self.between == 1:  # the same number, as plain comparisons that compile well
+            found = sum(((v >= F.lit(cut)).cast("int") for cut in self.cuts), F.lit(0))
+            return F.when(v.isNull(), NULL_SLICE).otherwise(found)
         cuts = F.from_json(F.lit("[" + ",".join(repr(c) for c in self.cuts) + "]"), "array<double>")
         steps = [1 << k for k in reversed(range(n.bit_length()))]
         found = F.aggregate(
