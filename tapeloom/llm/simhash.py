@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import acos, ceil, comb, log, log2, pi, sqrt
+from math import acos, ceil, comb, log2, pi, sqrt
 from typing import NamedTuple
 
 import numpy as np
@@ -227,16 +227,15 @@ def link_fingerprints(fps: DataFrame, radius: int = 3, fixed: int | None = None)
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_copy_groups(fps: DataFrame, radius: int = 3, similarity: float | None = None) -> DataFrame:
+def near_copy_groups(fps: DataFrame, radius: int = 3) -> DataFrame:
     """(fp, component, group_id) for each distinct fingerprint of ``fps(fp, id)``, linked within ``radius``
-    bits or, for wide fingerprints, by ``similarity``.
+    bits.
 
     ``group_id`` is the smallest id in the fingerprint's component (null ids count last). Equal
     fingerprints are one row before the search, so a group of copies of any size costs one row.
     """
     nodes = stored(fps.groupBy("fp").agg(F.min("id").alias("least")), "simhash-nodes")
-    found = link_fingerprints(nodes, radius) if similarity is None else link_similar(nodes, similarity)
-    links = stored(found, "simhash-links")
+    links = stored(link_fingerprints(nodes, radius), "simhash-links")
     member = connected_components(links, "simhash-components").select(F.col("node").alias("fp"), "component")
     linked = stored(nodes.join(member, "fp"), "simhash-members")
     least = linked.groupBy("component").agg(F.min("least").alias("group_id"))
@@ -304,12 +303,28 @@ class Tables(NamedTuple):
     tables: int
 
 
-def tables_for(n: int, similarity: float, recall: float = 0.97) -> Tables:
+def widest(similarity: float, bits: int, deviations: float = 3) -> int:
+    """Differing bits up to which a pair is a candidate: three deviations above what this similarity gives."""
+    apart = bits_apart(similarity, bits)
+    return int(apart + deviations * sqrt(apart * (1 - apart / bits)))
+
+
+def tables_for(n: int, similarity: float, recall: float = 0.97, width: int = 256) -> Tables:
     """As many bits as keep groups of ``n`` random fingerprints small, and as many tables as two texts of
-    exactly this similarity need to meet with this chance (more similar ones meet more surely)."""
+    exactly this similarity need to become candidates with this chance (more similar ones do more surely).
+
+    The chance is taken over all numbers of differing bits that the similarity gives, not at their mean.
+    """
     bits = max(16, ceil(log2(max(n, 2))) - 3)
-    agree = (1 - bits_apart(similarity, 1)) ** bits
-    return Tables(bits, ceil(log(1 - recall) / log(1 - agree)))
+    share = bits_apart(similarity, 1)
+    d = np.arange(widest(similarity, width) + 1)
+    weight = np.array([comb(width, int(k)) * share**k * (1 - share) ** (width - k) for k in d.tolist()])
+    if weight.sum() <= recall:
+        raise ValueError(f"only {weight.sum():.4f} of such pairs lie within {d[-1]} bits")
+    meet, tables = (1 - d / width) ** bits, 1
+    while (weight * (1 - (1 - meet) ** tables)).sum() < recall:
+        tables += 1
+    return Tables(bits, tables)
 
 
 def _wide_links(code: np.ndarray, fps: np.ndarray, most: int) -> list[tuple[int, int]]:
@@ -339,75 +354,164 @@ def _wide_links(code: np.ndarray, fps: np.ndarray, most: int) -> list[tuple[int,
     return links
 
 
-def link_similar(fps: DataFrame, similarity: float = 0.8, lanes: int = 4, seed: int = 17) -> DataFrame:
-    """Links (a, b) among the distinct wide fingerprints ``fps.fp``: those no further apart than texts of
-    this similarity are expected to be, with a standard deviation of slack, found where they agree on
-    the sampled bits of a table.
+def _cross_pairs(code: np.ndarray, fps: np.ndarray, part: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of all near pairs within runs of equal ``code`` whose ``part`` differs.
 
-    A fingerprint goes to one group for each table; a group gives a spanning forest of its links, never
-    all pairs, and holds few unrelated fingerprints at any table size, see ``tables_for``.
+    A run's largest part is not compared with itself, so a run that is one part but for some rows costs
+    the members times those rows.
+    """
+    start = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+    length = np.diff(np.r_[start, len(code)])
+    of_run = np.repeat(length, length)
+    at = np.flatnonzero((of_run > 1) & (of_run <= SHORT_RUN))
+    for step in range(1, SHORT_RUN):
+        i = np.flatnonzero(code[at][step:] == code[at][:-step])
+        if not len(i):
+            break
+        a, b = at[i], at[i + step]
+        differ = part[a] != part[b]
+        a, b = a[differ], b[differ]
+        near = np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1) <= most
+        yield a[near], b[near]
+    for s, n in zip(start[length > SHORT_RUN], length[length > SHORT_RUN], strict=True):
+        _, of, sizes = np.unique(part[s : s + n], return_inverse=True, return_counts=True)
+        if len(sizes) == 1:
+            continue
+        rank = np.empty(len(sizes), np.int64)
+        rank[np.argsort(sizes, kind="stable")] = np.arange(len(sizes))
+        order = np.argsort(rank[of], kind="stable")
+        ends = np.cumsum(np.sort(sizes))
+        rows, own = s + order, rank[of][order]
+        for k in range(n - sizes.max()):
+            rest = rows[ends[own[k]] :]
+            near = rest[np.bitwise_count(fps[rest] ^ fps[rows[k]]).sum(axis=1) <= most]
+            yield np.full(len(near), rows[k]), near
+
+
+def candidate_pairs(nodes: DataFrame, plan: Tables, most: int, every: bool, lanes: int = 4, seed: int = 17) -> DataFrame:
+    """Pairs (a, b), a < b, of ``nodes(node, fp, part)`` that agree on the sampled bits of a table and differ
+    in at most ``most`` bits: all of different parts, or (``every`` false) two spanning forests of each
+    group's pairs, grown from either end.
+
+    A node goes to one group for each table. Groups hold few unrelated fingerprints at any table size,
+    see ``tables_for``.
     """
     bits = 64 * lanes
-    apart = bits_apart(similarity, bits)
-    most = int(apart + sqrt(apart * (1 - apart / bits)))
-    plan = tables_for(fps.count(), similarity)
     rng = np.random.default_rng(seed)
     sampled = [np.sort(rng.choice(bits, plan.bits, replace=False)) for _ in range(plan.tables)]
+    value = 1 << np.arange(plan.bits, dtype=np.int64)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            raw = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=np.uint8).reshape(-1, bits // 8)
-            each = np.unpackbits(raw, axis=1, bitorder="little")
+            raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(-1, bits // 8)
+            each = np.unpackbits(raw, axis=1, bitorder="little").astype(np.int64)
             for n, own in enumerate(sampled):
-                packed = np.packbits(each[:, own], axis=1, bitorder="little")
-                codes = [xxhash.xxh64_intdigest(row.tobytes(), n) >> 1 for row in packed]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.int64())], names=["fp", "code"])
+                codes = (n << plan.bits) + each[:, own] @ value
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes)], names=[*batch.schema.names, "code"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_code, held = np.empty(0, np.int64), np.empty((0, lanes), np.uint64)
-
-        def out(code: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
-            sets, found = _Sets(), []
-            for i, j in _wide_links(code, own, most) if len(code) else []:
-                pair = own[i].tobytes(), own[j].tobytes()
-                if sets.join(*pair):
-                    found.append(pair)
-            if found:
-                a, b = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+        def pairs(code: np.ndarray, node: np.ndarray, part: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if every:
+                for i, j in _cross_pairs(code, fps, part, most):
+                    if len(i):
+                        yield out(node[i], node[j])
+                return
+            for way in (slice(None), slice(None, None, -1)):
+                sets, own = _Sets(), node[way]
+                found = [x for x in _wide_links(code[way], fps[way], most) if sets.join(int(own[x[0]]), int(own[x[1]]))]
+                if found:
+                    i, j = np.array(found, dtype=np.int64).T
+                    yield out(own[i], own[j])
+
+        parts: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            own = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=np.uint64).reshape(-1, lanes)
-            code = batch.column(1).to_numpy()
-            parts.append((code, own))
+            fps = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint64).reshape(-1, lanes)
+            code, node = batch.column(3).to_numpy(), batch.column(0).to_numpy()
+            parts.append((code, node, batch.column(2).to_numpy(), fps))
             if code[0] == code[-1] == parts[0][0][-1]:
                 continue  # still inside one group
-            held_code, held = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            cut = int(np.searchsorted(held_code, held_code[-1], side="left"))
-            parts = [(held_code[cut:], held[cut:])]
-            yield from out(held_code[:cut], held[:cut])
+            held = [np.concatenate(x) for x in zip(*parts, strict=True)]
+            cut = int(np.searchsorted(held[0], held[0][-1], side="left"))
+            parts = [tuple(x[cut:] for x in held)]
+            if cut:
+                yield from pairs(*(x[:cut] for x in held))
         if parts:
-            yield from out(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+            yield from pairs(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+    small_batches(nodes.sparkSession, 4096)
+    dealt = nodes.select("node", "fp", "part").mapInArrow(deal, "node long, fp binary, part long, code long")
+    return dealt.repartition("code").sortWithinPartitions("code", "node").mapInArrow(run, "a long, b long").distinct()
+
+
+def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
+    """The distinct word shingles of a text as 64-bit hashes, those that its fingerprint counts."""
+    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    starts = range(max(1, len(tokens) - words + 1)) if tokens else ()
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(tokens[i : i + words]), 42) for i in starts], dtype=np.uint64).view(np.int64))
+
+
+def with_shingles(texts: DataFrame, words: int) -> DataFrame:
+    """(node, shingles) of ``texts(node, text)``."""
+    small_batches(texts.sparkSession)
 
-    small_batches(fps.sparkSession, 4096)
-    dealt = fps.select("fp").distinct().mapInArrow(deal, "fp binary, code long")
-    return dealt.repartition("code").sortWithinPartitions("code").mapInArrow(run, "a binary, b binary").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), words) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs(a, b)`` whose shingle sets have at least this Jaccard similarity; two empty sets are equal."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
+    both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return both.where(shared >= F.lit(similarity) * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+
+
+def similar_nodes(nodes: DataFrame, texts: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
+    """(node, component) of the ``nodes(node, fp, least)`` that lie in one component with others over links of
+    at least this similarity between the five-word shingle sets of ``texts(__uid, text)``.
+
+    Fingerprints only propose pairs. Spanning forests of the candidates come first and their verified links
+    give parts; then every candidate pair of different parts that was not yet compared is verified too, so
+    the links connect what all verified candidate pairs would, and a large group costs few pairs a member.
+    """
+    plan, most = tables_for(nodes.count(), similarity), widest(similarity, 256)
+    first = stored(candidate_pairs(nodes.withColumn("part", F.col("node")), plan, most, every=False), "simhash-candidates")
+    touched = stored(first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).distinct(), "simhash-touched")
+    near = stored(nodes.join(touched, "node"), "simhash-near")
+    sets = stored(with_shingles(texts.join(near.select("node", F.col("least").alias("__uid")), "__uid"), words), "simhash-shingles")
+    links = stored(verified(first, sets, similarity), "simhash-links")
+    part = connected_components(links, "simhash-parts").select("node", F.col("component").alias("part"))
+    near = stored(near.join(part, "node", "left").withColumn("part", F.coalesce("part", "node")), "simhash-parted")
+    rest = candidate_pairs(near, plan, most, every=True).join(first, ["a", "b"], "left_anti")
+    more = stored(verified(stored(rest, "simhash-rest"), sets, similarity), "simhash-more")
+    return connected_components(links.unionByName(more), "simhash-components")
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of each component kept: the one with the smallest doc_id, then text hash.
 
-    Links join texts whose five-word shingles are similar to the given degree, as far as wide fingerprints
-    tell. Rows with their fingerprints are written to the shared folder first, so each text is read once;
-    the kept rows' numbers then meet them in one join. Null ids come after all others.
+    Links join texts whose five-word shingle sets have at least the given similarity. Equal texts are one
+    node before the search. Rows with their fingerprints are written to the shared folder first; the
+    candidates' texts are read once more for their shingles, and the dropped rows' numbers meet all rows
+    in one join. Null ids come after all others.
     """
     uid = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("n"))
     rows = stored(with_fingerprints(docs.withColumn("__uid", uid), words, name="__fp", wide=True), "simhash-rows")
-    groups = near_copy_groups(rows.select(F.col("__fp").alias("fp"), F.col("__uid").alias("id")), similarity=similarity)
-    kept = groups.select(F.col("group_id").alias("__uid")).distinct()
-    return rows.join(kept, "__uid", "left_semi").select(*docs.columns)
+    same = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    nodes = rows.groupBy(same.alias("same")).agg(F.first("__fp").alias("fp"), F.min("__uid").alias("least"))
+    nodes = stored(nodes.select(F.monotonically_increasing_id().alias("node"), "fp", "least"), "simhash-nodes")
+    member = similar_nodes(nodes, rows.select("__uid", "text"), similarity, words)
+    grouped = nodes.join(member, "node", "left").groupBy(F.coalesce("component", "node").alias("component"))
+    kept = stored(grouped.agg(F.min("least").alias("__uid")), "simhash-kept")
+    return rows.join(kept.select("__uid"), "__uid", "left_semi").select(*docs.columns)

@@ -243,3 +243,46 @@ def test_wide_links_of_long_runs_are_forests(spark):
     assert len(links) == 149 and {i for pair in links for i in pair} == set(range(150))
     short = simhash._wide_links(np.repeat(np.arange(10), 20), values, 41)
     assert all(a // 20 == b // 20 and np.bitwise_count(values[a] ^ values[b]).sum() <= 41 for a, b in short)
+
+
+def test_stage_decides_by_the_exact_similarity(spark):
+    """Pairs just above the similarity are joined, pairs just below are not, whatever their fingerprints say."""
+    rng = np.random.default_rng(11)
+    rows, close = [], {}
+    for p in range(240):
+        base = [f"p{p}_{i}" for i in rng.permutation(200)]
+        copy = list(base)
+        for at in range(18, 18 + 20 * (4 if p % 2 else 6), 20):
+            copy[at] = f"changed{p}_{at}"  # every change costs five shingles of 196
+        rows += [(2 * p, " ".join(base), "s"), (2 * p + 1, " ".join(copy), "s")]
+        close[2 * p + 1] = shingle_similarity(rows[-1][1], rows[-2][1])
+    kept = {r.doc_id for r in simhash.drop_near_copies(docs(spark, rows)).collect()}
+    assert {2 * p for p in range(240)} <= kept
+    above, below = [i for i, x in close.items() if x >= 0.8], [i for i, x in close.items() if x < 0.8]
+    assert len(above) == len(below) == 120 and min(close[i] for i in above) < 0.83 and max(close[i] for i in below) > 0.7
+    assert all(i in kept for i in below)
+    assert sum(i in kept for i in above) <= 0.05 * len(above)
+
+
+def test_a_failed_forest_link_does_not_part_a_group(spark):
+    """The first member is near all others by fingerprint only; the others are joined with each other."""
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in rng.permutation(200)]
+    odd = [f"odd{i}" if i % 20 == 18 and i < 138 else w for i, w in enumerate(base)]  # 6 changes: below 0.8
+    rows = [(0, " ".join(odd), "s")]
+    for n in range(1, 41):
+        copy = list(base)
+        copy[190 + n % 4] = f"own{n}"
+        rows.append((n, " ".join(copy), "s"))
+    assert max(shingle_similarity(rows[0][1], t) for _, t, _ in rows[1:]) < 0.8
+    assert {r.doc_id for r in simhash.drop_near_copies(docs(spark, rows)).collect()} == {0, 1}
+
+
+def test_cross_pairs_are_all_pairs_of_different_parts():
+    rng = np.random.default_rng(8)
+    code = np.repeat(np.arange(4), (3, 20, 100, 50))
+    fps = rng.integers(0, 2**63, (173, 4)).astype(np.uint64)
+    part = np.concatenate([rng.integers(0, 5, 123), np.full(50, 9)])
+    got = [tuple(sorted(x)) for a, b in simhash._cross_pairs(code, fps, part, 124) for x in zip(a.tolist(), b.tolist(), strict=True)]
+    want = {(i, j) for i, j in combinations(range(173), 2) if code[i] == code[j] and part[i] != part[j] and np.bitwise_count(fps[i] ^ fps[j]).sum() <= 124}
+    assert len(got) == len(set(got)) and set(got) == want and want
