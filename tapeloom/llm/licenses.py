@@ -113,7 +113,8 @@ def license_places(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES)
     # A diagonal joins the one before if it is near, and its votes lie near those.
     apart = (F.col("diagonal") - F.lag("diagonal").over(one) > NEAR) | (F.col("low") - F.lag("high").over(one) > F.col("grams"))
     votes = votes.withColumn("run", F.sum(F.when(base, 1).otherwise(F.coalesce(apart, F.lit(True)).cast("int"))).over(one))
-    ordered = F.coalesce(F.col("from") > F.lag("to").over(Window.partitionBy("uid", "template", "run").orderBy("diagonal", "low")), F.lit(True))
+    # Words left out put the later part on the smaller diagonal, so the order of a run is that of its places.
+    ordered = F.coalesce(F.col("from") > F.lag("to").over(Window.partitionBy("uid", "template", "run").orderBy("low", "from")), F.lit(True))
     votes = votes.withColumn("fits", ordered)
     merged = votes.groupBy("uid", "doc_id", "n_words", "template", "grams", "run").agg(
         F.sum(F.when(F.col("fits"), F.col("votes")).otherwise(0)).alias("votes"), F.min("low").alias("first_word"), F.max("high").alias("last_start")

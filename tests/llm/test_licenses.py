@@ -61,3 +61,18 @@ def test_query_equals_sql_and_brute_force(spark, sf):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for r in li.op9_diagonal_licenses(spark, sf).collect():
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == plain(texts[r.doc_id])
+
+
+def test_words_left_out_keep_the_label(spark):
+    words, rows = NOTICE.split(), []
+    for gone in (1, 3):
+        for at in range(len(words) - gone + 1):
+            rows.append((len(rows), " ".join(words[:at] + words[at + gone :]), gone))
+    got = {r.doc_id: r for r in li.scan_licenses(docs(spark, [(i, f"intro {t} outro", "s") for i, t, _ in rows])).collect()}
+    grams = {tuple(words[i : i + 3]) for i in range(len(words) - 2)}
+    for i, t, _ in rows:
+        w = t.split()
+        left = len(grams & {tuple(w[k : k + 3]) for k in range(len(w) - 2)}) / len(grams)
+        assert left >= li.ENOUGH and got[i].labels == "mit" and got[i].score == pytest.approx(left), t
+    swapped = " ".join(words[9:] + words[:9])  # the places fall back once, so this is no omission
+    assert li.scan_licenses(docs(spark, [(0, swapped, "s")])).collect()[0].labels == ""
