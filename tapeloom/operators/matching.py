@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .asof import asof
+from .flow import boundary_churn
 from .slices import SLICE, Slices
 
 
@@ -112,16 +113,19 @@ def nearest_control(
     return best.withColumn("reason", F.lit(None).cast("string")).unionByName(refused, allowMissingColumns=True)
 
 
-def relocations(moves: DataFrame, id_cols: Sequence[str], side: str, far: float, tolerance: float = 0.25) -> DataFrame:
+def relocations(moves: DataFrame, id_cols: Sequence[str], side: str, far: float, tolerance: float = 0.25, overlap: float = 0.9) -> DataFrame:
     """Pair far removed prices with far added prices of similar size, least difference first.
 
+    Where the visible window slid (``boundary_churn``), all prices that went and came are the slide's, as in
+    ``atomic_events``, so that transition has no pairs on this side.
     Each transition is one row with two ladders of bounded length; pairing it is a row-local step.
     """
     sign = 1.0 if side == "bids" else -1.0
-    source = moves.select(*id_cols, F.col(f"p.{side}").alias("old"), F.col(side).alias("new"))
+    source = moves.select(*id_cols, F.col(f"p.{side}").alias("old"), F.col(side).alias("new"), boundary_churn(side, overlap).alias("churn"))
     schema = T.StructType(
         [
             *[source.schema[c] for c in id_cols],
+            T.StructField("side", T.StringType()),
             T.StructField("source_price", T.DoubleType()),
             T.StructField("price", T.DoubleType()),
             T.StructField("direction", T.StringType()),
@@ -134,6 +138,8 @@ def relocations(moves: DataFrame, id_cols: Sequence[str], side: str, far: float,
         for pdf in batches:
             rows = []
             for row in pdf.to_dict("records"):
+                if row["churn"]:
+                    continue
                 old = {x["price"]: x["quantity"] for x in row["old"]}
                 new = {x["price"]: x["quantity"] for x in row["new"]}
                 top = row["old"][0]["price"]
@@ -149,7 +155,7 @@ def relocations(moves: DataFrame, id_cols: Sequence[str], side: str, far: float,
                         continue
                     used_a.add(a)
                     used_b.add(b)
-                    rows.append({**{h: row[h] for h in heads}, "source_price": a, "price": b, "direction": "toward" if db < da else "away", "magnitude": float(min(old[a], new[b]))})
+                    rows.append({**{h: row[h] for h in heads}, "side": side[:-1], "source_price": a, "price": b, "direction": "toward" if db < da else "away", "magnitude": float(min(old[a], new[b]))})
             yield pd.DataFrame(rows, columns=schema.fieldNames())
 
     return source.mapInPandas(run, schema)

@@ -299,6 +299,26 @@ def ladder_differences(spark, sf):
     )
 
 
+@query(
+    "ladder_differences_by_side",
+    f"""WITH {MOVES_SQL}, sd AS (SELECT instrument_id, 'bid' AS side, list_transform(pb, lambda x: x.price) AS op, list_transform(bids, lambda x: x.price) AS np FROM moves WHERE invalid IS NULL
+      UNION ALL SELECT instrument_id, 'ask', list_transform(pa, lambda x: x.price), list_transform(asks, lambda x: x.price) FROM moves WHERE invalid IS NULL)
+    SELECT instrument_id, side, count(*) AS transitions, CAST(sum(len(list_filter(op, lambda y: NOT list_contains(np, y)))) AS BIGINT) AS removed,
+      CAST(sum(len(list_filter(np, lambda y: NOT list_contains(op, y)))) AS BIGINT) AS added, CAST(sum(len(list_filter(np, lambda y: list_contains(op, y)))) AS BIGINT) AS kept FROM sd GROUP BY 1, 2""",
+)
+def ladder_differences_by_side(spark, sf):
+    sides = []
+    for side in ("bids", "asks"):
+        d = flow.ladder_diff(side)
+        sides.append(F.struct(F.lit(side[:-1]).alias("side"), *[F.size(c).alias(n) for n, c in d.items()]))
+    return (
+        moves(spark, sf).where(F.col("invalid").isNull())
+        .select("instrument_id", F.inline(F.array(*sides)))
+        .groupBy("instrument_id", "side")
+        .agg(F.count(F.lit(1)).alias("transitions"), *[F.sum(n).alias(n) for n in d])
+    )
+
+
 FAR = 0.1
 OVERLAP = 0.6  # ladders here are six levels deep, so a slide by one or two keeps less than in deep books
 CHURN_SQL = f"""sd AS (SELECT instrument_id, seq, ts_us, 'bid' AS side, pb AS old, bids AS new, pb[1].price AS best, 1.0 AS sgn FROM moves WHERE invalid IS NULL

@@ -10,7 +10,7 @@ from ..operators.matching import nearest_control, relocations
 from ..operators.quantiles import quantiles
 from ..operators.slices import ordered_scan, prev, row_no
 from .bindings import DAY, HOUR, TAPE_SQL, slices_for, table, tape, time_slices
-from .book_queries import ATOMIC_SQL, atomic, moves
+from .book_queries import ATOMIC_SQL, FAR, OVERLAP, atomic, moves
 from .registry import query
 from .state_queries import GRID_SQL, grid, slot_slices
 
@@ -180,7 +180,8 @@ def matched_controls(spark, sf):
 @query("relocation_pairs")
 def relocation_pairs(spark, sf):
     valid = moves(spark, sf).where(F.col("invalid").isNull())
-    return relocations(valid, ["instrument_id", "seq", "ts_us"], "bids", 0.1)
+    bids, asks = (relocations(valid, ["instrument_id", "seq", "ts_us"], side, FAR, overlap=OVERLAP) for side in ("bids", "asks"))
+    return bids.unionByName(asks)
 
 
 @query(

@@ -119,3 +119,43 @@ def test_lob_block_matches_least_squares(spark):
     assert lob["bid_slope"] == pytest.approx(beta[1], rel=1e-6)
     assert lob["bid_curvature"] == pytest.approx(beta[2], rel=1e-6)
     assert lob["log1p_l1_total_quantity"] == pytest.approx(math.log1p(14))
+
+
+def test_relocations_on_both_sides_without_window_slides(spark):
+    from tapeloom.operators.matching import relocations
+
+    bids = [(100.0 - k, 10 * k + 10, 1) for k in range(6)]
+    asks = [(101.0 + k, 10 * k + 10, 1) for k in range(6)]
+    df = book(
+        spark,
+        (1, 1, 1, bids, asks),
+        (1, 2, 2, bids, [*asks[:3], (104.5, 40, 1), *asks[4:]]),  # an ask from 104 to 104.5
+        (1, 3, 3, bids, [*asks[:3], (104.5, 40, 1), asks[4], (107.0, 60, 1)]),  # the asks' window slid
+        (1, 4, 4, [*bids[:2], (97.5, 30, 1), *bids[3:]], [*asks[:3], (104.5, 40, 1), asks[4], (107.0, 60, 1)]),  # a bid
+    )
+    moves = flow.transitions(df, ["instrument_id"], Slices((2.0,)))
+    got = [tuple(r) for side in ("bids", "asks") for r in relocations(moves, ["seq"], side, 0.1, overlap=0.6).collect()]
+    assert sorted(got) == [(2, "ask", 104.0, 104.5, "away", 40.0), (4, "bid", 98.0, 97.5, "away", 30.0)]
+
+
+def test_relocation_query_pairs_both_sides_as_plain_python_does(spark, sf):
+    from tapeloom.plans.book_queries import FAR, OVERLAP, moves
+    from tapeloom.plans.feature_queries import relocation_pairs
+
+    want = []
+    for m in moves(spark, sf).where(F.col("invalid").isNull()).select("instrument_id", "seq", "ts_us", "p", "bids", "asks").collect():
+        for side, sign, outer in (("bids", 1, min), ("asks", -1, max)):
+            old, new = ({x.price: x.quantity for x in ladder} for ladder in (m.p[side], m[side]))
+            gone, come, top = old.keys() - new.keys(), new.keys() - old.keys(), m.p[side][0].price
+            if gone and come and len(old.keys() & new.keys()) / min(len(old), len(new)) >= OVERLAP:
+                if max(len(gone), len(come)) <= 2 and outer(old) in gone and outer(new) in come:
+                    continue
+            gone, come = ([p for p in ps if (top - p) * sign > FAR and of[p] > 0] for ps, of in ((gone, old), (come, new)))
+            for diff, a, b in sorted((abs(new[b] - old[a]) / max(old[a], new[b]), a, b) for a in gone for b in come):
+                if diff <= 0.25 and a in gone and b in come and (top - a) * sign != (top - b) * sign:
+                    gone.remove(a)
+                    come.remove(b)
+                    way = "toward" if (top - b) * sign < (top - a) * sign else "away"
+                    want.append((m.instrument_id, m.seq, m.ts_us, side[:-1], a, b, way, float(min(old[a], new[b]))))
+    got = [tuple(r) for r in relocation_pairs(spark, sf).collect()]
+    assert sorted(got) == sorted(want) and {r[3] for r in got} == {"bid", "ask"}
