@@ -23,6 +23,9 @@ _MODULES = (
     "mixing",
     "licenses",
     "quality",
+    "ngram_join",
+    "resampling",
+    "negatives",
 )
 
 
