@@ -1,4 +1,4 @@
-"""Null distributions: circular shifts, label permutations, shuffles within buckets."""
+"""Null distributions: circular shifts and shuffles within buckets; permutation tests are in ``resampling``."""
 
 from __future__ import annotations
 
@@ -28,32 +28,6 @@ def circular_shift_correlations(
     )
 
 
-def permutation_mean_difference(
-    df: DataFrame, groups: Sequence[str], value: str, flag: str, id_col: str, replicates: int, seed: int
-) -> DataFrame:
-    """Two-sided permutation p-value of a mean difference.
-
-    A replicate flags each row with the group's own flagged share, from a seeded hash, so a row
-    decides alone and nothing is sorted or moved; sums combine before the shuffle.
-    """
-    f = F.col(flag)
-    shares = df.groupBy(*groups).agg(
-        F.avg(F.when(f, 1.0).otherwise(0.0)).alias("share"),
-        (F.avg(F.when(f, F.col(value))) - F.avg(F.when(~f, F.col(value)))).alias("observed"),
-        F.count(F.lit(1)).alias("n"),
-    )
-    u = (F.pmod(F.xxhash64(F.col(id_col), F.col("replicate"), F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    rows = df.select(*groups, id_col, value).join(shares.select(*groups, "share"), list(groups))
-    drawn = rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("__f", u < F.col("share"))
-    reps = drawn.groupBy(*groups, "replicate").agg(
-        (F.avg(F.when(F.col("__f"), F.col(value))) - F.avg(F.when(~F.col("__f"), F.col(value)))).alias("d")
-    )
-    counted = reps.join(shares, list(groups)).groupBy(*groups, "n", "observed").agg(
-        F.count(F.when(F.abs("d") >= F.abs("observed"), 1)).alias("exceed"), F.count("d").alias("replicates"), F.stddev_samp("d").alias("null_sd")
-    )
-    return counted.withColumn("p_value", (F.col("exceed") + 1) / (F.col("replicates") + 1))
-
-
 def shuffle_within_bucket(
     df: DataFrame, buckets: Sequence[str], id_col: str, value: str, seed: int, slices: Slices
 ) -> DataFrame:

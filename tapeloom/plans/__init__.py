@@ -20,6 +20,7 @@ _MODULES = (
     "stream_queries",
     "feature_queries",
     "study_queries",
+    "resampling_queries",
 )
 
 

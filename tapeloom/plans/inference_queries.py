@@ -320,14 +320,6 @@ def circular_shift_null(spark, sf):
     return out.select("channel", (F.col("offset") / 3).cast("int").alias("shift"), "n", F.round("correlation", 6).alias("correlation"))
 
 
-@query("permutation_mean_difference")
-def permutation_mean_difference(spark, sf):
-    from ..operators.nulls import permutation_mean_difference as perm
-
-    rows = tape(spark, sf).withColumn("flag", F.col("seq") % 3 == 0)
-    return perm(rows, ["channel"], "value", "flag", "seq", 200, 11)
-
-
 @query(
     "axis_grid_expansion",
     "SELECT w AS \"window\", h AS horizon, m AS model, count(*) OVER () AS cells FROM (VALUES (1), (5), (10)) a(w), (VALUES (1), (5), (30), (60)) b(h), (SELECT DISTINCT p_type AS m FROM part) c",

@@ -67,7 +67,7 @@ def test_multiplicity(spark):
     assert r[3]["benjamini_yekutieli"] == pytest.approx(min(0.005 * 4 * h, 0.01 * 4 * h / 2, 1.0))
 
 
-def test_bootstrap_and_permutation_are_sane_and_repeatable(spark):
+def test_bootstrap_is_sane_and_repeatable(spark):
     rng = np.random.default_rng(4)
     df = spark.createDataFrame([("g", int(b), int(i), float(v)) for i, (b, v) in enumerate(zip(np.repeat(range(60), 5), rng.normal(1.0, 2.0, 300)))], "g string, b int, i long, v double")
     one = I.block_bootstrap_mean(df, ["g"], ["b"], "v", 400, 7).first()
@@ -76,10 +76,6 @@ def test_bootstrap_and_permutation_are_sane_and_repeatable(spark):
     means = df.groupBy("b").agg(F.avg("v").alias("m")).toPandas()["m"]
     assert one["bootstrap_se"] == pytest.approx(means.std() / math.sqrt(60), rel=0.2)
     assert one["lower"] < one["mean"] < one["upper"]
-    null = N.permutation_mean_difference(df.withColumn("f", F.col("i") % 2 == 0), ["g"], "v", "f", "i", 300, 1).first()
-    planted = df.withColumn("f", F.col("i") % 2 == 0).withColumn("v", F.when(F.col("f"), F.col("v") + 2).otherwise(F.col("v")))
-    hit = N.permutation_mean_difference(planted, ["g"], "v", "f", "i", 300, 1).first()
-    assert null["p_value"] > 0.05 and hit["p_value"] < 0.01
 
 
 def test_shuffle_within_bucket_is_a_permutation(spark):
