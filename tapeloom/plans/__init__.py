@@ -21,6 +21,7 @@ _MODULES = (
     "feature_queries",
     "study_queries",
     "resampling_queries",
+    "learning_queries",
 )
 
 
