@@ -22,6 +22,7 @@ _MODULES = (
     "study_queries",
     "resampling_queries",
     "learning_queries",
+    "ranktest_queries",
 )
 
 
