@@ -24,7 +24,7 @@ class Settings(NamedTuple):
     share: int = 90  #: two sets link when 100 * intersection >= share * union
     groups: int = 64  #: counts of a point
     fanout: int = 8  #: entries of a tree node
-    tile_shingles: int = 1_000_000  #: shingles that one side of a task holds, but for a single longer document
+    tile_shingles: int = 250_000  #: shingles that one side of a task holds, but for a single longer document
     longest: int = 1 << 40  #: shingles of a document, an end for the table of size classes
 
 
