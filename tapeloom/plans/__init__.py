@@ -23,6 +23,7 @@ _MODULES = (
     "resampling_queries",
     "learning_queries",
     "ranktest_queries",
+    "gram_queries",
 )
 
 
