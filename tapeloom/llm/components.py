@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def connected_components(edges: DataFrame, kind: str = "components", max_rounds: int = 64) -> DataFrame:
@@ -31,7 +31,9 @@ def connected_components(edges: DataFrame, kind: str = "components", max_rounds:
         large = stored(star.join(lowest, "b").select("a", F.col("m").alias("b")).distinct(), kind)
         parent = stored(large.groupBy("a").agg(F.min("b").alias("m")), kind)
         hung = large.join(parent, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        used = star, lowest, large, parent
         star = stored(hung.unionByName(parent.select("a", F.col("m").alias("b"))).distinct(), kind)
+        discard(*used)
         before, seen = seen, _digest(star)
         if before == seen:
             break

@@ -11,10 +11,10 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ranked, small_batches, stored, table
+from .common import discard, ranked, small_batches, stored, table
 from .components import connected_components
 from .registry import query
 
@@ -103,11 +103,15 @@ def band_keys(shingles: np.ndarray, s: Settings) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
 
 
+def text_key() -> Column:
+    """What tells texts apart without reading them again; a null text counts as an empty one."""
+    return F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+
+
 def with_keys(docs: DataFrame, s: Settings) -> DataFrame:
     """(doc_id, uid, same_text, n_shingles, digest, keys) of ``docs(doc_id, text)``; no digest for an empty set."""
     small_batches(docs.sparkSession)
-    same = F.md5(F.col("text").cast("binary"))
-    source = docs.select("doc_id", F.monotonically_increasing_id().alias("uid"), same.alias("same_text"), F.col("text").alias("__text"))
+    source = docs.select("doc_id", F.monotonically_increasing_id().alias("uid"), text_key().alias("same_text"), F.col("text").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
@@ -218,7 +222,7 @@ class Overlaps:
         of = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
         order = np.argsort(flat, kind="stable")
         flat, of = flat[order], of[order]
-        new = np.r_[True, flat[1:] != flat[:-1]]
+        new = np.r_[True, flat[1:] != flat[:-1]][: len(flat)]
         number = np.cumsum(new) - 1
         shared = np.bincount(number)[number] > 1
         number, of = number[shared], of[shared]
@@ -327,6 +331,33 @@ def _cell_links(rows: pa.Table, s: Settings) -> pa.Table:
     return pa.table([pa.array(np.concatenate([o[k] for o in out])) for k in (0, 1)], names=["a", "b"])
 
 
+def links_in_blocks(members: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
+    """Links (a, b) that connect the nodes of ``members(node, block, n_shingles, doc_id, same_text)`` exactly as all
+    links inside their blocks would; ``same_text`` is ``text_key`` of the row of ``docs`` that stands for the node.
+
+    A block is cut into tiles of bounded size, and each pair of its tiles that may hold links is one task.
+    The texts of the members are read once more for their sets, and each set goes to the cells of its tile.
+    """
+    tiles = stored(_tiles(members, s), "ngrams-tiles")
+    texts = docs.select(F.col("doc_id").alias("__id"), text_key().alias("__same"), "text")
+    wanted = tiles.select("node", "block", "tile", "same_text", "doc_id")
+    found = texts.join(wanted, (F.col("__same") == F.col("same_text")) & F.col("__id").eqNullSafe(F.col("doc_id"))).select("node", "block", "tile", "text")
+    small_batches(docs.sparkSession)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), s.words, hashes).view(np.int64) for t in batch.column(3).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.list_(pa.int64()))], names=["node", "block", "tile", "shingles"])
+
+    sets = found.mapInArrow(build, "node long, block long, tile long, shingles array<long>").dropDuplicates(["node"])
+    dealt = sets.join(_cells(tiles, s), ["block", "tile"])
+    links = dealt.groupBy("a", "b").applyInArrow(lambda group: _cell_links(group, s), "a long, b long")
+    links = stored(links, "ngrams-links")
+    discard(tiles)
+    return links
+
+
 def similar_sets(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs(doc_id, text)``: the size of its set of word
     shingles and the smallest doc_id reachable over links of at least ``share`` percent Jaccard similarity.
@@ -351,21 +382,7 @@ def similar_sets(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     blocks = stored(connected_components(edges, "ngrams-blocks").select("node", F.col("component").alias("block")), "ngrams-blocks")
 
     members = nodes.select("node", "same_text", "n_shingles", "doc_id").join(blocks, "node")
-    tiles = stored(_tiles(members, s), "ngrams-tiles")
-    texts = docs.select(F.col("doc_id").alias("__id"), F.md5(F.col("text").cast("binary")).alias("__same"), "text")
-    wanted = tiles.select("node", "block", "tile", "same_text", "doc_id")
-    found = texts.join(wanted, (F.col("__same") == F.col("same_text")) & F.col("__id").eqNullSafe(F.col("doc_id"))).select("node", "block", "tile", "text")
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
-        for batch in batches:
-            sets = [shingle_set(t.as_py(), s.words, hashes).view(np.int64) for t in batch.column(3).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.list_(pa.int64()))], names=["node", "block", "tile", "shingles"])
-
-    sets = found.mapInArrow(build, "node long, block long, tile long, shingles array<long>").dropDuplicates(["node"])
-    dealt = sets.join(_cells(tiles, s), ["block", "tile"])
-    links = dealt.groupBy("a", "b").applyInArrow(lambda group: _cell_links(group, s), "a long, b long")
-    links = stored(links, "ngrams-links")
+    links = links_in_blocks(members, docs, s)
     member = connected_components(links, "ngrams-components").select("node", "component")
     both = stored(nodes.join(member, "node", "left").withColumn("component", F.coalesce("component", "node")), "ngrams-members")
     least = both.groupBy("component").agg(F.min("doc_id").alias("component_id"))

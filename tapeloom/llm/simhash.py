@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, stored, table
+from .common import discard, small_batches, stored, table
 from .components import connected_components
+from .ngram_join import Settings, _Hashes, links_in_blocks, shingle_set, text_key
 from .registry import query
 
 #: Runs up to this long are compared offset by offset for a whole batch at once.
@@ -354,44 +355,9 @@ def _wide_links(code: np.ndarray, fps: np.ndarray, most: int) -> list[tuple[int,
     return links
 
 
-def _cross_pairs(code: np.ndarray, fps: np.ndarray, part: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions of all near pairs within runs of equal ``code`` whose ``part`` differs.
-
-    A run's largest part is not compared with itself, so a run that is one part but for some rows costs
-    the members times those rows.
-    """
-    start = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
-    length = np.diff(np.r_[start, len(code)])
-    of_run = np.repeat(length, length)
-    at = np.flatnonzero((of_run > 1) & (of_run <= SHORT_RUN))
-    for step in range(1, SHORT_RUN):
-        i = np.flatnonzero(code[at][step:] == code[at][:-step])
-        if not len(i):
-            break
-        a, b = at[i], at[i + step]
-        differ = part[a] != part[b]
-        a, b = a[differ], b[differ]
-        near = np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1) <= most
-        yield a[near], b[near]
-    for s, n in zip(start[length > SHORT_RUN], length[length > SHORT_RUN], strict=True):
-        _, of, sizes = np.unique(part[s : s + n], return_inverse=True, return_counts=True)
-        if len(sizes) == 1:
-            continue
-        rank = np.empty(len(sizes), np.int64)
-        rank[np.argsort(sizes, kind="stable")] = np.arange(len(sizes))
-        order = np.argsort(rank[of], kind="stable")
-        ends = np.cumsum(np.sort(sizes))
-        rows, own = s + order, rank[of][order]
-        for k in range(n - sizes.max()):
-            rest = rows[ends[own[k]] :]
-            near = rest[np.bitwise_count(fps[rest] ^ fps[rows[k]]).sum(axis=1) <= most]
-            yield np.full(len(near), rows[k]), near
-
-
-def candidate_pairs(nodes: DataFrame, plan: Tables, most: int, every: bool, lanes: int = 4, seed: int = 17) -> DataFrame:
-    """Pairs (a, b), a < b, of ``nodes(node, fp, part)`` that agree on the sampled bits of a table and differ
-    in at most ``most`` bits: all of different parts, or (``every`` false) two spanning forests of each
-    group's pairs, grown from either end.
+def candidate_pairs(nodes: DataFrame, plan: Tables, most: int, lanes: int = 4, seed: int = 17) -> DataFrame:
+    """Pairs (a, b), a < b, of ``nodes(node, fp)`` that agree on the sampled bits of a table and differ in at most
+    ``most`` bits: a spanning forest of each group's pairs.
 
     A node goes to one group for each table. Groups hold few unrelated fingerprints at any table size,
     see ``tables_for``.
@@ -412,29 +378,20 @@ def candidate_pairs(nodes: DataFrame, plan: Tables, most: int, every: bool, lane
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes)], names=[*batch.schema.names, "code"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-        def pairs(code: np.ndarray, node: np.ndarray, part: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
-            if every:
-                for i, j in _cross_pairs(code, fps, part, most):
-                    if len(i):
-                        yield out(node[i], node[j])
-                return
-            for way in (slice(None), slice(None, None, -1)):
-                sets, own = _Sets(), node[way]
-                found = [x for x in _wide_links(code[way], fps[way], most) if sets.join(int(own[x[0]]), int(own[x[1]]))]
-                if found:
-                    i, j = np.array(found, dtype=np.int64).T
-                    yield out(own[i], own[j])
+        def pairs(code: np.ndarray, node: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
+            sets = _Sets()
+            found = [x for x in _wide_links(code, fps, most) if sets.join(int(node[x[0]]), int(node[x[1]]))]
+            if found:
+                a, b = node[np.array(found, dtype=np.int64).T]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
         parts: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
             fps = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint64).reshape(-1, lanes)
-            code, node = batch.column(3).to_numpy(), batch.column(0).to_numpy()
-            parts.append((code, node, batch.column(2).to_numpy(), fps))
+            code = batch.column(2).to_numpy()
+            parts.append((code, batch.column(0).to_numpy(), fps))
             if code[0] == code[-1] == parts[0][0][-1]:
                 continue  # still inside one group
             held = [np.concatenate(x) for x in zip(*parts, strict=True)]
@@ -446,72 +403,61 @@ def candidate_pairs(nodes: DataFrame, plan: Tables, most: int, every: bool, lane
             yield from pairs(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
     small_batches(nodes.sparkSession, 4096)
-    dealt = nodes.select("node", "fp", "part").mapInArrow(deal, "node long, fp binary, part long, code long")
+    dealt = nodes.select("node", "fp").mapInArrow(deal, "node long, fp binary, code long")
     return dealt.repartition("code").sortWithinPartitions("code", "node").mapInArrow(run, "a long, b long").distinct()
 
 
-def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
-    """The distinct word shingles of a text as 64-bit hashes, those that its fingerprint counts."""
-    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    starts = range(max(1, len(tokens) - words + 1)) if tokens else ()
-    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(tokens[i : i + words]), 42) for i in starts], dtype=np.uint64).view(np.int64))
-
-
-def with_shingles(texts: DataFrame, words: int) -> DataFrame:
-    """(node, shingles) of ``texts(node, text)``."""
-    small_batches(texts.sparkSession)
+def _sketches(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, same_text, fp, n_shingles) of each row: wide fingerprint and number of distinct shingles."""
+    small_batches(docs.sparkSession)
+    source = docs.select("doc_id", text_key().alias("same_text"), F.col("text").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
         for batch in batches:
-            sets = [shingle_set(t.as_py(), words) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
-
-    return texts.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
-
+            texts = batch.column(2).to_pylist()
+            fps = pa.array([wide_fingerprint(t, words) for t in texts], pa.binary())
+            sizes = [len(shingle_set((t or "").encode("utf-8", "surrogatepass"), words, hashes)) for t in texts]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], fps, pa.array(sizes, pa.int64())], names=["doc_id", "same_text", "fp", "n_shingles"])
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The ``pairs(a, b)`` whose shingle sets have at least this Jaccard similarity; two empty sets are equal."""
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
-    both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where(shared >= F.lit(similarity) * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
-
-
-def similar_nodes(nodes: DataFrame, texts: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
-    """(node, component) of the ``nodes(node, fp, least)`` that lie in one component with others over links of
-    at least this similarity between the five-word shingle sets of ``texts(__uid, text)``.
-
-    Fingerprints only propose pairs. Spanning forests of the candidates come first and their verified links
-    give parts; then every candidate pair of different parts that was not yet compared is verified too, so
-    the links connect what all verified candidate pairs would, and a large group costs few pairs a member.
-    """
-    plan, most = tables_for(nodes.count(), similarity), widest(similarity, 256)
-    first = stored(candidate_pairs(nodes.withColumn("part", F.col("node")), plan, most, every=False), "simhash-candidates")
-    touched = stored(first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).distinct(), "simhash-touched")
-    near = stored(nodes.join(touched, "node"), "simhash-near")
-    sets = stored(with_shingles(texts.join(near.select("node", F.col("least").alias("__uid")), "__uid"), words), "simhash-shingles")
-    links = stored(verified(first, sets, similarity), "simhash-links")
-    part = connected_components(links, "simhash-parts").select("node", F.col("component").alias("part"))
-    near = stored(near.join(part, "node", "left").withColumn("part", F.coalesce("part", "node")), "simhash-parted")
-    rest = candidate_pairs(near, plan, most, every=True).join(first, ["a", "b"], "left_anti")
-    more = stored(verified(stored(rest, "simhash-rest"), sets, similarity), "simhash-more")
-    return connected_components(links.unionByName(more), "simhash-components")
+    fields = [source.schema["doc_id"], source.schema["same_text"], T.StructField("fp", T.BinaryType()), T.StructField("n_shingles", T.LongType())]
+    return source.mapInArrow(run, T.StructType(fields))
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of each component kept: the one with the smallest doc_id, then text hash.
 
-    Links join texts whose five-word shingle sets have at least the given similarity. Equal texts are one
-    node before the search. Rows with their fingerprints are written to the shared folder first; the
-    candidates' texts are read once more for their shingles, and the dropped rows' numbers meet all rows
-    in one join. Null ids come after all others.
+    Links join texts whose five-word shingle sets have at least the given similarity; texts without words
+    are linked with each other. Equal texts are one node before the search. Fingerprints only propose
+    pairs, as spanning forests, and what these connect is a block; all pairs of a block are then decided on
+    the exact sets (``links_in_blocks``), so a proposal that fails parts nobody and no table of pairs is
+    made. Texts are never written: they are read for the fingerprints, for the sets of proposed nodes, and
+    to be returned, where rows to leave out are told by id and text hash. Rows equal in both are one.
+    Null ids come after all others.
     """
-    uid = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("n"))
-    rows = stored(with_fingerprints(docs.withColumn("__uid", uid), words, name="__fp", wide=True), "simhash-rows")
-    same = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
-    nodes = rows.groupBy(same.alias("same")).agg(F.first("__fp").alias("fp"), F.min("__uid").alias("least"))
-    nodes = stored(nodes.select(F.monotonically_increasing_id().alias("node"), "fp", "least"), "simhash-nodes")
-    member = similar_nodes(nodes, rows.select("__uid", "text"), similarity, words)
-    grouped = nodes.join(member, "node", "left").groupBy(F.coalesce("component", "node").alias("component"))
-    kept = stored(grouped.agg(F.min("least").alias("__uid")), "simhash-kept")
-    return rows.join(kept.select("__uid"), "__uid", "left_semi").select(*docs.columns)
+    rows = stored(_sketches(docs, words), "simhash-rows")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id")).alias("least")
+    nodes = rows.groupBy("same_text").agg(F.first("fp").alias("fp"), F.first("n_shingles").alias("n_shingles"), least)
+    nodes = stored(nodes.select(F.monotonically_increasing_id().alias("node"), "same_text", "fp", "n_shingles", "least"), "simhash-nodes")
+    plan, most = tables_for(nodes.count(), similarity), widest(similarity, 256)
+    proposed = stored(candidate_pairs(nodes, plan, most), "simhash-candidates")
+    blocks = connected_components(proposed, "simhash-blocks").select("node", F.col("component").alias("block"))
+    members = stored(nodes.join(blocks, "node").select("node", "block", "n_shingles", "least.doc_id", "same_text"), "simhash-members")
+    links = links_in_blocks(members, docs, Settings(words=words, share=round(100 * similarity)))
+    discard(proposed, members)
+    member = stored(connected_components(links, "simhash-components").select("node", "component"), "simhash-classes")
+    whole = nodes.select("node", "same_text", "least").join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    whole = stored(whole, "simhash-whole")
+    first = whole.groupBy("component").agg(F.min(F.struct("least.last", "least.doc_id", "same_text")).alias("first"))
+    kept = whole.join(first, "component").select("same_text", "first")
+    seen = rows.groupBy("doc_id", "same_text").agg(F.count("*").alias("times")).join(kept, "same_text")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("same_text") == F.col("first.same_text"))
+    marks = seen.withColumn("stays", stays).where("NOT stays OR times > 1")
+    marks = stored(marks.select(F.col("doc_id").alias("__id"), F.col("same_text").alias("__same"), "stays"), "simhash-marks")
+    discard(rows, nodes, links, member, whole)
+    marked = (text_key() == F.col("__same")) & F.col("doc_id").eqNullSafe(F.col("__id"))
+    alone = docs.join(marks.drop("stays"), marked, "left_anti")
+    if marks.where("stays").isEmpty():
+        return alone
+    again = docs.join(marks.where("stays"), marked).dropDuplicates(["__id", "__same"])
+    return alone.unionByName(again.select(*docs.columns))

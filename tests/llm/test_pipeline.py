@@ -61,10 +61,8 @@ def test_near_copy_stage_keeps_one_of_each_group(steps):
     for i in given:
         best = max(alike[i].values(), default=0)
         if i not in kept:
-            assert best >= 0.6  # it had a partner
-        if best < 0.6:
-            assert i in kept
-    assert not [(a, b) for a, b in combinations(kept, 2) if alike[a].get(b, 0) >= 0.9]
+            assert best >= 0.8  # it had a partner
+    assert not [(a, b) for a, b in combinations(kept, 2) if alike[a].get(b, 0) >= 0.85]
     fps = {i: simhash.wide_fingerprint(t) for i, t in given.items()}
     assert len({fps[i] for i in kept}) == len(kept)
 

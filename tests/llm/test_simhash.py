@@ -276,13 +276,3 @@ def test_a_failed_forest_link_does_not_part_a_group(spark):
         rows.append((n, " ".join(copy), "s"))
     assert max(shingle_similarity(rows[0][1], t) for _, t, _ in rows[1:]) < 0.8
     assert {r.doc_id for r in simhash.drop_near_copies(docs(spark, rows)).collect()} == {0, 1}
-
-
-def test_cross_pairs_are_all_pairs_of_different_parts():
-    rng = np.random.default_rng(8)
-    code = np.repeat(np.arange(4), (3, 20, 100, 50))
-    fps = rng.integers(0, 2**63, (173, 4)).astype(np.uint64)
-    part = np.concatenate([rng.integers(0, 5, 123), np.full(50, 9)])
-    got = [tuple(sorted(x)) for a, b in simhash._cross_pairs(code, fps, part, 124) for x in zip(a.tolist(), b.tolist(), strict=True)]
-    want = {(i, j) for i, j in combinations(range(173), 2) if code[i] == code[j] and part[i] != part[j] and np.bitwise_count(fps[i] ^ fps[j]).sum() <= 124}
-    assert len(got) == len(set(got)) and set(got) == want and want
