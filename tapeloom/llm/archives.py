@@ -291,7 +291,10 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=PAGE_SCHEMA.names)
 
-    return archives.select("path", "records").repartition("path").mapInArrow(run, PAGE_SCHEMA)
+    # As many ranges of paths as archives: a given number of partitions is not merged again, however short
+    # the list is, and ranges of so few rows are exact.
+    listed = archives.select("path", "records")
+    return listed.repartitionByRange(max(1, listed.count()), "path").mapInArrow(run, PAGE_SCHEMA)
 
 
 SQL = """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),

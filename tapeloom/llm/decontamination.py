@@ -20,7 +20,7 @@ _GAP = re.compile(r"[\W_]+")
 
 class Settings(NamedTuple):
     error_rate: float = 0.05  #: edits allowed for each normalised character of an item
-    least_chars: int = 25  #: shorter items say too little to accuse a document and take no part
+    least_chars: int = 25  #: shorter items are searched without edits and as whole words
     block_chars: int = 400_000  #: characters of items searched in one pass over the documents
 
 
@@ -41,6 +41,7 @@ class Pattern(NamedTuple):
     text: str
     errors: int
     masks: dict[str, int]
+    whole: bool = False  #: stands as whole words only
 
 
 def pattern(item_id: int | None, text: str, rate: float) -> Pattern:
@@ -85,11 +86,11 @@ class Match(NamedTuple):
 class Searcher:
     """Finds the items of one block in normalised text."""
 
-    def __init__(self, items: list[tuple[int | None, str]], rate: float) -> None:
-        self.patterns = [pattern(i, t, rate) for i, t in items]
+    def __init__(self, items: list[tuple[int | None, str]], rate: float, least_chars: int = Settings().least_chars) -> None:
+        self.patterns = [pattern(i, t, rate if len(t) >= least_chars else 0.0)._replace(whole=len(t) < least_chars) for i, t in items]
         where: dict[str, list[tuple[int, int]]] = {}
         for n, p in enumerate(self.patterns):
-            for at, piece in pieces(p.text, p.errors):
+            for at, piece in [(-1, f" {p.text} ")] if p.whole else pieces(p.text, p.errors):
                 where.setdefault(piece, []).append((n, at))
         self.automaton = ahocorasick.Automaton()
         for piece, places in where.items():
@@ -103,9 +104,10 @@ class Searcher:
         if self.empty or not text:
             return []
         starts: dict[int, set[int]] = {}
-        for last, (length, places) in self.automaton.iter(text):
+        # A space on either side, for items that must stand as whole words.
+        for last, (length, places) in self.automaton.iter(f" {text} "):
             for n, at in places:
-                starts.setdefault(n, set()).add(last - length + 1 - at)
+                starts.setdefault(n, set()).add(last - length - at)
         found = []
         for n, begins in starts.items():
             match = self._verify(self.patterns[n], text, sorted(begins))
@@ -142,7 +144,7 @@ def _item_blocks(items: DataFrame, settings: Settings) -> Iterator[list[tuple[in
     for block in range(n):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == block).select("item_id", "text").collect()
         texts = sorted({(r.item_id is None, r.item_id, normalised(r.text)) for r in rows}, key=str)
-        yield [(i, t) for _, i, t in texts if len(t) >= settings.least_chars]
+        yield [(i, t) for _, i, t in texts if t]
 
 
 def matches(docs: DataFrame, items: DataFrame, settings: Settings = Settings(), key: str = "doc_id") -> DataFrame:
@@ -151,8 +153,9 @@ def matches(docs: DataFrame, items: DataFrame, settings: Settings = Settings(),
     ``items(item_id, text)`` is searched block by block against all documents, which are read once for
     each block and never shuffled. Distances and places are those of normalised text. Every match within
     the item's error budget is found: with budget e an item is cut into e + 1 pieces, one of which must
-    stand in the document unchanged. Null and empty texts hold nothing; items shorter than
-    ``least_chars`` take no part; repeated rows and items each give their rows.
+    stand in the document unchanged. Items shorter than ``least_chars`` have no budget and must stand as whole
+    words. Null and empty texts hold nothing, items without letters or digits are in no text; repeated rows
+    and items each give their rows.
     """
     small_batches(docs.sparkSession)
     source = docs.select(F.col(key), F.col("text").alias("__text"))
@@ -162,14 +165,14 @@ def matches(docs: DataFrame, items: DataFrame, settings: Settings = Settings(),
     )
     out = None
     for block in _item_blocks(items, settings):
-        found = source.mapInArrow(_matching(block, settings.error_rate, schema), schema)
+        found = source.mapInArrow(_matching(block, settings, schema), schema)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _matching(block: list, rate: float, schema: T.StructType):
+def _matching(block: list, settings: Settings, schema: T.StructType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        searcher = Searcher(block, rate)
+        searcher = Searcher(block, settings.error_rate, settings.least_chars)
         for batch in batches:
             rows, found = [], []
             for n, text in enumerate(batch.column(1)):
@@ -190,13 +193,13 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, settings: Settings = Se
     small_batches(docs.sparkSession)
     at = docs.columns.index("text")
     for block in _item_blocks(items, settings):
-        docs = docs.mapInArrow(_clean(block, settings.error_rate, at), docs.schema)
+        docs = docs.mapInArrow(_clean(block, settings, at), docs.schema)
     return docs
 
 
-def _clean(block: list, rate: float, at: int):
+def _clean(block: list, settings: Settings, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        searcher = Searcher(block, rate)
+        searcher = Searcher(block, settings.error_rate, settings.least_chars)
         for batch in batches:
             keep = [not searcher.find(normalised(t.as_py())) for t in batch.column(at)]
             yield batch.filter(pa.array(keep, pa.bool_()))

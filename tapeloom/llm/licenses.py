@@ -161,7 +161,7 @@ v AS (SELECT uid, template, label, base, grams, diagonal, count(*) AS votes, min
 a AS (SELECT *, CASE WHEN base THEN 1 WHEN coalesce(diagonal - lag(diagonal) OVER o > {NEAR} OR low - lag(high) OVER o > grams, true) THEN 1 ELSE 0 END AS apart FROM v
   WINDOW o AS (PARTITION BY uid, template ORDER BY diagonal, low)),
 r AS (SELECT *, sum(apart) OVER (PARTITION BY uid, template ORDER BY diagonal, low) AS run FROM a),
-y AS (SELECT *, coalesce(since > lag(upto) OVER (PARTITION BY uid, template, run ORDER BY diagonal, low), true) AS fits FROM r),
+y AS (SELECT *, coalesce(since > lag(upto) OVER (PARTITION BY uid, template, run ORDER BY low, since), true) AS fits FROM r),
 m AS (SELECT uid, template, label, base, grams, run, sum(CASE WHEN fits THEN votes ELSE 0 END) AS votes, min(low) AS first_word, max(high) AS last_start FROM y GROUP BY ALL),
 k AS (SELECT *, least(1.0, CAST(votes AS DOUBLE) / grams) AS coverage FROM m WHERE CASE WHEN base THEN votes = grams
   ELSE votes >= {ENOUGH} * grams AND last_start - first_word + 1 <= 1.5 * grams + {NEAR} END)

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tapeloom.session import scratch_folder
 
 from .common import running_base, stored, table
 from .registry import query
@@ -66,9 +69,10 @@ def shuffled_shards(docs: DataFrame, shards: int = 8, seed: int = SEED) -> DataF
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """One folder for each shard, its files in slot order; a large shard is many files, cut by slot."""
-    ordered = sharded.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
-    ordered.write.partitionBy("shard").parquet(path)
+    """One folder for each shard. The tasks that permuted the buckets write them, without another shuffle: a
+    file holds whole buckets in slot order, and ``slot`` says where each row stands."""
+    # A table without rows still is one: its reader names the columns, the folder must exist.
+    sharded.sortWithinPartitions("shard", "slot").write.mode("append").partitionBy("shard").parquet(path)
 
 
 def _bytes():
@@ -77,10 +81,17 @@ def _bytes():
 
 @query("op5_external_shuffle")
 def op5_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's shard and slot under the law ``rows``: shard counts differ by one at most."""
+    """Every document's shard and slot under the law ``rows``: shard counts differ by one at most.
+
+    Whole documents are scattered, shuffled and written as shards in the shared folder; size, checksum and
+    place are those of the rows read back from there.
+    """
     docs = table(spark, sf_dir, "documents")
-    light = docs.select("doc_id", _bytes().alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
-    moved, n = external_shuffle(light, "size")
-    return into_shards(moved, n, 8).select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    path = scratch_folder(spark, "shuffle-shards")
+    write_shards(shuffled_shards(docs), path)
+    schema = T.StructType([*docs.schema.fields, T.StructField("slot", T.LongType()), T.StructField("shard", T.IntegerType())])
+    back = spark.read.schema(schema).parquet(path)
+    return back.select(
+        "doc_id", _bytes().alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
     )

@@ -8,6 +8,7 @@ import struct
 import pytest
 import zstandard
 from oracle import compare, connect
+from pyspark.sql import functions as F
 
 from tapeloom.llm import archives as ar
 
@@ -134,3 +135,12 @@ def test_files_hold_a_dictionary(spark, sf, tmp_path):
 
 def test_query_equals_sql(spark, sf):
     assert compare(spark, "op3", ar.op3_warc_round_trip, ar.SQL, sf, connect(sf)) is None
+
+
+def test_every_archive_is_read_by_a_task_of_its_own(spark, tmp_path):
+    made = ar.write_archives(pages(spark, [(i, f"http://{i}/", f"<html>{i}" + "y" * 150) for i in range(24)]).repartition(6), f"{tmp_path}/warc", ar.Settings(file_bytes=600))
+    files = made.count()
+    read = ar.read_archives(made)
+    assert files > 6 and read.rdd.getNumPartitions() == files
+    per = read.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(per) >= files - 1 and sum(r["count"] for r in per) == 24

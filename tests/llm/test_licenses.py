@@ -76,3 +76,13 @@ def test_words_left_out_keep_the_label(spark):
         assert left >= li.ENOUGH and got[i].labels == "mit" and got[i].score == pytest.approx(left), t
     swapped = " ".join(words[9:] + words[:9])  # the places fall back once, so this is no omission
     assert li.scan_licenses(docs(spark, [(0, swapped, "s")])).collect()[0].labels == ""
+
+
+def test_sql_has_the_rule_of_the_places(spark, tmp_path):
+    words = NOTICE.split()
+    cut = [" ".join(words[:at] + words[at + gone :]) for gone in (1, 3) for at in range(0, len(words) - gone + 1, 2)]
+    rows = [(n, t, "s") for n, t in enumerate([*TEXTS, *cut, " ".join(words[9:] + words[:9])])]
+    write(docs(spark, rows), tmp_path, "documents")
+    con = connect("/root/testdata/sf0.001")
+    con.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert compare(spark, "op9", li.op9_diagonal_licenses, li.SQL, str(tmp_path), con) is None
