@@ -24,6 +24,7 @@ _MODULES = (
     "learning_queries",
     "ranktest_queries",
     "gram_queries",
+    "exit_queries",
 )
 
 
