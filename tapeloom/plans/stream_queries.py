@@ -144,3 +144,26 @@ def stream_deduplicated_updates(spark, sf):
     ids = live(spark, sf).select((F.col("instrument_id") * 100000 + F.expr(f"ts_us div {6 * HOUR}")).alias("id"), "at")
     out = drain(spark, feeds.drop_repeats(ids, "at", "60 days", ["id"]), "append")
     return spark.read.parquet(out).agg(F.count(F.lit(1)).alias("updates"), F.sum("id").alias("id_sum"))
+
+
+REFRESH, STRIKES, IDLE = 12 * HOUR, 12, 2 * DAY
+
+
+@query(
+    "stream_surface_refresh",
+    f"""WITH {TAPE_SQL}, r AS (SELECT channel, seq, ts_us, instrument_id % {STRIKES} AS strike, value AS y, lag(ts_us) OVER w AS before, -(-ts_us // {REFRESH}) * {REFRESH} AS g FROM tape WINDOW w AS (PARTITION BY channel ORDER BY ts_us, seq)),
+    c AS (SELECT *, sum(CASE WHEN before IS NULL OR ts_us - before > {IDLE} THEN 1 ELSE 0 END) OVER (PARTITION BY channel ORDER BY ts_us, seq) AS life, CAST(ceil(ts_us / CAST({REFRESH} AS DOUBLE)) AS BIGINT) * {REFRESH} AS grid FROM r),
+    t AS (SELECT channel, grid, any_value(life) AS life, count(DISTINCT strike) AS changed FROM c GROUP BY 1, 2), m AS (SELECT channel, max(ts_us) AS til FROM c GROUP BY 1),
+    k AS (SELECT t.channel, t.grid, t.changed, c.strike, arg_max(c.y, (c.ts_us, c.seq)) AS y FROM t JOIN m ON m.channel = t.channel AND t.grid < m.til JOIN c ON c.channel = t.channel AND c.ts_us <= t.grid AND c.life = t.life GROUP BY 1, 2, 3, 4),
+    a AS (SELECT channel, grid, any_value(changed) AS changed, count(*) AS n, avg(strike) AS mx, avg(y) AS my, covar_pop(strike, y) AS xy, var_pop(strike) AS xx FROM k GROUP BY 1, 2),
+    b AS (SELECT k.channel, k.grid, avg((strike - mx) ** 3) AS m3, avg((strike - mx) ** 4) AS m4, avg((strike - mx) ** 2 * (y - my)) AS m2y FROM k JOIN a ON a.channel = k.channel AND a.grid = k.grid GROUP BY 1, 2),
+    q AS (SELECT a.*, (m2y * xx - xy * m3) / (xx * (m4 - xx * xx) - m3 * m3) AS cur, (xy * (m4 - xx * xx) - m2y * m3) / (xx * (m4 - xx * xx) - m3 * m3) AS slo FROM a JOIN b ON a.channel = b.channel AND a.grid = b.grid)
+    SELECT channel, grid AS fit_ts, n AS members, changed, CASE WHEN n >= 3 THEN 'fit' ELSE 'too_few_members' END AS status, CASE WHEN n >= 3 THEN round(my - cur * xx - slo * mx + cur * mx * mx, 5) END AS level, CASE WHEN n >= 3 THEN round(slo - 2 * cur * mx, 5) END AS slope, CASE WHEN n >= 3 THEN round(cur, 5) END AS curvature FROM q""",
+)
+def stream_surface_refresh(spark, sf):
+    """A parabola over the latest value of each strike of a channel, refitted twice a day where one changed."""
+    rows = live(spark, sf).select("channel", "seq", "ts_us", "at", (F.col("instrument_id") % STRIKES).alias("strike"), "value")
+    rows = rows.withColumn("x", F.col("strike").cast("double"))
+    fits = stateful.refresh_fits(rows, "channel", "strike", "x", "value", every_us=REFRESH, idle_us=IDLE, watermark="1 hour", at="at")
+    out = spark.read.parquet(drain(spark, fits, "append"))
+    return out.select("channel", "fit_ts", "members", "changed", "status", *[F.round(c, 5).alias(c) for c in ("level", "slope", "curvature")])

@@ -140,3 +140,73 @@ def settle_forecasts(rows: DataFrame, key: str, gap_us: int, horizon_us: int) ->
     return rows.groupBy(key).applyInPandasWithState(
         step, f"{key} {kind}, issued_seq long, realised double", "issued array<long>, at array<long>, ts array<long>, price array<double>", "append", GroupStateTimeout.NoTimeout
     )
+
+
+def quadratic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float] | None:
+    """Least-squares level, slope and curvature; null where fewer than three places do not determine them."""
+    if len(np.unique(x)) < 3:
+        return None
+    centre = x.mean()
+    z = x - centre
+    c, b, a = np.polynomial.polynomial.polyfit(z, y, 2)
+    return float(c - b * centre + a * centre**2), float(b - 2 * a * centre), float(a)
+
+
+def refresh_fits(rows: DataFrame, key: str, member: str, x: str, y: str, *, every_us: int, idle_us: int, watermark: str, at: str, least: int = 3) -> DataFrame:
+    """A refit of the latest chain of each key at every instant of a grid that something changed before.
+
+    Input: key, ``seq, ts_us``, the event time ``at``, the chain's ``member`` (a strike), its ``x`` and ``y``. At an
+    instant g (a multiple of ``every_us``) the chain is every member's latest row at or before g; it is fitted
+    if a row came in (g - every_us, g], and told once a later row of the key has come, so late data within
+    a micro-batch counts. Output: key, fit_ts, members, changed, level, slope, curvature, status ('fit' or
+    'too_few_members'). A key that was silent for more than ``idle_us`` starts anew, and its state is removed
+    once the watermark says so, so state holds live keys only. Rows older than the key's last told instant
+    are ignored.
+    """
+
+    def step(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        names = [key, "fit_ts", "members", "changed", "level", "slope", "curvature", "status"]
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame(columns=names)
+            return
+        pdf = pd.concat(list(frames)).sort_values(["ts_us", "seq"])
+        chain: dict[int, tuple[float, float]] = {}
+        last, told, touched = -1, -1, set()
+        if state.exists:
+            last, told, ids, xs, ys, fresh = state.get
+            chain = dict(zip(ids, zip(xs, ys, strict=True), strict=True))
+            touched = set(fresh)
+        out = []
+
+        def tell(g: int) -> None:
+            points = np.array([v for m, v in sorted(chain.items()) if v[0] == v[0] and v[1] == v[1]], dtype=float).reshape(-1, 2)
+            fit = quadratic(points[:, 0], points[:, 1]) if len(points) >= least else None
+            out.append((keys[0], g, len(points), len(touched), *(fit or (None, None, None)), "fit" if fit else "too_few_members"))
+            touched.clear()
+
+        for ts, m, vx, vy in zip(pdf["ts_us"], pdf[member], pdf[x], pdf[y], strict=True):
+            ts = int(ts)
+            if ts <= told:
+                continue
+            if last >= 0 and ts > last:
+                g = -(-last // every_us) * every_us  # the first instant at or after the last row
+                if touched and g < ts:
+                    tell(g)
+                    told = g
+                if ts - last > idle_us:
+                    chain.clear()
+                    touched.clear()
+            chain[int(m)] = (float(vx), float(vy))
+            touched.add(int(m))
+            last = max(last, ts)
+        ids = sorted(chain)
+        state.update((last, told, ids, [chain[m][0] for m in ids], [chain[m][1] for m in ids], sorted(touched)))
+        state.setTimeoutTimestamp(max((last + idle_us) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=names)
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.withWatermark(at, watermark).groupBy(key).applyInPandasWithState(
+        step, f"{key} {kind}, fit_ts long, members long, changed long, level double, slope double, curvature double, status string",
+        "last long, told long, ids array<long>, xs array<double>, ys array<double>, fresh array<long>", "append", GroupStateTimeout.EventTimeTimeout,
+    )
