@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .slices import Slices, ordered_scan, row_no
+from .slices import Slices, ordered_scan, row_no, run_max, run_min, total
 
 
 def lagged_products(
@@ -122,27 +122,25 @@ def block_bootstrap_mean(
     return point.join(spread, list(groups)) if groups else point.crossJoin(F.broadcast(spread))
 
 
-def adjust_p_values(df: DataFrame, families: Sequence[str], p: str, id_col: str) -> DataFrame:
+def adjust_p_values(df: DataFrame, families: Sequence[str], p: str, id_col: str, slices: Slices | None = None) -> DataFrame:
     """Holm, Bonferroni, Benjamini-Hochberg and Benjamini-Yekutieli within each family.
 
-    A family is a hypothesis grid, a small table by construction. Null p-values stay null and do
-    not count.
+    Null p-values stay null and do not count. Ranks and running extremes go over slices of the p-value, so a
+    family of any size is no single task; p-values lie in [0, 1], where 64 even cuts do without a plan.
     """
-    valid = df.where(F.col(p).isNotNull())
-    order = Window.partitionBy(*families).orderBy(p, id_col)
-    whole = Window.partitionBy(*families)
-    up = order.rowsBetween(Window.unboundedPreceding, 0)
-    down = order.rowsBetween(0, Window.unboundedFollowing)
-    ranked = valid.withColumn("__r", F.row_number().over(order)).withColumn("__m", F.count(F.lit(1)).over(whole))
-    ranked = ranked.withColumn("__h", F.sum(1.0 / F.col("__r")).over(whole))
-    r, m, v = F.col("__r"), F.col("__m"), F.col(p)
-    adjusted = ranked.select(
-        *families,
-        id_col,
-        F.least(v * m, F.lit(1.0)).alias("bonferroni"),
-        F.max(F.least((m - r + 1) * v, F.lit(1.0))).over(up).alias("holm"),
-        F.least(F.min(v * m / r).over(down), F.lit(1.0)).alias("benjamini_hochberg"),
-        F.least(F.min(v * m * F.col("__h") / r).over(down), F.lit(1.0)).alias("benjamini_yekutieli"),
+    cuts = slices or Slices(tuple(k / 64 for k in range(1, 64)))
+    backward = Slices(tuple(sorted(-c for c in cuts.cuts)), cuts.between)
+    valid = df.where(F.col(p).isNotNull()).select(*families, id_col, F.col(p).alias("__p"))
+    one = F.lit(1).cast("long")
+    placed = ordered_scan(valid, families, ["__p", id_col], cuts, {"__r": row_no(), "__m": total(one)})
+    v, r, m = F.col("__p"), F.col("__r"), F.col("__m")
+    up = ordered_scan(placed, families, ["__p", id_col], cuts, {"holm": run_max(F.least((m - r + 1) * v, F.lit(1.0))), "__h": total(1.0 / r)})
+    # The running minimum from the largest value downward is one from the front on the negated axis.
+    down = up.withColumn("__q", -v).withColumn("__s", -r)
+    down = ordered_scan(down, families, ["__q", "__s"], backward, {"__bh": run_min(v * m / r), "__by": run_min(v * m * F.col("__h") / r)})
+    adjusted = down.select(
+        *families, id_col, F.least(v * m, F.lit(1.0)).alias("bonferroni"), "holm",
+        F.least("__bh", F.lit(1.0)).alias("benjamini_hochberg"), F.least("__by", F.lit(1.0)).alias("benjamini_yekutieli"),
     )
     return df.join(adjusted, [*families, id_col], "left")
 

@@ -42,23 +42,28 @@ class Slices:
     ) -> Slices:
         """Equal-depth cuts from one column-pruned pass; the driver receives at most 4,096 numbers.
 
-        Where more slices are wanted, every range between two cuts is divided evenly, so the number of
-        slices has no upper bound while the plan stays small. Any cuts give right results (the map only has to be monotone), so a plan made on one
-        snapshot of a table stays valid for later ones.
+        Where more slices are wanted, every range between two cuts is divided evenly, those below the first
+        and above the last one too (the least and largest value are cuts then), so the number of slices has
+        no upper bound while the plan stays small. Any cuts give right results (the map only has to be
+        monotone), so a plan made on one snapshot of a table stays valid for later ones.
         """
         grid = ",".join(str(i / _GRID) for i in range(1, _GRID))
         row = df.agg(
             F.count(column).alias("n"),
             # A literal list spelled as text: thousands of separate literals are slow to build.
             F.expr(f"percentile_approx({column}, cast(split('{grid}', ',') as array<double>), {2 * _GRID})").alias("cuts"),
+            F.min(column).alias("low"),
+            F.max(column).alias("high"),
         ).first()
         if row is None or not row["n"]:
             return cls(())
         wanted = max(min_slices, -(-int(row["n"]) // rows_per_slice))
         step = max(1, _GRID // min(wanted, _GRID))
         picked = row["cuts"][step - 1 :: step]
-        cuts = tuple(sorted({float(c) for c in picked}))
-        return cls(cuts, -(-wanted // max(1, len(cuts))) if wanted > _GRID else 1)
+        if wanted <= _GRID:
+            return cls(tuple(sorted({float(c) for c in picked})))
+        cuts = tuple(sorted({float(c) for c in (*picked, row["low"], row["high"])}))
+        return cls(cuts, -(-wanted // max(1, len(cuts) - 1)))
 
     def of(self, value: Column | str) -> Column:
         """Slice number of ``value``: how many cuts are at or below it."""

@@ -25,6 +25,7 @@ _MODULES = (
     "ranktest_queries",
     "gram_queries",
     "exit_queries",
+    "response_queries",
 )
 
 

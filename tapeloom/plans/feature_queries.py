@@ -160,7 +160,7 @@ def cluster_representative(spark, sf):
 
 @query(
     "matched_controls",
-    """WITH o AS (SELECT o_orderkey, o_orderstatus, o_orderpriority || CAST(o_custkey % 40 AS VARCHAR) AS stratum, o_totalprice AS a, CAST(o_custkey AS DOUBLE) AS b, o_orderkey % 5 <> 0 AS quiet FROM orders),
+    """WITH o AS (SELECT o_orderkey, o_orderstatus, o_orderpriority AS stratum, o_totalprice AS a, CAST(o_custkey AS DOUBLE) AS b, o_orderkey % 5 <> 0 AS quiet FROM orders),
     e AS (SELECT o_orderkey AS event_id, stratum, a, b FROM o WHERE o_orderstatus = 'F'), c AS (SELECT o_orderkey AS control_id, stratum, a, b, quiet FROM o WHERE o_orderstatus = 'P'),
     r AS (SELECT stratum, count(*) FILTER (WHERE quiet) AS n, min(a) FILTER (WHERE quiet) AS la, max(a) FILTER (WHERE quiet) AS ha, min(b) FILTER (WHERE quiet) AS lb, max(b) FILTER (WHERE quiet) AS hb FROM c GROUP BY 1),
     s AS (SELECT e.*, n, coalesce(nullif(greatest(ha, a) - least(la, a), 0), 1) AS sa, coalesce(nullif(greatest(hb, b) - least(lb, b), 0), 1) AS sb FROM e LEFT JOIN r ON r.stratum = e.stratum),
@@ -169,8 +169,7 @@ def cluster_representative(spark, sf):
     SELECT s.event_id, m.control_id, m.distance, CASE WHEN n IS NULL THEN 'no_same_stratum_candidates' WHEN n = 0 THEN 'no_quiet_same_stratum_candidates' END AS reason FROM s LEFT JOIN m ON m.event_id = s.event_id""",
 )
 def matched_controls(spark, sf):
-    stratum = F.concat("o_orderpriority", (F.col("o_custkey") % 40).cast("string"))
-    o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", stratum.alias("stratum"), F.col("o_totalprice").alias("a"), F.col("o_custkey").cast("double").alias("b"))
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", F.col("o_orderpriority").alias("stratum"), F.col("o_totalprice").alias("a"), F.col("o_custkey").cast("double").alias("b"))
     events = o.where(F.col("o_orderstatus") == "F").select(F.col("o_orderkey").alias("event_id"), "stratum", "a", "b")
     controls = o.where(F.col("o_orderstatus") == "P").select(F.col("o_orderkey").alias("control_id"), "stratum", "a", "b", (F.col("o_orderkey") % 5 != 0).alias("quiet"))
     out = nearest_control(events, controls, ["stratum"], ["a", "b"], "event_id", "control_id", "quiet")

@@ -196,3 +196,15 @@ def test_top_rows_of_a_hot_group_for_small_and_large_k(spark):
         assert same(got, rows.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k))
     plan = top_k(rows, ["g"], [("x", True), ("id", True)], 3)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+def test_the_ends_beyond_the_cuts_are_divided_too(spark, monkeypatch):
+    monkeypatch.setattr(S, "_GRID", 8)
+    rows = spark.range(0, 4000).withColumn("t", F.col("id").cast("long"))
+    cuts = S.Slices.plan(rows, "t", rows_per_slice=20)
+    assert cuts.between > 1 and cuts.cuts[0] == 0.0 and cuts.cuts[-1] == 3999.0
+    sizes = [r["count"] for r in rows.groupBy(cuts.of("t").alias("s")).count().collect()]
+    assert len(sizes) >= 200 and max(sizes) <= 60
+    beyond = spark.createDataFrame([(-(10**9),), (0,), (3999,), (10**9,)], "t long").select(cuts.of("t").alias("s")).collect()
+    got = [r.s for r in beyond]
+    assert got == sorted(got)
