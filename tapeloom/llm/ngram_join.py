@@ -331,30 +331,46 @@ def _cell_links(rows: pa.Table, s: Settings) -> pa.Table:
     return pa.table([pa.array(np.concatenate([o[k] for o in out])) for k in (0, 1)], names=["a", "b"])
 
 
+def with_times(members: DataFrame, repeats: DataFrame) -> DataFrame:
+    """``members`` with ``times`` of ``repeats(doc_id, same_text, times)``, 1 where a row is not repeated."""
+    repeats = repeats.select(F.col("doc_id").alias("__id"), F.col("same_text").alias("__same"), "times")
+    both = members.join(repeats, (F.col("same_text") == F.col("__same")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    return both.select(*members.columns, F.coalesce("times", F.lit(1)).alias("times"))
+
+
 def links_in_blocks(members: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
-    """Links (a, b) that connect the nodes of ``members(node, block, n_shingles, doc_id, same_text)`` exactly as all
-    links inside their blocks would; ``same_text`` is ``text_key`` of the row of ``docs`` that stands for the node.
+    """Links (a, b) that connect the nodes of ``members(node, block, n_shingles, doc_id, same_text, times)`` exactly as
+    all links inside their blocks would; ``same_text`` is ``text_key`` of the row of ``docs`` that stands for the
+    node, and ``times`` how many rows equal it in id and text.
 
     A block is cut into tiles of bounded size, and each pair of its tiles that may hold links is one task.
-    The texts of the members are read once more for their sets, and each set goes to the cells of its tile.
+    The texts of the members are read once more; a set is built once and goes straight to the cells of its
+    tile, the only time sets cross the network. Members grow with the corpus and are never broadcast.
     """
     tiles = stored(_tiles(members, s), "ngrams-tiles")
+    cells = _cells(tiles, s).groupBy("block", "tile").agg(F.collect_list(F.struct("a", "b")).alias("cells"))
+    wanted = stored(tiles.join(cells, ["block", "tile"]).select("node", "block", "tile", "same_text", "doc_id", "times", "cells"), "ngrams-wanted")
     texts = docs.select(F.col("doc_id").alias("__id"), text_key().alias("__same"), "text")
-    wanted = tiles.select("node", "block", "tile", "same_text", "doc_id")
-    found = texts.join(wanted, (F.col("__same") == F.col("same_text")) & F.col("__id").eqNullSafe(F.col("doc_id"))).select("node", "block", "tile", "text")
+    found = texts.join(wanted.hint("merge"), (F.col("__same") == F.col("same_text")) & F.col("__id").eqNullSafe(F.col("doc_id")))
+    found = found.select("node", "block", "tile", "cells", "text", "times")
+    if not wanted.where("times > 1").isEmpty():  # rows that repeat an id and its text are one
+        found = found.where("times = 1").unionByName(found.where("times > 1").dropDuplicates(["node"]))
     small_batches(docs.sparkSession)
+    names = ["node", "block", "tile", "a", "b", "shingles"]
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for batch in batches:
-            sets = [shingle_set(t.as_py(), s.words, hashes).view(np.int64) for t in batch.column(3).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.list_(pa.int64()))], names=["node", "block", "tile", "shingles"])
+            sets = pa.array([shingle_set(t.as_py(), s.words, hashes).view(np.int64) for t in batch.column(4).cast(pa.binary())], pa.list_(pa.int64()))
+            each = batch.column(3)
+            of = pa.array(np.repeat(np.arange(batch.num_rows), each.value_lengths().to_numpy(zero_copy_only=False)))
+            pair = each.flatten()
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(of) for k in range(3)), pair.field("a"), pair.field("b"), sets.take(of)], names=names)
 
-    sets = found.mapInArrow(build, "node long, block long, tile long, shingles array<long>").dropDuplicates(["node"])
-    dealt = sets.join(_cells(tiles, s), ["block", "tile"])
+    dealt = found.drop("times").mapInArrow(build, "node long, block long, tile long, a long, b long, shingles array<long>")
     links = dealt.groupBy("a", "b").applyInArrow(lambda group: _cell_links(group, s), "a long, b long")
     links = stored(links, "ngrams-links")
-    discard(tiles)
+    discard(tiles, wanted)
     return links
 
 
@@ -382,6 +398,8 @@ def similar_sets(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     blocks = stored(connected_components(edges, "ngrams-blocks").select("node", F.col("component").alias("block")), "ngrams-blocks")
 
     members = nodes.select("node", "same_text", "n_shingles", "doc_id").join(blocks, "node")
+    repeats = rows.groupBy("doc_id", "same_text").agg(F.count("*").alias("times")).where("times > 1")
+    members = with_times(members, repeats)
     links = links_in_blocks(members, docs, s)
     member = connected_components(links, "ngrams-components").select("node", "component")
     both = stored(nodes.join(member, "node", "left").withColumn("component", F.coalesce("component", "node")), "ngrams-members")

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from .common import discard, small_batches, stored, table
 from .components import connected_components
-from .ngram_join import Settings, _Hashes, links_in_blocks, shingle_set, text_key
+from .ngram_join import Settings, _Hashes, links_in_blocks, shingle_set, text_key, with_times
 from .registry import query
 
 #: Runs up to this long are compared offset by offset for a whole batch at once.
@@ -442,7 +442,9 @@ def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -
     plan, most = tables_for(nodes.count(), similarity), widest(similarity, 256)
     proposed = stored(candidate_pairs(nodes, plan, most), "simhash-candidates")
     blocks = connected_components(proposed, "simhash-blocks").select("node", F.col("component").alias("block"))
-    members = stored(nodes.join(blocks, "node").select("node", "block", "n_shingles", "least.doc_id", "same_text"), "simhash-members")
+    seen = stored(rows.groupBy("doc_id", "same_text").agg(F.count("*").alias("times")), "simhash-seen")
+    members = nodes.join(blocks, "node").select("node", "block", "n_shingles", "least.doc_id", "same_text")
+    members = stored(with_times(members, seen.where("times > 1")), "simhash-members")
     links = links_in_blocks(members, docs, Settings(words=words, share=round(100 * similarity)))
     discard(proposed, members)
     member = stored(connected_components(links, "simhash-components").select("node", "component"), "simhash-classes")
@@ -450,11 +452,11 @@ def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -
     whole = stored(whole, "simhash-whole")
     first = whole.groupBy("component").agg(F.min(F.struct("least.last", "least.doc_id", "same_text")).alias("first"))
     kept = whole.join(first, "component").select("same_text", "first")
-    seen = rows.groupBy("doc_id", "same_text").agg(F.count("*").alias("times")).join(kept, "same_text")
+    seen, used = seen.join(kept, "same_text"), seen
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("same_text") == F.col("first.same_text"))
     marks = seen.withColumn("stays", stays).where("NOT stays OR times > 1")
     marks = stored(marks.select(F.col("doc_id").alias("__id"), F.col("same_text").alias("__same"), "stays"), "simhash-marks")
-    discard(rows, nodes, links, member, whole)
+    discard(rows, nodes, links, member, whole, used)
     marked = (text_key() == F.col("__same")) & F.col("doc_id").eqNullSafe(F.col("__id"))
     alone = docs.join(marks.drop("stays"), marked, "left_anti")
     if marks.where("stays").isEmpty():
