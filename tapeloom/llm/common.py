@@ -29,7 +29,7 @@ def stored(df: DataFrame, kind: str) -> DataFrame:
     the same rows. The schema is kept, so an empty table reads back as an empty table.
     """
     path = scratch_folder(df.sparkSession, kind)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

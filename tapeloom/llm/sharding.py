@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from tapeloom.session import scratch_folder
 
-from .common import running_base, stored, table
+from .common import discard, running_base, stored, table
 from .registry import query
 
 SEED = 20_240_607
@@ -72,7 +72,7 @@ def write_shards(sharded: DataFrame, path: str) -> None:
     """One folder for each shard. The tasks that permuted the buckets write them, without another shuffle: a
     file holds whole buckets in slot order, and ``slot`` says where each row stands."""
     # A table without rows still is one: its reader names the columns, the folder must exist.
-    sharded.sortWithinPartitions("shard", "slot").write.mode("append").partitionBy("shard").parquet(path)
+    sharded.sortWithinPartitions("shard", "slot").write.mode("append").option("compression", "zstd").partitionBy("shard").parquet(path)
 
 
 def _bytes():
@@ -88,7 +88,9 @@ def op5_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = table(spark, sf_dir, "documents")
     path = scratch_folder(spark, "shuffle-shards")
-    write_shards(shuffled_shards(docs), path)
+    moved = shuffled_shards(docs)
+    write_shards(moved, path)
+    discard(moved)
     schema = T.StructType([*docs.schema.fields, T.StructField("slot", T.LongType()), T.StructField("shard", T.IntegerType())])
     back = spark.read.schema(schema).parquet(path)
     return back.select(
