@@ -26,6 +26,7 @@ _MODULES = (
     "gram_queries",
     "exit_queries",
     "response_queries",
+    "observation_queries",
 )
 
 
