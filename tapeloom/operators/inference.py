@@ -151,25 +151,24 @@ def step_down_max_t(
     """Two-sided max-|t| step-down adjusted p-values over a cell family.
 
     ``observed`` has one row per cell, ``replicates`` one per (replicate, cell). Cells are ordered
-    by |t|; within each replicate the running maximum from the smallest upward is what a cell must
-    beat.
+    by |t|, over slices of it; within each replicate the running maximum from the smallest upward is what a
+    cell must beat.
     """
-    ranked = observed.select(cell, t).withColumn(
-        "rank", F.row_number().over(Window.orderBy(F.abs(t).desc(), F.col(cell)))
-    )
+    sized = observed.select(cell, t).withColumn("__minus", -F.abs(t))
+    cuts = Slices.plan(sized, "__minus")
+    ranked = ordered_scan(sized, [], ["__minus", cell], cuts, {"rank": row_no()})
     suffix = Window.partitionBy(replicate).orderBy(F.col("rank").desc()).rowsBetween(Window.unboundedPreceding, 0)
     table = (
         replicates.select(replicate, cell, F.abs(t).alias("__a"))
         .join(ranked.withColumnRenamed(t, "__obs"), cell)
         .withColumn("__max", F.max("__a").over(suffix))
     )
-    counts = table.groupBy(cell, "rank").agg(
+    counts = table.groupBy(cell, "rank", "__minus").agg(
         F.count(F.when(F.col("__max") >= F.abs("__obs"), 1)).alias("exceed"), F.count(F.lit(1)).alias("reps")
     )
-    step = (F.col("exceed") + 1) / (F.col("reps") + 1)
-    return counts.select(
-        cell, "rank", F.least(F.max(step).over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)), F.lit(1.0)).alias("adjusted_p")
-    )
+    stepped = counts.withColumn("__step", (F.col("exceed") + 1) / (F.col("reps") + 1))
+    out = ordered_scan(stepped, [], ["__minus", "rank"], cuts, {"adjusted_p": run_max("__step")})
+    return out.select(cell, F.col("rank").cast("int").alias("rank"), F.least("adjusted_p", F.lit(1.0)).alias("adjusted_p"))
 
 
 def t_summary(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:

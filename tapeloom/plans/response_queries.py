@@ -8,6 +8,7 @@ from ..operators import responses as R
 from .bindings import DAY, HOUR, TAPE_SQL, tape, time_slices
 from .registry import query
 
+HAIR = 1e-9  #: means of hundredths may end in an exact 5, which this rounds alike everywhere
 GAPS, HORIZONS, LAG = (HOUR, 6 * HOUR), (6 * HOUR, DAY), 3
 
 # Prices are a channel's own prints; events are its large ones, by side of the middle.
@@ -43,24 +44,24 @@ def control_pairs(spark, sf):
 
 @query(
     "timed_event_responses",
-    f"""WITH {_PRICES_SQL}, {_responses_sql("e", _EVENT)} SELECT channel, up, CAST(gap AS BIGINT) AS gap, CAST(horizon AS BIGINT) AS horizon, count(*) AS events, round(avg(response), 6) AS mean FROM e GROUP BY 1, 2, 3, 4""",
+    f"""WITH {_PRICES_SQL}, {_responses_sql("e", _EVENT)} SELECT channel, up, CAST(gap AS BIGINT) AS gap, CAST(horizon AS BIGINT) AS horizon, count(*) AS events, round(avg(response) + {HAIR}, 6) AS mean FROM e GROUP BY 1, 2, 3, 4""",
 )
 def timed_event_responses(spark, sf):
     out = responses(spark, sf, _EVENT).groupBy("channel", "up", "gap", "horizon")
-    return out.agg(F.count(F.lit(1)).alias("events"), F.round(F.avg("response"), 6).alias("mean"))
+    return out.agg(F.count(F.lit(1)).alias("events"), F.round(F.avg("response") + HAIR, 6).alias("mean"))
 
 
 @query(
     "matched_response_differences",
     f"""WITH {_PRICES_SQL}, {_responses_sql("e", _EVENT)}, {_responses_sql("c", _QUIET)}, q AS (SELECT channel, ts_us, seq FROM tape WHERE {_QUIET}),
     p AS (SELECT t.seq, q.seq AS control FROM tape t ASOF JOIN q ON t.channel = q.channel AND t.ts_us < q.ts_us WHERE {_EVENT.replace("value", "t.value")})
-    SELECT e.channel, up, CAST(e.gap AS BIGINT) AS gap, CAST(e.horizon AS BIGINT) AS horizon, count(*) AS pairs, round(avg(e.response - k.response), 6) AS mean_difference FROM e JOIN p ON p.seq = e.seq JOIN (SELECT seq, gap, horizon, response FROM c) k ON k.seq = p.control AND k.gap = e.gap AND k.horizon = e.horizon GROUP BY 1, 2, 3, 4""",
+    SELECT e.channel, up, CAST(e.gap AS BIGINT) AS gap, CAST(e.horizon AS BIGINT) AS horizon, count(*) AS pairs, round(avg(e.response - k.response) + {HAIR}, 6) AS mean_difference FROM e JOIN p ON p.seq = e.seq JOIN (SELECT seq, gap, horizon, response FROM c) k ON k.seq = p.control AND k.gap = e.gap AND k.horizon = e.horizon GROUP BY 1, 2, 3, 4""",
 )
 def matched_response_differences(spark, sf):
     """Events less the next quiet print of their channel, in the same cell."""
     events, quiet = responses(spark, sf, _EVENT), responses(spark, sf, _QUIET)
     out = R.matched_differences(events, control_pairs(spark, sf), "seq", "control", quiet).groupBy("channel", "up", "gap", "horizon")
-    return out.agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg("response"), 6).alias("mean_difference"))
+    return out.agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg("response") + HAIR, 6).alias("mean_difference"))
 
 
 _NW = " + ".join(f"{1 - k / (LAG + 1)!r} * coalesce(sum(u * u{k}), 0)" for k in range(1, LAG + 1))
@@ -76,13 +77,13 @@ _NW = " + ".join(f"{1 - k / (LAG + 1)!r} * coalesce(sum(u * u{k}), 0)" for k in
      UNION ALL SELECT '{R.MATCHED}', e.channel, e.up, e.gap, e.horizon, e.ts_us, e.seq, e.response - k.response FROM e JOIN p ON p.seq = e.seq JOIN (SELECT seq, gap, horizon, response FROM c) k ON k.seq = p.control AND k.gap = e.gap AND k.horizon = e.horizon),
     d AS (SELECT *, response - avg(response) OVER (PARTITION BY arm, channel, up, gap, horizon) AS u FROM r), l AS (SELECT *, {", ".join(f"lag(u, {k}) OVER w AS u{k}" for k in range(1, LAG + 1))} FROM d WINDOW w AS (PARTITION BY arm, channel, up, gap, horizon ORDER BY ts_us, seq)),
     s AS (SELECT arm, channel, up, gap, horizon, count(*) AS n, avg(response) AS mean, sqrt(greatest(sum(u * u) / count(*) + 2 * ({_NW}) / count(*), 0) / count(*)) AS se FROM l GROUP BY ALL)
-    SELECT arm, channel, up, CAST(gap AS BIGINT) AS gap, CAST(horizon AS BIGINT) AS horizon, n, round(mean, 6) AS mean, round(se, 5) AS standard_error, round(mean - 1.959963984540054 * se, 5) AS low, round(mean + 1.959963984540054 * se, 5) AS high FROM s""",
+    SELECT arm, channel, up, CAST(gap AS BIGINT) AS gap, CAST(horizon AS BIGINT) AS horizon, n, round(mean + {HAIR}, 6) AS mean, round(se, 5) AS standard_error, round(mean - 1.959963984540054 * se, 5) AS low, round(mean + 1.959963984540054 * se, 5) AS high FROM s""",
 )
 def response_family_estimates(spark, sf):
     """All cells in three arms; the adjusted p-values are in ``response_family``."""
     out = response_family(spark, sf)
     return out.drop("t_statistic", "rank", "adjusted_p").select(
-        "arm", "channel", "up", "gap", "horizon", "n", F.round("mean", 6).alias("mean"), *[F.round(c, 5).alias(c) for c in ("standard_error", "low", "high")]
+        "arm", "channel", "up", "gap", "horizon", "n", F.round(F.col("mean") + HAIR, 6).alias("mean"), *[F.round(c, 5).alias(c) for c in ("standard_error", "low", "high")]
     )
 
 
