@@ -75,22 +75,52 @@ def node_of(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, F.concat(scheme, F.lit("://"), host_of(url), F.when(path == "", "/").otherwise(path), query_part))
 
 
-def declared_links(pages: DataFrame) -> DataFrame:
-    """Links (a, b) between nodes that pages state in ``html``: canonical links and refresh redirects.
+# How pages write a canonical link (as any word of rel) and a refresh, and where their targets stand.
+_LINK, _META = r"(?is)<link[^>]*>", r"(?is)<meta[^>]*>"
+_CANONICAL = r"(?is)\srel\s*=\s*(\"([^\"]*\s)?canonical(\s[^\"]*)?\"|'([^']*\s)?canonical(\s[^']*)?'|canonical([\s/>]))"
+_REFRESH = r"(?is)\shttp-equiv\s*=\s*[\"']?refresh"
+_HREF, _TO = r"(?is)\shref\s*=\s*[\"']?([^\"'\s>]+)", r"(?is)url\s*=\s*[\"']?([^\"'\s>]+)"
+_ENTITIES = (("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&#38;", "&"), ("&amp;", "&"))
+_ABSOLUTE, _OTHER = r"^[A-Za-z][A-Za-z0-9+.\-]*://", r"^[A-Za-z][A-Za-z0-9+.\-]*:"
+
+
+def _without_dots(path: Column) -> Column:
+    """A path from the root with its ``.`` and ``..`` segments taken out."""
+    def step(done: Column, segment: Column) -> Column:
+        return F.when(segment == ".", done).when(segment == "..", F.regexp_replace(done, "/[^/]*$", "")).otherwise(F.concat(done, F.lit("/"), segment))
+
+    parts = F.split(path, "/")
+    done = F.aggregate(F.slice(parts, 2, F.size(parts)), F.lit(""), step)
+    return F.when(path.rlike(r"/\.\.?$") | (done == ""), F.concat(done, F.lit("/"))).otherwise(done)
+
+
+def resolved(url: Column, to: Column) -> Column:
+    """The target ``to`` of a link on page ``url``: absolute, from the scheme, the root, the page's folder or its query;
+    null for fragments and for other schemes (``mailto:``)."""
+    for entity, plain in _ENTITIES:
+        to = F.replace(to, F.lit(entity), F.lit(plain))
+    scheme, host, path = _part(url, r"(?s)^(.*?)://"), host_of(url), path_of(url)
+    base = F.concat(scheme, F.lit("://"), host)
+    way, rest = F.regexp_extract(to, r"(?s)^([^?#]*)", 1), F.regexp_extract(to, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.coalesce(F.nullif(F.regexp_extract(path, r"(?s)^(.*/)", 1), F.lit("")), F.lit("/"))
+    from_root = F.concat(base, _without_dots(way), rest)
+    return (
+        F.when(to.rlike(_ABSOLUTE), to).when(F.startswith(to, F.lit("//")), F.concat(scheme, F.lit(":"), to)).when(F.startswith(to, F.lit("/")), from_root)
+        .when(to.rlike(_OTHER) | F.startswith(to, F.lit("#")), F.lit(None))
+        .when(F.startswith(to, F.lit("?")), F.concat(base, F.when(path == "", "/").otherwise(path), to))
+        .otherwise(F.concat(base, _without_dots(F.concat(folder, way)), rest))
+    )
 
-    Absolute, scheme-relative and root-relative targets are followed; other relative ones are not resolved.
-    """
-    canonical = F.filter(F.regexp_extract_all("html", F.lit(r"(?is)<link\b[^>]*>"), F.lit(0)), lambda t: t.rlike(r"(?i)\brel\s*=\s*[\"']?canonical\b"))
-    targets = F.transform(canonical, lambda t: F.regexp_extract(t, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
-    refresh = F.filter(F.regexp_extract_all("html", F.lit(r"(?is)<meta\b[^>]*>"), F.lit(0)), lambda t: t.rlike(r"(?i)\bhttp-equiv\s*=\s*[\"']?refresh\b"))
-    redirected = F.transform(refresh, lambda t: F.regexp_extract(t, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1))
+
+def declared_links(pages: DataFrame) -> DataFrame:
+    """Links (a, b) between nodes that pages state in ``html``: canonical links and refresh redirects."""
+    canonical = F.filter(F.regexp_extract_all("html", F.lit(_LINK), F.lit(0)), lambda t: t.rlike(_CANONICAL))
+    targets = F.transform(canonical, lambda t: F.regexp_extract(t, _HREF, 1))
+    refresh = F.filter(F.regexp_extract_all("html", F.lit(_META), F.lit(0)), lambda t: t.rlike(_REFRESH))
+    redirected = F.transform(refresh, lambda t: F.regexp_extract(t, _TO, 1))
     found = pages.where(F.col("html").rlike(r"(?i)canonical|http-equiv") & (F.instr("url", "://") > 0))
     found = found.select("url", F.explode(F.concat(targets, redirected)).alias("to")).where("to <> ''")
-    scheme, host = _part(F.col("url"), r"(?s)^(.*?)://"), host_of(F.col("url"))
-    to = F.col("to")
-    whole = F.when(F.instr(to, "://") > 0, to).when(F.startswith(to, F.lit("//")), F.concat(scheme, F.lit(":"), to))
-    whole = whole.when(F.startswith(to, F.lit("/")), F.concat(scheme, F.lit("://"), host, to))
-    return found.select(node_of(F.col("url")).alias("a"), node_of(whole).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
+    return found.select(node_of(F.col("url")).alias("a"), node_of(resolved(F.col("url"), F.col("to"))).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
 
 
 def judge(pages: DataFrame, rules: list[Rule], links: DataFrame | None = None, default: str = "allow") -> DataFrame:
@@ -119,7 +149,8 @@ def judge(pages: DataFrame, rules: list[Rule], links: DataFrame | None = None, d
         node = F.col("node")
         member = member.withColumn("own", rule_for(host_of(node), path_of(node), rules)["verdict"])
         bad = stored(member.where("own = 'block'").select("component").distinct(), "url-blocked")
-        blocked = member.where("own IS NULL").join(bad, "component", "left_semi").select(node.alias("__node"), F.lit("block").alias("__alias"))
+        # A URL without a path is the node of the root, yet a rule for the root's path does not fit it.
+        blocked = member.where(F.col("own").isNull() | (path_of(node) == "/")).join(bad, "component", "left_semi").select(node.alias("__node"), F.lit("block").alias("__alias"))
         judged = judged.withColumn("__node", node_of(url)).join(stored(blocked, "url-aliases"), "__node", "left")
         alias = F.col("__alias")
     judged = judged.withColumns({"rule": F.col("__found.rule"), "verdict": F.coalesce(own, alias, F.lit(default))})
@@ -148,6 +179,16 @@ def _node_sql(url: str) -> str:
     return f"CASE WHEN contains({url}, '://') THEN {scheme} || '://' || {host} || coalesce(nullif({path}, ''), '/') || {tail} END"
 
 
+def _sql(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+def _decoded_sql(text: str) -> str:
+    for entity, plain in _ENTITIES:
+        text = f"replace({text}, '{entity}', '{_sql(plain)}')"
+    return text
+
+
 def _found_sql(source: str, url: str) -> str:
     """Rows of ``source`` with host, path and the deciding rule."""
     host = f"translate(coalesce(regexp_extract({url}, '(?s)^.*?://([^/?#]*)', 1), ''), '{_UPPER}', '{_LOWER}')"
@@ -159,11 +200,14 @@ def _found_sql(source: str, url: str) -> str:
 
 SQL = rf"""WITH RECURSIVE rules(verdict, rhost, rpath, rule) AS (VALUES {", ".join(f"('{r.verdict}', '{r.host}', '{r.path}', '{r.host}{r.path}')" for r in RULES)}),
 p AS (SELECT row_number() OVER () AS k, page_id, url, html FROM pages),
-tags AS (SELECT url, unnest(regexp_extract_all(html, '(?is)<link[^>]*>')) AS tag, '(?i)rel\s*=\s*["'']?canonical' AS kind, '(?is)href\s*=\s*["'']?([^"''\s>]+)' AS target FROM p
-  UNION ALL SELECT url, unnest(regexp_extract_all(html, '(?is)<meta[^>]*>')), '(?i)http-equiv\s*=\s*["'']?refresh', '(?is)url\s*=\s*["'']?([^"''\s>]+)' FROM p),
-t AS (SELECT url, regexp_extract(tag, target, 1) AS x FROM tags WHERE contains(url, '://') AND regexp_matches(tag, kind)),
-w AS (SELECT url, CASE WHEN contains(x, '://') THEN x WHEN starts_with(x, '//') THEN regexp_extract(url, '(?s)^(.*?)://', 1) || ':' || x
-  WHEN starts_with(x, '/') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || x END AS x FROM t),
+tags AS (SELECT url, unnest(regexp_extract_all(html, '{_LINK}')) AS tag, '{_sql(_CANONICAL)}' AS kind, '{_sql(_HREF)}' AS target FROM p
+  UNION ALL SELECT url, unnest(regexp_extract_all(html, '{_META}')), '{_sql(_REFRESH)}', '{_sql(_TO)}' FROM p),
+t AS (SELECT url, {_decoded_sql("regexp_extract(tag, target, 1)")} AS x FROM tags WHERE contains(url, '://') AND regexp_matches(tag, kind)),
+u AS (SELECT url, x, regexp_extract(url, '(?s)^(.*?)://', 1) AS scheme, regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) AS base, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(x, '(?s)^([^?#]*)', 1) AS way, regexp_extract(x, '(?s)^[^?#]*(.*)$', 1) AS rest FROM t WHERE x <> ''),
+v AS (SELECT *, CASE WHEN starts_with(way, '/') THEN way ELSE coalesce(nullif(regexp_extract(path, '(?s)^(.*/)', 1), ''), '/') || way END AS full_path FROM u),
+n AS (SELECT *, list_reduce(string_split(full_path, '/')[2:], lambda d, g: CASE WHEN g = '.' THEN d WHEN g = '..' THEN regexp_replace(d, '/[^/]*$', '') ELSE d || '/' || g END, '') AS done FROM v),
+w AS (SELECT url, CASE WHEN regexp_matches(x, '{_ABSOLUTE}') THEN x WHEN starts_with(x, '//') THEN scheme || ':' || x WHEN NOT starts_with(x, '/') AND (regexp_matches(x, '{_OTHER}') OR starts_with(x, '#')) THEN NULL
+  WHEN starts_with(x, '?') THEN base || coalesce(nullif(path, ''), '/') || x ELSE base || CASE WHEN regexp_matches(full_path, '/\.\.?$') OR done = '' THEN done || '/' ELSE done END || rest END AS x FROM n),
 e AS (SELECT {_node_sql("url")} AS a, {_node_sql("x")} AS b FROM w),
 edges AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
 nodes AS (SELECT row_number() OVER () AS k, a AS node FROM (SELECT DISTINCT a FROM edges)),

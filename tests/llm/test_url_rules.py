@@ -79,6 +79,47 @@ def test_blocks_pass_along_links_but_not_over_an_allow(spark):
     assert sorted(v for k, v in got if k == 9) == ["allow", "block"]
 
 
+TARGETS = {
+    "page.html": "http://x.net/a/b/page.html", "./page.html?q=1": "http://x.net/a/b/page.html?q=1", "../up": "http://x.net/a/up", "../../../top/": "http://x.net/top/",
+    "..": "http://x.net/a/", ".": "http://x.net/a/b/", "?id=3&amp;z=4": "http://x.net/a/b/c?id=3&z=4", "/r/./s/../t": "http://x.net/r/t", "//y.net/q": "http://y.net/q",
+    "https://z.net/?u=http://w": "https://z.net/?u=http://w", "go?u=http://w.net/": "http://x.net/a/b/go?u=http://w.net/", "#part": None, "mailto:a@b": None, "/": "http://x.net/", "d/e/": "http://x.net/a/b/d/e/",
+}
+
+
+def test_targets_are_resolved_as_browsers_do(spark):
+    from urllib.parse import urljoin
+
+    url = "http://x.net/a/b/c?old#f"
+    rows = spark.createDataFrame([(url, t) for t in TARGETS], "url string, t string")
+    from pyspark.sql import functions as F
+
+    got = {r.t: r.x for r in rows.select("t", ur.resolved(F.col("url"), F.col("t")).alias("x")).collect()}
+    assert got == TARGETS
+    for target, want in TARGETS.items():
+        if want:
+            assert urljoin(url, target.replace("&amp;", "&")) == want
+
+
+def test_rel_may_hold_other_words(spark):
+    tags = ['<link rel="alternate canonical" href="/de">', "<link href=/de rel='canonical nofollow'>", "<link rel=canonical href=/de>", '<link rel="noncanonical" href="/de">', '<link data-rel="canonical" href="/de">', "<link rel=canonicals href=/de>"]
+    rows = [(n, f"http://p{n}.net/", t) for n, t in enumerate(tags)]
+    assert sorted(r.a for r in ur.declared_links(pages(spark, rows)).collect()) == [f"http://p{n}.net/" for n in range(3)]
+
+
+def test_linked_pages_equal_sql(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    hosts, paths = [f"h{i}.net" for i in range(12)] + ["a.com", "b.example.org"], ["/de/x", "/fr/y", "/s/t/u", "/es/", ""]
+    urls = [f"http://{rng.choice(hosts)}{rng.choice(paths)}" + (f"?n={i}" if i % 3 else "") for i in range(160)]
+    ends = ["../de/q", "page", "?n=2&amp;m=1", "/es/", "./", "#top", "//a.com/de/1", "http://b.example.org/en/1"]
+    rows = [(i, u, link(str(rng.choice(ends + urls[:40])), i) if i % 2 else None) for i, u in enumerate(urls)]
+    pages(spark, rows).write.parquet(f"{tmp_path}/pages.parquet")
+    con = connect("/root/testdata/sf0.001")
+    con.execute(f"CREATE OR REPLACE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert compare(spark, "op7", ur.op7_redirect_equivalence, ur.SQL, str(tmp_path), con) is None
+    verdicts = [r.verdict for r in ur.op7_redirect_equivalence(spark, str(tmp_path)).where("rule IS NULL").collect()]
+    assert {"allow", "block"} == set(verdicts)
+
+
 def test_random_graphs_equal_brute_force(spark):
     rng = np.random.default_rng(4)
     hosts = [f"h{i}.net" for i in range(60)] + ["a.com", "b.org"]
