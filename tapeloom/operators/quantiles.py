@@ -68,7 +68,9 @@ def quantiles(
     for name, p in probs.items():
         where = (F.col("n") - 1) * F.lit(p)
         w = where - F.floor(where)
-        out.append((F.col(f"__lo_{name}") * (1.0 - w) + F.col(f"__hi_{name}") * w).alias(name))
+        low, high = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
+        # A rank that is whole takes its value alone: an infinity times zero would be NaN.
+        out.append(F.when(w == 0, low * 1.0).otherwise(low * (1.0 - w) + high * w).alias(name))
     return picked.select(*out)
 
 

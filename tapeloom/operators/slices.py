@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from math import isfinite
 from typing import Literal
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -24,6 +25,11 @@ _GRID = 4096  # quantile cuts read back to the driver; longer tables cut evenly
 NULL_SLICE = -1
 
 
+def _finite(cuts: Sequence[float]) -> tuple[float, ...]:
+    """Distinct finite cuts in their order; infinities and NaN lie beyond the last one or before the first."""
+    return tuple(sorted({float(c) for c in cuts if isfinite(c)}))
+
+
 @dataclass(frozen=True)
 class Slices:
     """Monotone map from an ordered value to a slice number; nulls sort first and have a slice of their own."""
@@ -61,8 +67,8 @@ class Slices:
         step = max(1, _GRID // min(wanted, _GRID))
         picked = row["cuts"][step - 1 :: step]
         if wanted <= _GRID:
-            return cls(tuple(sorted({float(c) for c in picked})))
-        cuts = tuple(sorted({float(c) for c in (*picked, row["low"], row["high"])}))
+            return cls(_finite(picked))
+        cuts = _finite((*picked, row["low"], row["high"]))
         return cls(cuts, -(-wanted // max(1, len(cuts) - 1)))
 
     def of(self, value: Column | str) -> Column:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.real import divide, sign
 from ..operators import bars as R
 from ..operators.quantiles import quantiles
 from ..operators.slices import ordered_scan, prev, row_no, sliding
+from ..session import cut_lineage
 from .bindings import DAY, HOUR, KEYS, TAPE_SQL, slices_for, table, tape, time_slices
 from .registry import query
 
@@ -87,6 +89,7 @@ def roll_spread_tumbling(spark, sf):
 )
 def high_low_spread(spark, sf):
     pairs = R.corwin_schultz(channel_bars(spark, sf), ["channel"], "bar_start", time_slices(spark, sf))
+    pairs = cut_lineage(pairs.select("channel", "spread"))
     cuts = slices_for(spark, sf, "bars.spread", pairs, "spread")
     q = quantiles(pairs.withColumnRenamed("spread", "s"), ["channel"], "s", {"spread": 0.5}, cuts)
     return q.withColumn("spread", F.round("spread", 6))
