@@ -153,9 +153,9 @@ def prior_close_returns(spark, sf):
     two = ordered_scan(one, KEYS, ["bar_start"], cuts, {"c2": prev("c1")})
     return two.select(
         "instrument_id", F.expr(f"bar_start div {DAY}").alias("day"),
-        F.round(100 * (F.try_divide("open", "c1") - 1), 4).alias("gap_pct"),
-        F.round(100 * (F.try_divide("close", "open") - 1), 4).alias("intraday_pct"),
-        F.round(100 * (F.try_divide("c1", "c2") - 1), 4).alias("prior_return_pct"),
+        F.round(100 * (divide("open", "c1") - 1), 4).alias("gap_pct"),
+        F.round(100 * (divide("close", "open") - 1), 4).alias("intraday_pct"),
+        F.round(100 * (divide("c1", "c2") - 1), 4).alias("prior_return_pct"),
     )
 
 
@@ -278,10 +278,10 @@ def first_and_last_half_returns(spark, sf):
     c = rows.groupBy("channel", "day").agg(
         F.min_by("value", order).alias("op"), at(6 * HOUR).alias("a"), at(18 * HOUR).alias("b"), F.max_by("value", order).alias("cl")
     ).where(F.col("a").isNotNull() & F.col("b").isNotNull())
-    f, l = F.try_divide("a", "op") - 1, F.try_divide("cl", "b") - 1
+    f, l = divide("a", "op") - 1, divide("cl", "b") - 1
     return c.groupBy("channel").agg(
-        F.count(F.lit(1)).alias("sessions"), F.count(F.when(F.signum(f) == F.signum(l), 1)).alias("agree"),
-        F.round(F.avg(F.signum(f) * l), 6).alias("sign_rule_mean"), F.round(F.corr(f, l), 6).alias("correlation"),
+        F.count(F.lit(1)).alias("sessions"), F.count(F.when(sign(f) == sign(l), 1)).alias("agree"),
+        F.round(F.avg(sign(f) * l), 6).alias("sign_rule_mean"), F.round(F.corr(f, l), 6).alias("correlation"),
     )
 
 
