@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import book as B
+from ..functions.real import ln_ratio
 from ..operators.asof import asof
 from ..operators.orders import first_failing
 from ..operators.slices import ordered_scan, prev, row_no, sliding
@@ -104,8 +105,7 @@ def reference_price_coverage(spark, sf):
 def rolling_activity_windows(spark, sf):
     cuts = time_slices(spark, sf)
     stepped = ordered_scan(tape(spark, sf), KEYS, ["ts_us", "seq"], cuts, {"p": prev("value")})
-    ok = (F.col("p") > 0) & (F.col("value") > 0)
-    rows = stepped.withColumn("r", F.when(ok, F.log(F.col("value") / F.col("p")))).withColumn("qty", 1 + F.col("seq") % 50)
+    rows = stepped.withColumn("r", F.when(F.col("p") > 0, ln_ratio("value", "p"))).withColumn("qty", 1 + F.col("seq") % 50)
     out = sliding(
         rows, KEYS, "ts_us", cuts,
         {
