@@ -28,7 +28,7 @@ class Settings(NamedTuple):
 
 # Word bytes stay (letters in lower case), all others are delimiters; bytes above 127 belong to words.
 _FOLD = bytes(c if c > 127 or 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
-_END = "\x01"  # stands between two texts like a word; no text holds it after folding
+_END = b"\x01"  # stands between two texts like a word; no text holds it after folding
 
 
 def _byte_table() -> np.ndarray:
@@ -75,14 +75,14 @@ class Shift:
 class Dictionary:
     """An automaton of delimiter-bounded words; each carries its CRC32 and its length in bytes."""
 
-    def __init__(self, words: set[str]) -> None:
+    def __init__(self, words: set[bytes]) -> None:
         self.words = words
         known = [_END, *sorted(words)]
-        self.crc = np.array([crc32(w.encode("latin-1")) for w in known], dtype=np.uint32)
+        self.crc = np.array([crc32(w) for w in known], dtype=np.uint32)
         self.length = np.array([len(w) for w in known], dtype=np.int64)
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for n, word in enumerate(known):
-            self.automaton.add_word(f" {word} ", n)
+            self.automaton.add_word(f" {word.decode('latin-1')} ", n)
         self.automaton.make_automaton()
 
     def scan(self, stream: str) -> np.ndarray:
@@ -100,14 +100,15 @@ class Features:
         """Words of each text, and for each run length (text number, bucket) of all runs of that many words.
 
         A run's CRC comes from those of the run without its last word and of that word: the first is moved
-        on by a space and the word's length, so no run's bytes are put together or read.
+        on by a space and the word's length, so no run's bytes are put together or read. Words are split as
+        bytes: a string would also be split at 0x85 and 0xA0, which are parts of letters here.
         """
-        folded = [(t or b"").translate(_FOLD).decode("latin-1").split() for t in texts]
+        folded = [(t or b"").translate(_FOLD).split() for t in texts]
         words = set().union(*folded) if folded else set()
         if not words <= self.dictionary.words:
             self.dictionary = Dictionary(words)
-        stream = "".join(f" {' '.join(w)} {_END}" if w else f" {_END}" for w in folded) + " "
-        seen = self.dictionary.scan(stream)
+        stream = b" %b " % b" ".join([b" ".join([*w, _END]) for w in folded])
+        seen = self.dictionary.scan(stream.decode("latin-1"))
         of = np.cumsum(seen == 0) - (seen == 0)
         own, length = self.dictionary.crc[seen], self.dictionary.length[seen]
         real, space = seen != 0, np.uint32(crc32(b" "))

@@ -91,3 +91,11 @@ def test_drawn_rows_keep_their_columns(spark):
     table = docs(spark, rows)
     drawn = resampled(table, spark.createDataFrame([("a3 b c",)], "text string"))
     assert drawn.columns == table.columns and drawn.count() == 2
+
+
+def test_letters_that_hold_space_like_bytes_stay_whole():
+    texts = ["voilà à la carte", "Ångström Å 中文 中", "one two … \u0085x", "à"]
+    counts, runs = Features(Settings()).block([t.encode() for t in texts])
+    assert counts.tolist() == [len(words(t)) for t in texts]
+    got = Counter(b for _, own in runs for b in own.tolist())
+    assert got == Counter(b for t in texts for b in buckets(t))
