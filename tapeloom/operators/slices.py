@@ -184,10 +184,13 @@ def ordered_scan(
     group = [*keys, SLICE]
     w = Window.partitionBy(*group).orderBy(*order_by)
     past, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
-    ahead, after = w.rowsBetween(0, Window.unboundedFollowing), w.rowsBetween(1, Window.unboundedFollowing)
+    # What lies ahead is read on the reversed order: a frame that only ends at the last row is
+    # aggregated anew for every row, so its cost would grow with the square of the slice.
+    wr = Window.partitionBy(*group).orderBy(*[F.col(c).desc() for c in order_by])
+    ahead, after = wr.rowsBetween(Window.unboundedPreceding, 0), wr.rowsBetween(Window.unboundedPreceding, -1)
     wk = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(SLICE)
     k_before = wk.rowsBetween(Window.unboundedPreceding, -1)
-    k_after = wk.rowsBetween(1, Window.unboundedFollowing)
+    k_after = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.col(SLICE).desc()).rowsBetween(Window.unboundedPreceding, -1)
     k_all = Window.partitionBy(*(keys or [F.lit(0)]))
     order = F.struct(*[F.col(c) for c in order_by])
 
@@ -214,9 +217,9 @@ def ordered_scan(
             final.append(F.coalesce(F.col(l), F.col(c)).alias(name))
         elif kind in ("first_from", "first_after"):
             frame = ahead if kind == "first_from" else after
-            local.append(F.first(v, ignorenulls=True).over(frame).alias(l))
+            local.append(F.last(v, ignorenulls=True).over(frame).alias(l))
             summary.append(F.min_by(v, F.when(v.isNotNull(), order)).alias(c))
-            carry.append(F.first(c, ignorenulls=True).over(k_after).alias(c))
+            carry.append(F.last(c, ignorenulls=True).over(k_after).alias(c))
             final.append(F.coalesce(F.col(l), F.col(c)).alias(name))
         elif kind in ("run_sum", "row"):
             local.append(F.coalesce(F.sum(v).over(past), F.lit(0)).alias(l))
