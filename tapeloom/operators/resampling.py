@@ -48,6 +48,9 @@ def stationary_runs(sessions: DataFrame, groups: Sequence[str], replicates: int,
     def drawn(p: Column) -> Column:
         return F.struct(p.alias("p"), F.pmod(_digits(F.concat(_key(seed, groups, p), F.lit(":s")), 15), n).alias("start"))
 
+    # Sessions are few rows, which would arrive in one task; the draws are as many as their rows and replicates.
+    tasks = int(sessions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    plan = plan.repartition(tasks, *groups, "replicate", "stretch")
     plan = plan.withColumn("low", at).withColumn("high", F.least(n, at + STRETCH))
     plan = plan.withColumn("own", F.transform(F.filter(F.sequence(F.col("low"), F.col("high") - 1), restarts), drawn))
     earlier = Window.partitionBy(*groups, "replicate").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
