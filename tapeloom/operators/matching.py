@@ -6,11 +6,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .asof import asof
+from ..session import cut_lineage
 from .flow import boundary_churn
 from .slices import SLICE, Slices
 
@@ -31,12 +31,11 @@ def nearest_control(
     is 0. Every event has a row: where none can be matched ``reason`` says whether the stratum has no
     controls or no quiet ones (``quiet`` names the flag; without it every control is quiet).
 
-    A first guess (the control just below and just above on the first covariate) bounds the distance.
-    Only controls whose first covariate lies within that bound can win, so an event visits just the
-    slices its bound touches; each (stratum, slice) is searched in one task and the slice winners are
-    compared at the end. No control is dropped and no pair table is built.
+    Controls are cut into slices of the first covariate. An event first asks its own slice (or the next one
+    that holds controls of its stratum); the distance found there bounds its reach on that covariate, and only
+    other slices within that reach are asked too. No control is dropped and no pair table is built.
     """
-    first = covariates[0]
+    covariates, first = list(covariates), covariates[0]
     calm = F.lit(True) if quiet is None else F.coalesce(F.col(quiet), F.lit(False))
     low_high = [f(F.when(calm, F.col(c))).alias(f"{n}_{c}") for c in covariates for n, f in (("lo", F.min), ("hi", F.max))]
     ranges = controls.groupBy(*strata).agg(F.count(F.when(calm, 1)).alias("__quiet"), *low_high)
@@ -45,72 +44,103 @@ def nearest_control(
     axis = F.when(width > 0, F.round((F.col(first) - F.col(f"lo_{first}")) / width * micro)).otherwise(0).cast("long")
     asked = events.select(*strata, event_id, *covariates).join(ranges, list(strata), "left")
     reason = F.when(F.col("__quiet").isNull(), "no_same_stratum_candidates").when(F.col("__quiet") == 0, "no_quiet_same_stratum_candidates")
-    refused = asked.withColumn("reason", reason).where(F.col("reason").isNotNull()).select(*strata, event_id, "reason")
+    everyone = asked.select(*strata, event_id, reason.alias("reason"))
 
     def scale(c: str):
         span = F.greatest(F.col(f"hi_{c}"), F.col(c)) - F.least(F.col(f"lo_{c}"), F.col(c))
         return F.when(span > 0, span).otherwise(1.0)
 
     scales = [f"s_{c}" for c in covariates]
-    left = asked.where(F.col("__quiet") > 0).select(
+    left = asked.where(F.col("__quiet") > 0).dropna(subset=covariates).select(
         *strata, event_id, *covariates, axis.alias("axis"), *[scale(c).alias(n) for c, n in zip(covariates, scales, strict=True)],
-        F.when(width > 0, scale(first) / width).otherwise(0.0).alias("__stretch"),
+        F.when(width > 0, scale(first) / width).otherwise(0.0).alias("__stretch"), F.lit(float("inf")).alias("__cap"),
     )
-    right = controls.where(calm).join(ranges, list(strata)).select(*strata, control_id, *covariates, axis.alias("axis"))
+    right = controls.where(calm).dropna(subset=covariates).join(ranges, list(strata)).select(*strata, control_id, *covariates, axis.alias("axis"))
     if slices is None:
         slices = Slices.plan(right, "axis", rows_per_slice=200_000)
-    guess = left
-    for direction, prefix in (("backward", "b_"), ("forward", "f_")):
-        guess = asof(
-            guess, right, keys=strata, left_ts="axis", right_ts="axis", values=list(covariates), slices=slices,
-            right_ties=[control_id], direction=direction, prefix=prefix,
+    # Columns of their own: events and controls may come from one table, which a cogroup would take for ambiguous.
+    homes = right.select(*[F.col(c).alias(c) for c in (*strata, control_id, *covariates)], slices.of("axis").alias(SLICE))
+    left = left.withColumn("__own", slices.of("axis"))
+
+    # One row per stratum and slice: the slice itself if it holds controls, or the next one that does.
+    spots = left.select(*strata, F.col("__own").alias(SLICE), F.lit(None).cast("int").alias("__filled")).unionByName(
+        homes.select(*strata, SLICE, F.col(SLICE).alias("__filled"))
+    ).groupBy(*strata, SLICE).agg(F.max("__filled").alias("__filled"))
+    up, down = (Window.partitionBy(*(strata or [F.lit(0)])).orderBy(o) for o in (F.col(SLICE), F.col(SLICE).desc()))
+    near = F.coalesce(F.last("__filled", ignorenulls=True).over(up), F.last("__filled", ignorenulls=True).over(down))
+    nearest = spots.select(*strata, F.col(SLICE).alias("__own"), near.alias(SLICE)).where(F.col(SLICE).isNotNull())
+
+    asking = left.join(nearest, [*strata, "__own"]).drop("__own")
+    added = T.StructType([T.StructField(control_id, homes.schema[control_id].dataType), T.StructField("distance", T.DoubleType())])
+
+    def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        found, distance = _nearest(
+            a[covariates].to_numpy(dtype=float), a[scales].to_numpy(dtype=float), a["__cap"].to_numpy(dtype=float), b, covariates, control_id
         )
+        hit = np.flatnonzero(found >= 0)
+        out = a.iloc[hit].copy()
+        out[control_id], out["distance"] = b[control_id].to_numpy()[found[hit]], distance[hit]
+        return out
+
+    def ask(who: DataFrame) -> DataFrame:
+        schema = T.StructType([*who.schema.fields, *added.fields])
+        names, keys = schema.fieldNames(), [*strata, SLICE]
 
-    def gap(prefix: str):
-        total = F.lit(0.0)
-        for c in covariates:
-            total = total + ((F.col(c) - F.col(f"{prefix}{c}")) / F.col(f"s_{c}")) ** 2
-        return F.coalesce(total, F.lit(float("inf")))
+        def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame(columns=names) if a.empty or b.empty else search(a, b)[names]
 
+        return who.groupBy(*keys).cogroup(homes.groupBy(*keys)).applyInPandas(run, schema)
+
+    at_home = cut_lineage(ask(asking))
     # A little slack covers the rounding of the axis.
-    bound = F.sqrt(F.least(gap("b_"), gap("f_"))) * F.col("__stretch") + 1e-8
-    reach = F.ceil(bound * micro) + 1
-    visits = guess.withColumn("reach", reach).withColumn(
-        SLICE, F.explode(F.sequence(slices.of(F.col("axis") - F.col("reach")), slices.of(F.col("axis") + F.col("reach"))))
-    ).select(*strata, SLICE, event_id, *covariates, *scales)
-    homes = right.withColumn(SLICE, slices.of("axis")).select(*strata, SLICE, control_id, *covariates)
-    schema = T.StructType(
-        [*[visits.schema[s] for s in strata], visits.schema[event_id], homes.schema[control_id], T.StructField("distance", T.DoubleType())]
+    reach = F.ceil((F.sqrt("distance") * F.col("__stretch") + 1e-8) * micro) + 1
+    visits = at_home.select(
+        *strata, event_id, *covariates, "axis", *scales, "__stretch", F.col("distance").alias("__cap"), F.col(SLICE).alias("__home"),
+        F.explode(F.sequence(slices.of(F.col("axis") - reach), slices.of(F.col("axis") + reach))).alias(SLICE),
+    ).where(F.col(SLICE) != F.col("__home")).drop("__home")
+    answers = [*strata, event_id, control_id, "distance"]
+    found = at_home.select(*answers).unionByName(ask(visits).select(*answers)).unionByName(everyone, allowMissingColumns=True)
+    rank = F.when(F.col("distance").isNotNull(), F.struct("distance", control_id))
+    return found.groupBy(*strata, event_id).agg(
+        F.min_by(control_id, rank).alias(control_id), F.min("distance").alias("distance"), F.max("reason").alias("reason")
     )
-    names = schema.fieldNames()
 
-    def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame(columns=names)
-        b = b.sort_values(control_id)
-        pool, ids = b[covariates].to_numpy(dtype=float), b[control_id].to_numpy()
-        best, dist = [], []
-        asking, by = a[covariates].to_numpy(dtype=float), a[scales].to_numpy(dtype=float)
-        rows = max(1, 4_000_000 // len(pool))  # keeps the distance block near 32 MB
-        for start in range(0, len(a), rows):
-            part, unit = asking[start : start + rows], by[start : start + rows]
-            d = np.zeros((len(part), len(pool)))
-            for j in range(len(covariates)):
-                d += ((part[:, j, None] - pool[None, :, j]) / unit[:, j, None]) ** 2
-            at = d.argmin(axis=1)
-            best.append(ids[at])
-            dist.append(d[np.arange(len(part)), at])
-        out = a[[*strata, event_id]].copy()
-        out[control_id], out["distance"] = np.concatenate(best), np.concatenate(dist)
-        return out[names]
-
-    keys = [*strata, SLICE]
-    covariates = list(covariates)
-    found = visits.groupBy(*keys).cogroup(homes.groupBy(*keys)).applyInPandas(search, schema)
-    best = found.groupBy(*strata, event_id).agg(
-        F.min_by(control_id, F.struct("distance", control_id)).alias(control_id), F.min("distance").alias("distance")
-    )
-    return best.withColumn("reason", F.lit(None).cast("string")).unionByName(refused, allowMissingColumns=True)
+
+def _nearest(
+    asking: np.ndarray, by: np.ndarray, cap: np.ndarray, pool: pd.DataFrame, covariates: Sequence[str], tie: str
+) -> tuple[np.ndarray, np.ndarray]:
+    """Row of ``pool`` with the least squared distance to each asking row (ties by ``tie``) and that distance; -1
+    where none lies within ``cap``. Both sides are ordered on the covariate that spreads most, and a row is
+    compared with what lies within its bound there, which its neighbours in that order give."""
+    ranked = pool[[tie, *covariates]].reset_index(drop=True).sort_values(tie)
+    ranked = ranked.drop_duplicates(covariates)  # of equal controls the first wins
+    points, places = ranked[list(covariates)].to_numpy(dtype=float), ranked.index.to_numpy()
+    widest = int(np.argmax(np.ptp(points, axis=0) / by.mean(axis=0)))
+    order = np.argsort(points[:, widest], kind="stable")
+    points, line = points[order], points[order, widest]  # ``order`` is the rank by ``tie``
+    best, at = np.full(len(asking), np.inf), np.full(len(asking), -1, dtype=np.int64)
+    turn = np.argsort(asking[:, widest], kind="stable")
+    near = np.arange(-32, 32)
+
+    def distances(rows: np.ndarray, candidates: np.ndarray) -> np.ndarray:
+        terms = (((asking[rows, j, None] - candidates[..., j]) / by[rows, j, None]) ** 2 for j in range(points.shape[1]))
+        return sum(terms, 0.0)
+
+    for start in range(0, len(turn), 256):
+        rows = turn[start : start + 256]
+        x = asking[rows, widest]
+        beside = np.clip(np.searchsorted(line, x)[:, None] + near, 0, len(line) - 1)
+        bound = np.minimum(distances(rows, points[beside]).min(axis=1), cap[rows])
+        reach = np.sqrt(bound) * by[rows, widest] * (1 + 1e-9) + 1e-12 * (1 + np.abs(x))
+        low, high = np.searchsorted(line, x - reach).min(), np.searchsorted(line, x + reach, side="right").max()
+        for piece in range(low, high, 16_384):  # keeps a block of distances near 32 MB
+            part = slice(piece, min(piece + 16_384, high))
+            d = distances(rows, points[None, part])
+            least = d.min(axis=1)
+            first = np.where(d == least[:, None], order[part][None, :], len(order)).min(axis=1)
+            better = (least <= cap[rows]) & ((least < best[rows]) | ((least == best[rows]) & (first < at[rows])))
+            best[rows[better]], at[rows[better]] = least[better], first[better]
+    return np.where(at >= 0, places[at], -1), best
 
 
 def relocations(moves: DataFrame, id_cols: Sequence[str], side: str, far: float, tolerance: float = 0.25, overlap: float = 0.9) -> DataFrame:
