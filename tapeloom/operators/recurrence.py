@@ -8,11 +8,12 @@ slice. No task ever holds more than one slice of a key.
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,28 +65,33 @@ def linear_recurrence(
     )
 
 
+def _in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Partitions that hold each key whole and sorted, its first row flagged: what reads them row by row pays for
+    rows only, not for each of many small keys."""
+    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order)
+    return df.withColumn("__first", F.row_number().over(w) == 1).sortWithinPartitions(*keys, *order)
+
+
 def greedy_non_overlapping(
-    df: DataFrame, keys: Sequence[str], start: str, end: str, slices: Slices, name: str = "selected"
+    df: DataFrame, keys: Sequence[str], start: str, end: str, slices: Slices, name: str = "selected", ties: Sequence[str] = ()
 ) -> DataFrame:
-    """Mark rows kept by the greedy rule: in (start, end) order, keep a row that starts after the
+    """Mark rows kept by the greedy rule: in (start, end, ties) order, keep a row that starts after the
     end of the last kept one.
 
     The state is the last kept end. Within a slice the final kept end is a non-decreasing step
     function of the incoming one, stored with equal steps merged.
     """
     sliced = df.withColumn(SLICE, slices.of(start))
+    head = [*keys, SLICE]
     steps = T.StructType(
         [
-            *[sliced.schema[k] for k in (*keys, SLICE)],
+            *[sliced.schema[k] for k in head],
             T.StructField("limits", T.ArrayType(T.LongType())),
             T.StructField("exits", T.ArrayType(T.LongType())),
         ]
     )
-    head = [*keys, SLICE]
 
-    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([start, end])
-        starts, ends = pdf[start].tolist(), pdf[end].tolist()
+    def step(starts: list, ends: list) -> tuple[list, list]:
         n = len(starts)
         final = [0] * n
         for i in range(n - 1, -1, -1):
@@ -99,41 +105,77 @@ def greedy_non_overlapping(
             elif not limits or s != limits[-1]:
                 limits.append(s)
                 exits.append(f)
-        row = {c: pdf[c].iloc[0] for c in head}
-        return pd.DataFrame([{**row, "limits": limits, "exits": exits}])
-
-    summary = sliced.select(*keys, SLICE, start, end).groupBy(*head).applyInPandas(summarise, steps)
+        return limits, exits
+
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_head, starts, ends = None, [], []
+        for batch in batches:
+            firsts = np.flatnonzero(batch.column("__first").to_numpy(zero_copy_only=False))
+            own_starts, own_ends = batch.column(start).to_pylist(), batch.column(end).to_pylist()
+            heads, found = [] if open_head is None else [open_head], []
+            heads.append(batch.select(head).take(pa.array(firsts)))
+            begin = 0
+            for at in firsts.tolist():
+                starts += own_starts[begin:at]
+                ends += own_ends[begin:at]
+                if starts:
+                    found.append(step(starts, ends))
+                starts, ends, begin = [], [], at
+            starts += own_starts[begin:]
+            ends += own_ends[begin:]
+            told = pa.Table.from_batches(heads).combine_chunks()
+            open_head = told.slice(told.num_rows - 1).to_batches()[0]
+            if found:
+                yield _with_lists(told.slice(0, len(found)).to_batches()[0], found)
+        if starts:
+            yield _with_lists(open_head, [step(starts, ends)])
+
+    spans = sliced.where(F.col(start).isNotNull() & F.col(end).isNotNull()).select(*head, start, end)
+    summary = _in_order(spans, head, [start, end]).mapInArrow(summarise, steps)
     chained = T.StructType([*[sliced.schema[k] for k in head], T.StructField("__in", T.LongType())])
-    names = [*head, "__in"]
     lowest = -(2**62)
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(SLICE)
-        state, entering = lowest, []
-        for limits, exits in zip(pdf["limits"], pdf["exits"], strict=True):
-            entering.append(state)
-            k = _first_after(list(limits), state)
-            if k < len(limits):
-                state = int(exits[k])
-        return pdf.assign(__in=entering)[names]
-
-    carried = summary.groupBy(*keys).applyInPandas(chain, chained)
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = lowest
+        for batch in batches:
+            entering = []
+            for first, limits, exits in zip(*(batch.column(c) for c in ("__first", "limits", "exits")), strict=True):
+                state = lowest if first.as_py() else state
+                entering.append(state)
+                ordered = limits.values.to_numpy(zero_copy_only=False)
+                k = int(np.searchsorted(ordered, state, side="right"))
+                if k < len(ordered):
+                    state = exits.values[k].as_py()
+            heads = batch.select(head)
+            yield pa.RecordBatch.from_arrays([*heads.columns, pa.array(entering, pa.int64())], [*head, "__in"])
+
+    carried = _in_order(summary, list(keys), [SLICE]).mapInArrow(chain, chained)
     marked = T.StructType([*df.schema.fields, T.StructField(name, T.BooleanType())])
     columns = df.columns
 
-    def mark(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([start, end])
-        state, kept = int(pdf["__in"].iloc[0]), []
-        for s, e in zip(pdf[start].tolist(), pdf[end].tolist(), strict=True):
-            take = s > state
-            kept.append(take)
-            if take:
-                state = e
-        out = pdf[columns].copy()
-        out[name] = kept
-        return out
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = lowest
+        for batch in batches:
+            kept = []
+            for entering, s, e in zip(*(batch.column(c).to_pylist() for c in ("__in", start, end)), strict=True):
+                if entering is not None:  # the row that opens a slice
+                    state = entering
+                take = entering is None and s is not None and e is not None and s > state
+                kept.append(take)
+                if take:
+                    state = e
+            rows = batch.select(columns)
+            out = pa.RecordBatch.from_arrays([*rows.columns, pa.array(kept, pa.bool_())], [*columns, name])
+            yield out.filter(batch.column("__in").is_null())
+
+    both = sliced.withColumn("__in", F.lit(None).cast("long")).unionByName(carried, allowMissingColumns=True)
+    ordered = both.repartition(*head).sortWithinPartitions(*head, F.col("__in").desc_nulls_last(), start, end, *ties)
+    return ordered.mapInArrow(mark, marked)
+
 
-    return sliced.join(carried, head, "left").groupBy(*head).applyInPandas(mark, marked)
+def _with_lists(heads: pa.RecordBatch, found: list[tuple[list, list]]) -> pa.RecordBatch:
+    lists = [pa.array([f[side] for f in found], pa.list_(pa.int64())) for side in (0, 1)]
+    return pa.RecordBatch.from_arrays([*heads.columns, *lists], [*heads.schema.names, "limits", "exits"])
 
 
 def _first_after(ordered: list, bound: int) -> int:
@@ -142,8 +184,8 @@ def _first_after(ordered: list, bound: int) -> int:
 
 
 def minimum_spacing(
-    df: DataFrame, keys: Sequence[str], ts: str, gap: int, slices: Slices
+    df: DataFrame, keys: Sequence[str], ts: str, gap: int, slices: Slices, ties: Sequence[str] = ()
 ) -> DataFrame:
-    """Greedy sample: first row, then each row at least ``gap`` after the last kept one."""
+    """Greedy sample: first row (of equal times by ``ties``), then each row at least ``gap`` after the last kept one."""
     spans = df.withColumn("__end", F.col(ts) + F.lit(gap - 1))
-    return greedy_non_overlapping(spans, keys, ts, "__end", slices).where("selected").drop("__end", "selected")
+    return greedy_non_overlapping(spans, keys, ts, "__end", slices, ties=ties).where("selected").drop("__end", "selected")

@@ -60,7 +60,7 @@ def response_family(
     """
     group = [*cell, "gap", "horizon"]
     spans = responses.withColumn("__end", F.col(ts) + F.col("gap") + F.col("horizon"))
-    first = greedy_non_overlapping(spans, [*keys, *group], ts, "__end", slices).where("selected").drop("__end", "selected")
+    first = greedy_non_overlapping(spans, [*keys, *group], ts, "__end", slices, ties=[event_id]).where("selected").drop("__end", "selected")
     arms = [responses.withColumn("arm", F.lit(ALL)), first.withColumn("arm", F.lit(EPISODES))]
     if differences is not None:
         arms.append(differences.withColumn("arm", F.lit(MATCHED)))

@@ -274,7 +274,7 @@ def spans(spark, sf):
     SELECT instrument_id, seq, selected FROM r""",
 )
 def greedy_non_overlapping_episodes(spark, sf):
-    return greedy_non_overlapping(spans(spark, sf), KEYS, "s", "e", time_slices(spark, sf)).select("instrument_id", "seq", "selected")
+    return greedy_non_overlapping(spans(spark, sf), KEYS, "s", "e", time_slices(spark, sf), ties=["seq"]).select("instrument_id", "seq", "selected")
 
 
 @query(
@@ -286,7 +286,7 @@ def greedy_non_overlapping_episodes(spark, sf):
 )
 def minimum_spacing_sample(spark, sf):
     rows = tape(spark, sf).where(F.col("channel") == "view").select("instrument_id", "seq", "ts_us")
-    return minimum_spacing(rows, KEYS, "ts_us", DAY, time_slices(spark, sf)).select("instrument_id", "seq")
+    return minimum_spacing(rows, KEYS, "ts_us", DAY, time_slices(spark, sf), ties=["seq"]).select("instrument_id", "seq")
 
 
 UNION_SQL = f"""{SPAN_SQL}, m AS (SELECT *, max(e) OVER (PARTITION BY instrument_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM spans),
