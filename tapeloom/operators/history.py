@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
 from .slices import SLICE, Slices
 
 
@@ -22,11 +23,8 @@ def past_session_percentiles(
     lies in lower slices comes from a (slice, session) count table, and only the rows of one slice
     are compared inside a task.
     """
-    cells = (
-        df.groupBy(*groups, session, value)
-        .agg(F.count(F.lit(1)).alias("events"))
-        .withColumn(SLICE, slices.of(value))
-    )
+    # The counts are read five times below; what they were counted from is read once.
+    cells = cut_lineage(df.groupBy(*groups, session, value).agg(F.count(F.lit(1)).alias("events"))).withColumn(SLICE, slices.of(value))
     blocks = cells.groupBy(*groups, SLICE, session).agg(F.sum("events").alias("n"))
     # Lattice of slices and sessions of a group: both are small axes whatever the data size.
     lattice = (
