@@ -6,15 +6,21 @@ draws the same again.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut_lineage
 from .slices import Slices, nxt, ordered_scan, row_no, run_sum, total
 
 STRETCH = 8192  #: positions whose restarts one row of the plan holds
+PLACES = 131_072  #: places drawn at once
+ENDS_PER_TASK = 2_000_000  #: run ends that one task looks up
 
 
 def _key(seed: int, groups: Sequence[str], position: Column) -> Column:
@@ -26,6 +32,52 @@ def _digits(key: Column, n: int) -> Column:
     return F.conv(F.substring(F.md5(key), 1, n), 16, 10).cast("long")
 
 
+def _digests(keys: np.ndarray, sizes: np.ndarray, owner: np.ndarray, place: np.ndarray, tail: bytes) -> np.ndarray:
+    """First 16 hex digits of md5(key of the owner, place as text, tail) as numbers, for many places at once."""
+    out = np.empty(len(place), dtype=np.uint64)
+    width = np.searchsorted(10 ** np.arange(1, 19), place, side="right") + 1
+    kinds = sizes[owner] * 32 + width
+    letters = keys.view(np.uint8).reshape(len(keys), -1)
+    for kind in np.unique(kinds).tolist():
+        size, digits = divmod(kind, 32)
+        same = np.flatnonzero(kinds == kind)
+        length = size + digits + len(tail)
+        for at in range(0, len(same), 16_384):  # small enough to stay in the processor's cache
+            pick = same[at : at + 16_384]
+            text = np.zeros((len(pick), ((length + 8) // 64 + 1) * 64), dtype=np.uint8)
+            text[:, :size] = letters[owner[pick], :size]
+            rest = place[pick]
+            for d in range(size + digits - 1, size - 1, -1):
+                text[:, d] = rest % 10 + 48
+                rest = rest // 10
+            text[:, size + digits : length] = np.frombuffer(tail, dtype=np.uint8)
+            text[:, length] = 0x80
+            text[:, -8:] = np.frombuffer((8 * length).to_bytes(8, "little"), dtype=np.uint8)
+            out[pick] = _md5_starts(np.ascontiguousarray(text.view("<u4").T))
+    return out
+
+
+def _md5_starts(words: np.ndarray) -> np.ndarray:
+    """First eight bytes of the md5 of padded messages, one a column of 32-bit words, as big-endian numbers."""
+    state = [np.full(words.shape[1], v, dtype=np.uint32) for v in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+    for block in range(0, len(words), 16):
+        a, b, c, d = state
+        for i in range(64):
+            if i < 16:
+                f, g = d ^ (b & (c ^ d)), i
+            elif i < 32:
+                f, g = c ^ (d & (b ^ c)), (5 * i + 1) % 16
+            elif i < 48:
+                f, g = b ^ c ^ d, (3 * i + 5) % 16
+            else:
+                f, g = c ^ (b | ~d), 7 * i % 16
+            f = f + a + words[block + g] + np.uint32(int(abs(math.sin(i + 1)) * (1 << 32)))
+            turn = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))[i // 16][i % 4]
+            a, d, c, b = d, c, b, b + ((f << np.uint32(turn)) | (f >> np.uint32(32 - turn)))
+        state = [s + v for s, v in zip(state, (a, b, c, d), strict=True)]
+    return state[0].byteswap().astype(np.uint64) << np.uint64(32) | state[1].byteswap()
+
+
 def stationary_runs(sessions: DataFrame, groups: Sequence[str], replicates: int, mean_length: float, seed: int) -> DataFrame:
     """Runs (groups, n, replicate, start, length) of the stationary bootstrap of sessions (groups, n rows).
 
@@ -36,32 +88,67 @@ def stationary_runs(sessions: DataFrame, groups: Sequence[str], replicates: int,
     """
     if mean_length < 1:
         raise ValueError("the mean run is at least one row")
-    n, at = F.col("n"), F.col("stretch") * STRETCH
-    plan = sessions.where("n > 0").select(*groups, n.cast("long").alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {STRETCH}"))).alias("stretch"))
+    stretch = max(STRETCH, int(mean_length))  # so that looking back costs no more than the stretch itself
+    n = F.col("n").cast("long")
+    plan = sessions.where("n > 0").select(*groups, n.alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {stretch}"))).alias("stretch"))
     plan = plan.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    chance = int((1 << 32) / mean_length)
-    below = F.lit(True) if chance >= 1 << 32 else None  # every place restarts
-
-    def restarts(p: Column) -> Column:
-        return (p == 0) | (below if below is not None else F.substring(F.md5(_key(seed, groups, p)), 1, 8) < f"{chance:08x}")
-
-    def drawn(p: Column) -> Column:
-        return F.struct(p.alias("p"), F.pmod(_digits(F.concat(_key(seed, groups, p), F.lit(":s")), 15), n).alias("start"))
-
     # Sessions are few rows, which would arrive in one task; the draws are as many as their rows and replicates.
     tasks = int(sessions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     plan = plan.repartition(tasks, *groups, "replicate", "stretch")
-    plan = plan.withColumn("low", at).withColumn("high", F.least(n, at + STRETCH))
-    plan = plan.withColumn("own", F.transform(F.filter(F.sequence(F.col("low"), F.col("high") - 1), restarts), drawn))
-    earlier = Window.partitionBy(*groups, "replicate").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-    plan = plan.withColumn("carry", F.last(F.get("own", F.size("own") - 1), ignorenulls=True).over(earlier))
-    ahead = F.struct(F.col("low").alias("p"), F.pmod(F.col("carry.start") + F.col("low") - F.col("carry.p"), n).alias("start"))
-    plan = plan.withColumn("all", F.when(F.col("carry").isNull(), F.col("own")).otherwise(F.concat(F.array(ahead), F.col("own"))))
-    ends = F.transform("all", lambda x, i: F.struct(x["start"].alias("start"), (F.coalesce(F.get("all", i + 1)["p"], F.col("high")) - x["p"]).alias("length")))
-    return plan.select(*groups, "n", "replicate", F.inline(F.filter(ends, lambda x: x["length"] > 0)))
-
-
-def run_ends(runs: DataFrame, groups: Sequence[str]) -> DataFrame:
+    plan = plan.select(*groups, "n", "replicate", (F.col("stretch") * stretch).alias("__low"), _key(seed, groups, F.lit("")).alias("__key"))
+    heads = [*groups, "n", "replicate"]
+    schema = T.StructType([*[plan.schema[c] for c in heads], T.StructField("start", T.LongType()), T.StructField("length", T.LongType())])
+    chance = int((1 << 32) / mean_length)
+    always = chance >= 1 << 32
+
+    def restarts(keys: np.ndarray, sizes: np.ndarray, owner: np.ndarray, place: np.ndarray) -> np.ndarray:
+        return np.ones(len(place), dtype=bool) if always else (place == 0) | (_digests(keys, sizes, owner, place, b"") >> np.uint64(32) < chance)
+
+    def runs_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        kept, heads_of = batch.select(heads), [k.encode() for k in batch.column("__key").to_pylist()]
+        keys, sizes = np.array(heads_of), np.array([len(k) for k in heads_of])
+        n, low = batch.column("n").to_numpy(), batch.column("__low").to_numpy()
+        count = np.minimum(n - low, stretch)
+        owner = np.repeat(np.arange(len(n)), count)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + low[owner]
+        new = restarts(keys, sizes, owner, place)
+        owner, place = owner[new], place[new]
+        # A stretch that does not begin with a restart goes on with the run of the last restart before it.
+        _, first = np.unique(owner, return_index=True)
+        carried = np.setdiff1d(np.arange(len(n)), owner[first][place[first] == low[owner[first]]])
+        source, seeking, upto = np.full(len(n), -1), carried, low[carried]
+        while len(seeking):
+            back = np.minimum(upto, max(16, int(4 * mean_length)))
+            who = np.repeat(np.arange(len(seeking)), back)
+            at = np.arange(len(who)) - np.repeat(np.cumsum(back) - back, back) + (upto - back)[who]
+            hit = restarts(keys, sizes, seeking[who], at)
+            np.maximum.at(source, seeking[who[hit]], at[hit])
+            upto, missed = upto - back, source[seeking] < 0
+            seeking, upto = seeking[missed], upto[missed]
+        owner, place, begin = np.r_[owner, carried], np.r_[place, source[carried]], np.r_[place, low[carried]]
+        order = np.lexsort((begin, owner))
+        owner, place, begin = owner[order], place[order], begin[order]
+        drawn = (_digests(keys, sizes, owner, place, b":s") >> np.uint64(4)).astype(np.int64)
+        end = np.r_[begin[1:], 0]
+        last = np.r_[owner[1:] != owner[:-1], True]
+        end[last] = (low + count)[owner[last]]
+        rows = kept.take(pa.array(owner))
+        start = (drawn % n[owner] + begin - place) % n[owner]
+        return pa.RecordBatch.from_arrays([*rows.columns, pa.array(start), pa.array(end - begin)], schema.fieldNames())
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = np.cumsum(np.minimum(batch.column("n").to_numpy() - batch.column("__low").to_numpy(), stretch))
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(places, (places[at - 1] if at else 0) + PLACES, side="right")))
+                yield runs_of(batch.slice(at, to - at))
+                at = to
+
+    return plan.mapInArrow(draw, schema)
+
+
+def _run_steps(runs: DataFrame, groups: Sequence[str]) -> DataFrame:
     """(groups, replicate, position, weight): +1 where runs begin and -1 after their ends, runs over a session's
     end cut into two. Running sums of the weights are the rows' multiplicities."""
     end, n = F.col("start") + F.col("length"), F.col("n")
@@ -71,7 +158,12 @@ def run_ends(runs: DataFrame, groups: Sequence[str]) -> DataFrame:
 
     whole = F.array(step(F.col("start"), 1), step(end, -1))
     wrapped = F.array(step(F.col("start"), 1), step(n, -1), step(F.lit(0), 1), step(end - n, -1))
-    steps = runs.select(*groups, "replicate", F.inline(F.when(end <= n, whole).otherwise(wrapped)))
+    return runs.select(*groups, "replicate", F.inline(F.when(end <= n, whole).otherwise(wrapped)))
+
+
+def run_ends(runs: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """(groups, replicate, position, weight): the steps of ``_run_steps``, equal positions added up."""
+    steps = _run_steps(runs, groups)
     return steps.groupBy(*groups, "replicate", "position").agg(F.sum("weight").alias("weight")).where("weight <> 0")
 
 
@@ -99,7 +191,12 @@ def stationary_bootstrap_means(
     rows = ordered_scan(df.where(F.col(value).isNotNull()), keys, order_by, slices, {"__i": row_no(), "__n": total(F.lit(1).cast("long")), "__sum": run_sum(value)})
     rows = cut_lineage(rows.select(*keys, "__i", "__n", F.col("__sum").alias("__upto")))
     sessions = rows.where("__i = 1").select(*keys, F.col("__n").alias("n"))
-    ends = run_ends(stationary_runs(sessions, keys, replicates, mean_length, seed), keys)
+    ends = _run_steps(stationary_runs(sessions, keys, replicates, mean_length, seed), keys)
+    # As many tasks as there are ends, so that what one of them sorts has a bound.
+    drawn = (sessions.agg(F.sum("n")).first()[0] or 0) * replicates * 2 / mean_length
+    tasks = math.ceil(drawn / ENDS_PER_TASK)
+    if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        ends = ends.repartition(tasks, *keys, "position")
     # The sum of all values before a position; before the first row it is nothing.
     found = ends.join(rows.select(*keys, F.col("__i").alias("position"), "__upto"), [*keys, "position"])
     sums = found.groupBy(*groups, "replicate").agg(F.sum(-F.col("weight") * F.col("__upto")).alias("sum"))
