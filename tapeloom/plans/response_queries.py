@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import responses as R
+from ..session import cut_lineage
 from .bindings import DAY, HOUR, TAPE_SQL, tape, time_slices
 from .registry import query
 
@@ -90,6 +91,6 @@ def response_family_estimates(spark, sf):
 @query("response_family")
 def response_family(spark, sf):
     """The same with ranks and step-down p-values over all cells of an arm."""
-    events, quiet = responses(spark, sf, _EVENT), responses(spark, sf, _QUIET)
+    events, quiet = cut_lineage(responses(spark, sf, _EVENT)), responses(spark, sf, _QUIET)
     differences = R.matched_differences(events, control_pairs(spark, sf), "seq", "control", quiet)
     return R.response_family(events, [], ["channel", "up"], "day", "seq", "ts_us", time_slices(spark, sf), lag=LAG, differences=differences)
