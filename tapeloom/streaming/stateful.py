@@ -7,6 +7,7 @@ also bounds the rows one key can bring to a task.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -152,6 +153,18 @@ def quadratic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float] | None
     return float(c - b * centre + a * centre**2), float(b - 2 * a * centre), float(a)
 
 
+def latest_in_cells(frames: Iterator[pd.DataFrame], member: str, width: int) -> pd.DataFrame:
+    """Each member's latest row (by ``ts_us, seq``) of every cell of time (g - width, g], in order, with ``first``, the
+    earliest instant of any row in the cell. Frames are reduced one by one."""
+    held = None
+    for pdf in frames:
+        pdf = pdf.assign(cell=-(-pdf["ts_us"] // width), first=pdf["ts_us"])
+        both = pdf if held is None else pd.concat([held, pdf])
+        both["first"] = both.groupby("cell")["first"].transform("min")
+        held = both.sort_values(["ts_us", "seq"]).drop_duplicates(["cell", member], keep="last")
+    return held
+
+
 def refresh_fits(rows: DataFrame, key: str, member: str, x: str, y: str, *, every_us: int, idle_us: int, watermark: str, at: str, least: int = 3) -> DataFrame:
     """A refit of the latest chain of each key at every instant of a grid that something changed before.
 
@@ -160,9 +173,12 @@ def refresh_fits(rows: DataFrame, key: str, member: str, x: str, y: str, *, ever
     if a row came in (g - every_us, g], and told once a later row of the key has come, so late data within
     a micro-batch counts. Output: key, fit_ts, members, changed, level, slope, curvature, status ('fit' or
     'too_few_members'). A key that was silent for more than ``idle_us`` starts anew, and its state is removed
-    once the watermark says so, so state holds live keys only. Rows older than the key's last told instant
-    are ignored.
+    once the watermark says so, so state holds live keys only.     Rows older than the key's last told instant
+    are ignored. A micro-batch is cut to each member's latest row of a cell of time while it is read, so a task's
+    memory grows with members and instants and not with rows.
     """
+    parts = max(1, -(-every_us // max(1, idle_us)))
+    width = every_us // next(k for k in count(parts) if every_us % k == 0)  # no silence that ends a chain fits into a cell
 
     def step(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         names = [key, "fit_ts", "members", "changed", "level", "slope", "curvature", "status"]
@@ -170,7 +186,7 @@ def refresh_fits(rows: DataFrame, key: str, member: str, x: str, y: str, *, ever
             state.remove()
             yield pd.DataFrame(columns=names)
             return
-        pdf = pd.concat(list(frames)).sort_values(["ts_us", "seq"])
+        pdf = latest_in_cells(frames, member, width)
         chain: dict[int, tuple[float, float]] = {}
         last, told, touched = -1, -1, set()
         if state.exists:
@@ -185,16 +201,16 @@ def refresh_fits(rows: DataFrame, key: str, member: str, x: str, y: str, *, ever
             out.append((keys[0], g, len(points), len(touched), *(fit or (None, None, None)), "fit" if fit else "too_few_members"))
             touched.clear()
 
-        for ts, m, vx, vy in zip(pdf["ts_us"], pdf[member], pdf[x], pdf[y], strict=True):
-            ts = int(ts)
+        for ts, first, m, vx, vy in zip(pdf["ts_us"], pdf["first"], pdf[member], pdf[x], pdf[y], strict=True):
+            ts, first = int(ts), int(first)
             if ts <= told:
                 continue
-            if last >= 0 and ts > last:
+            if last >= 0 and first > last:  # else the row's cell is open already, and nothing ends inside a cell
                 g = -(-last // every_us) * every_us  # the first instant at or after the last row
-                if touched and g < ts:
+                if touched and g < first:
                     tell(g)
                     told = g
-                if ts - last > idle_us:
+                if first - last > idle_us:
                     chain.clear()
                     touched.clear()
             chain[int(m)] = (float(vx), float(vy))
