@@ -66,14 +66,13 @@ def _rows(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.tapeloom.rowsPerSlice", "2000000"))
 
 
-def books(spark: SparkSession, sf_dir: str, levels: int = 6) -> DataFrame:
-    """Tape rows with two ladders derived from each row's own fields.
+def ladders(seq: Column, value: Column, levels: int = 6) -> tuple[Column, Column]:
+    """Both ladders (bids, asks) of a tape row, from its own fields.
 
     The base mid moves in whole ticks with ``value``; every 41st row is crossed and every 53rd
     has no bids, so the refusal branches are exercised.
     """
-    seq = F.col("seq")
-    base = F.lit(1000) + F.floor(F.col("value") / 20)
+    base = F.lit(1000) + F.floor(value / 20)
     half = F.when(seq % 41 == 0, F.lit(-2)).otherwise(1 + seq % 3)
     step = 1 + seq % 2
 
@@ -90,8 +89,13 @@ def books(spark: SparkSession, sf_dir: str, levels: int = 6) -> DataFrame:
     rungs = F.sequence(F.lit(0), F.lit(levels - 1))
     bids = F.transform(rungs, lambda i: level(i, -1))
     asks = F.transform(rungs, lambda i: level(i, 1))
-    rows = tape(spark, sf_dir)
-    return rows.withColumn("bids", F.when(seq % 53 == 0, F.slice(bids, 1, 0)).otherwise(bids)).withColumn("asks", asks)
+    return F.when(seq % 53 == 0, F.slice(bids, 1, 0)).otherwise(bids), asks
+
+
+def books(spark: SparkSession, sf_dir: str, levels: int = 6) -> DataFrame:
+    """Tape rows with the two ladders derived from each row's own fields, see ``ladders``."""
+    bids, asks = ladders(F.col("seq"), F.col("value"), levels)
+    return tape(spark, sf_dir).withColumn("bids", bids).withColumn("asks", asks)
 
 
 TAPE_SQL = """tape AS (SELECT user_id AS instrument_id, event_id AS seq, epoch_us(ts) AS ts_us,
