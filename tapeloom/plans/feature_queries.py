@@ -9,6 +9,7 @@ from ..operators import flow
 from ..operators.matching import nearest_control, relocations
 from ..operators.quantiles import quantiles
 from ..operators.slices import ordered_scan, prev, row_no
+from ..session import cut_lineage
 from .bindings import DAY, HOUR, TAPE_SQL, slices_for, table, tape, time_slices
 from .book_queries import ATOMIC_SQL, FAR, OVERLAP, atomic, moves
 from .registry import query
@@ -127,12 +128,14 @@ def forecast_quintile_ladder(spark, sf):
     f"""WITH {ATOMIC_SQL}, r AS (SELECT kind, max(distance) AS rim FROM atomic GROUP BY 1) SELECT a.kind, count(*) AS events, count(CASE WHEN rim - distance <= 0.1001 THEN 1 END) AS near_edge, round(sum(CASE WHEN rim - distance <= 0.1001 THEN magnitude ELSE 0 END) / sum(magnitude), 6) AS edge_mass FROM atomic a JOIN r ON a.kind = r.kind GROUP BY 1""",
 )
 def edge_proximity(spark, sf):
-    rows = atomic(spark, sf)
+    # Changes of one distance stand or fall together, so the rim is found among their sums and the changes are read once.
+    rows = atomic(spark, sf).groupBy("kind", "distance").agg(F.count(F.lit(1)).alias("n"), F.sum("magnitude").alias("mass"))
+    rows = cut_lineage(rows)
     rim = rows.groupBy("kind").agg(F.max("distance").alias("rim"))
     near = F.col("rim") - F.col("distance") <= 0.1001
     return rows.join(rim, "kind").groupBy("kind").agg(
-        F.count(F.lit(1)).alias("events"), F.count(F.when(near, 1)).alias("near_edge"),
-        F.round(F.sum(F.when(near, F.col("magnitude")).otherwise(0.0)) / F.sum("magnitude"), 6).alias("edge_mass"),
+        F.sum("n").alias("events"), F.sum(F.when(near, F.col("n")).otherwise(0)).alias("near_edge"),
+        F.round(F.sum(F.when(near, F.col("mass")).otherwise(0.0)) / F.sum("mass"), 6).alias("edge_mass"),
     )
 
 
