@@ -39,13 +39,15 @@ def quantiles(
     probs: Mapping[str, float],
     slices: Slices,
     convention: str = LINEAR,
+    weight: Column | None = None,
 ) -> DataFrame:
     """Named quantiles per group under one of the three conventions in use.
 
     ``linear`` interpolates at ``(n-1)p``; ``nearest_rank`` takes rank ``ceil(pn)``;
-    ``rounded_index`` takes index ``round((n-1)p)`` with half-even rounding.
+    ``rounded_index`` takes index ``round((n-1)p)`` with half-even rounding. A row counts ``weight``
+    times (a whole number), so values that are counted already need no second reading.
     """
-    pos = positions(df, groups, value, slices)
+    pos = positions(df, groups, value, slices, weight)
     n, lo, hi = F.col("size"), F.col("cum") - F.col("n"), F.col("cum")
 
     def at(rank: Column) -> Column:

@@ -10,10 +10,11 @@ from ..functions import book as B
 from ..functions import clock as C
 from ..operators import states as S
 from ..operators.asof import asof
-from ..operators.intervals import episodes, exposure_by_bucket, subtract_intervals, union_intervals
+from ..operators.intervals import episode_counts, episodes, exposure_by_bucket, subtract_intervals, union_intervals
 from ..operators.quantiles import positions, quantiles
 from ..operators.recurrence import greedy_non_overlapping, linear_recurrence, minimum_spacing
 from ..operators.slices import Slices, first_after, last, nxt, ordered_scan, prev, run_sum, sliding
+from ..session import cut_lineage
 from .asof_queries import MIDS_SQL, mids
 from .bindings import BOOKS_SQL, DAY, HOUR, KEYS, TAPE_SQL, books, slices_for, tape, time_slices
 from .book_queries import ATOMIC_SQL, FAR, atomic
@@ -362,6 +363,12 @@ def past_session_percentile(spark, sf):
 CUTS = (0.5, 0.9, 0.99)
 
 
+def magnitudes(spark, sf):
+    """How often each magnitude of a kind and side occurs, stored, with cuts of its values: the changes are read once."""
+    counted = cut_lineage(atomic(spark, sf).groupBy("kind", "side", "magnitude").agg(F.count(F.lit(1)).alias("n")))
+    return counted, slices_for(spark, sf, "atomic.magnitudes", counted, "magnitude")
+
+
 @query(
     "selectivity_curve",
     f"""WITH {ATOMIC_SQL}, c AS (SELECT *, cume_dist() OVER (PARTITION BY kind, side ORDER BY magnitude) AS pct FROM atomic), k AS (SELECT unnest([0.5, 0.9, 0.99]) AS cutoff),
@@ -370,16 +377,12 @@ CUTS = (0.5, 0.9, 0.99)
     SELECT kind, side, cutoff, CAST(sum(n) AS BIGINT) AS events, count(*) AS bursts, CAST(sum(new) AS BIGINT) AS episodes FROM f GROUP BY 1, 2, 3""",
 )
 def selectivity_curve(spark, sf):
-    rows = atomic(spark, sf)
     cell = ["kind", "side"]
-    cuts = slices_for(spark, sf, "atomic.magnitude", rows.select("magnitude"), "magnitude")
-    pct = positions(rows, cell, "magnitude", cuts).select(*cell, "magnitude", (F.col("cum") / F.col("size")).alias("pct"))
-    passed = F.filter(F.array(*[F.lit(c) for c in CUTS]), lambda c: c <= F.col("pct"))
-    kept = rows.join(pct, [*cell, "magnitude"]).select(*cell, "instrument_id", "ts_us", F.explode(passed).alias("cutoff"))
-    e = episodes(kept, [*cell, "cutoff", "instrument_id"], "ts_us", EPI_W, time_slices(spark, sf))
-    return e.groupBy(*cell, "cutoff").agg(
-        F.sum("events").alias("events"), F.sum("bursts").alias("bursts"), F.count(F.lit(1)).alias("episodes")
-    )
+    counted, cuts = magnitudes(spark, sf)
+    pct = positions(counted, cell, "magnitude", cuts, F.col("n")).select(*cell, "magnitude", (F.col("cum") / F.col("size")).alias("pct"))
+    rows = atomic(spark, sf).select(*cell, "magnitude", "instrument_id", "ts_us").join(pct, [*cell, "magnitude"])
+    out = episode_counts(rows, cell, KEYS, "ts_us", EPI_W, time_slices(spark, sf), {str(c): F.col("pct") >= c for c in CUTS})
+    return out.select(*cell, F.col("level").cast("double").alias("cutoff"), "events", "bursts", "episodes")
 
 
 @query(
@@ -387,11 +390,8 @@ def selectivity_curve(spark, sf):
     f"""WITH {ATOMIC_SQL} SELECT kind, side, count(*) AS n, round(quantile_cont(magnitude, 0.5), 6) AS p50, round(quantile_cont(magnitude, 0.9), 6) AS p90, round(quantile_cont(magnitude, 0.99), 6) AS p99 FROM atomic GROUP BY 1, 2""",
 )
 def in_sample_magnitude_cutoffs(spark, sf):
-    rows = atomic(spark, sf)
-    q = quantiles(
-        rows, ["kind", "side"], "magnitude", {"p50": 0.5, "p90": 0.9, "p99": 0.99},
-        slices_for(spark, sf, "atomic.magnitude", rows.select("magnitude"), "magnitude"),
-    )
+    counted, cuts = magnitudes(spark, sf)
+    q = quantiles(counted, ["kind", "side"], "magnitude", {"p50": 0.5, "p90": 0.9, "p99": 0.99}, cuts, weight=F.col("n"))
     return q.select("kind", "side", "n", *[F.round(p, 6).alias(p) for p in ("p50", "p90", "p99")])
 
 
