@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import gate as T
 from ..operators import gram as G
 from ..operators.slices import ordered_scan, row_no
+from ..session import cut_lineage
 from .bindings import HOUR, TAPE_SQL, slices_for, table, tape, time_slices, train_until
 from .registry import query
 
@@ -155,7 +156,8 @@ def nonlinear_gate(spark, sf):
     """Chance that the forecasts win the next hours, from hinges of the print's own state."""
     cut = train_until(spark, sf)
     rows = heights(spark, sf).withColumn("split", F.when(F.col("ts_us") <= cut * 1.0 - AHEAD, "train").when(F.col("ts_us") > cut, "validation").otherwise("embargo"))
-    rows = rows.withColumn("far", F.abs(F.col("value") - 50)).withColumn("hour", F.expr(f"ts_us div {HOUR} % 24").cast("double"))
+    # Cuts, means and knots of three columns read the rows a dozen times, so heights are worked out once.
+    rows = cut_lineage(rows.withColumn("far", F.abs(F.col("value") - 50)).withColumn("hour", F.expr(f"ts_us div {HOUR} % 24").cast("double")))
     cuts = {c: slices_for(spark, sf, f"gate.{c}", rows, c) for c in ("value", "far", "hour")}
     out, _ = T.fit_gate(rows, ["value", "far", "hour"], "height", "split", (1.0, 10.0), [(0, 1), (1, 2)], cuts)
     return out.select("channel", "seq", "split", F.round("gate", 6).alias("gate"))

@@ -169,3 +169,14 @@ def test_gate_learns_hinges_and_keeps_unknown_rows(spark):
     assert report["penalty"] in (0.1, 1.0) and report["n"] == 398 and report["gradient"] < 1e-3
     known = [i for i in range(400, 600)]
     assert np.corrcoef([got[i] for i in known], chance[known])[0, 1] > 0.85
+
+
+def test_gate_reads_stored_heights(spark, sf):
+    from unittest import mock
+
+    from tapeloom.plans import gram_queries
+
+    with mock.patch.object(gram_queries.T, "fit_gate", side_effect=gram_queries.T.fit_gate) as fit:
+        gram_queries.nonlinear_gate(spark, sf)
+    plan = fit.call_args.args[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" in plan and "Join" not in plan and "Window" not in plan
