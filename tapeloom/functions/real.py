@@ -35,6 +35,15 @@ def ln_ratio(a: Column | str, b: Column | str) -> Column:
     )
 
 
+def rounded(value: Column | str, digits: int) -> Column:
+    """``value`` to so many decimals as the SQL rounds: scaled, half away from zero, scaled back.
+
+    Spark's own ``round`` reads the number's shortest decimal instead, so a double just beside a tie may go the other way.
+    """
+    scale = float(10**digits)
+    return F.round(_c(value) * scale) / scale
+
+
 def sign(value: Column | str) -> Column:
     """-1, 0 or 1; 0 for NaN."""
     v = _c(value)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.real import divide, sign
+from ..functions.real import divide, rounded, sign
 from ..operators import bars as R
 from ..operators.quantiles import quantiles
 from ..operators.slices import ordered_scan, prev, row_no, sliding
@@ -153,9 +153,9 @@ def prior_close_returns(spark, sf):
     two = ordered_scan(one, KEYS, ["bar_start"], cuts, {"c2": prev("c1")})
     return two.select(
         "instrument_id", F.expr(f"bar_start div {DAY}").alias("day"),
-        F.round(100 * (divide("open", "c1") - 1), 4).alias("gap_pct"),
-        F.round(100 * (divide("close", "open") - 1), 4).alias("intraday_pct"),
-        F.round(100 * (divide("c1", "c2") - 1), 4).alias("prior_return_pct"),
+        rounded(100 * (divide("open", "c1") - 1), 4).alias("gap_pct"),
+        rounded(100 * (divide("close", "open") - 1), 4).alias("intraday_pct"),
+        rounded(100 * (divide("c1", "c2") - 1), 4).alias("prior_return_pct"),
     )
 
 
