@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import book as B
-from ..functions.real import ln_ratio
+from ..functions.real import ln_ratio, rounded
 from ..operators.asof import asof
 from ..operators.orders import first_failing
 from ..operators.slices import ordered_scan, prev, row_no, sliding
@@ -114,7 +114,7 @@ def rolling_activity_windows(spark, sf):
         },
         back=3 * DAY,
     )
-    return out.select("instrument_id", "seq", F.round("rv", 6).alias("realized_volatility"), "trade_volume")
+    return out.select("instrument_id", "seq", rounded("rv", 6).alias("realized_volatility"), "trade_volume")
 
 
 @query(
