@@ -197,8 +197,9 @@ def stationary_bootstrap_means(
     tasks = math.ceil(drawn / ENDS_PER_TASK)
     if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
         ends = ends.repartition(tasks, *keys, "position")
-    # The sum of all values before a position; before the first row it is nothing.
-    found = ends.join(rows.select(*keys, F.col("__i").alias("position"), "__upto"), [*keys, "position"])
+    # The sum of all values before a position; before the first row it is nothing. Both sides grow with the rows, and
+    # ends are estimated from the file alone, without replicates, so neither may be broadcast.
+    found = ends.join(rows.select(*keys, F.col("__i").alias("position"), "__upto").hint("merge"), [*keys, "position"])
     sums = found.groupBy(*groups, "replicate").agg(F.sum(-F.col("weight") * F.col("__upto")).alias("sum"))
     sizes = sessions.groupBy(*groups).agg(F.sum("n").alias("n"))
     both = sums.join(sizes, list(groups)) if groups else sums.crossJoin(F.broadcast(sizes))
