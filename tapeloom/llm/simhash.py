@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from .common import discard, small_batches, stored, table
 from .components import connected_components
-from .ngram_join import Settings, _Hashes, links_in_blocks, shingle_set, text_key, with_times
+from .ngram_join import Settings, _Hashes, _mixed, band_keys, count_vectors, links_in_blocks, shingle_set, text_key, with_times
 from .registry import query
 
 #: Runs up to this long are compared offset by offset for a whole batch at once.
@@ -264,7 +264,8 @@ def op6_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- a given similarity -------------------------------------------------------------------------
 # Three bits of 64 mean near identity. For a looser similarity the fingerprint is wider, so that the number
-# of differing bits tells the similarity, and groups fix sampled bits, as no exact rule has few groups there.
+# of differing bits tells the similarity; sampled bits of it find most pairs, but not all, so the stage
+# ``drop_near_copies`` does not search by them.
 
 
 def wide_fingerprint(text: str | None, words: int = 5, lanes: int = 4) -> bytes:
@@ -355,97 +356,215 @@ def _wide_links(code: np.ndarray, fps: np.ndarray, most: int) -> list[tuple[int,
     return links
 
 
-def candidate_pairs(nodes: DataFrame, plan: Tables, most: int, lanes: int = 4, seed: int = 17) -> DataFrame:
-    """Pairs (a, b), a < b, of ``nodes(node, fp)`` that agree on the sampled bits of a table and differ in at most
-    ``most`` bits: a spanning forest of each group's pairs.
+# ---- near copies by exact sets ------------------------------------------------------------------
+# Two proposers, both exact: fingerprints within three bits, found by pivots, and sets that share a band (see
+# ``ngram_join``), of which every pair of the given similarity has one. Count vectors bound the overlap of a pair
+# from above, so a proposal of bands that cannot hold goes before blocks are made.
 
-    A node goes to one group for each table. Groups hold few unrelated fingerprints at any table size,
-    see ``tables_for``.
-    """
-    bits = 64 * lanes
-    rng = np.random.default_rng(seed)
-    sampled = [np.sort(rng.choice(bits, plan.bits, replace=False)) for _ in range(plan.tables)]
-    value = 1 << np.arange(plan.bits, dtype=np.int64)
+#: Members of a band up to this many are proposed pair by pair; more are searched as a group of their own.
+PAIRED = 64
+_FULL = 65_535
+
+
+def _keys(shingles: np.ndarray, s: Settings) -> np.ndarray:
+    """Band keys and a key of the whole set: texts that differ may have equal sets, which small sets have no band for."""
+    own = np.uint64(len(shingles)) + _mixed(shingles).sum(dtype=np.uint64)
+    return np.r_[band_keys(shingles, s), _mixed(own[None])] if len(shingles) else band_keys(shingles, s)
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(-1, bits // 8)
-            each = np.unpackbits(raw, axis=1, bitorder="little").astype(np.int64)
-            for n, own in enumerate(sampled):
-                codes = (n << plan.bits) + each[:, own] @ value
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes)], names=[*batch.schema.names, "code"])
+
+def _sketches(docs: DataFrame, s: Settings) -> DataFrame:
+    """(doc_id, same_text, uid, fp, n_shingles, counts, keys) of each row: fingerprint, size, count vector and band keys
+    of its set of shingles."""
+    small_batches(docs.sparkSession)
+    source = docs.select("doc_id", text_key().alias("same_text"), F.monotonically_increasing_id().alias("uid"), F.col("text").alias("__text"))
+    kept = ["doc_id", "same_text", "uid"]
+    made = [
+        T.StructField("fp", T.LongType()), T.StructField("n_shingles", T.LongType()),
+        T.StructField("counts", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType())),
+    ]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(code: np.ndarray, node: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
-            sets = _Sets()
-            found = [x for x in _wide_links(code, fps, most) if sets.join(int(node[x[0]]), int(node[x[1]]))]
-            if found:
-                a, b = node[np.array(found, dtype=np.int64).T]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-        parts: list[tuple[np.ndarray, ...]] = []
+        hashes = _Hashes()
         for batch in batches:
             if not batch.num_rows:
                 continue
-            fps = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint64).reshape(-1, lanes)
-            code = batch.column(2).to_numpy()
-            parts.append((code, batch.column(0).to_numpy(), fps))
-            if code[0] == code[-1] == parts[0][0][-1]:
-                continue  # still inside one group
-            held = [np.concatenate(x) for x in zip(*parts, strict=True)]
-            cut = int(np.searchsorted(held[0], held[0][-1], side="left"))
-            parts = [tuple(x[cut:] for x in held)]
-            if cut:
-                yield from pairs(*(x[:cut] for x in held))
-        if parts:
-            yield from pairs(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            texts = batch.column(3).to_pylist()
+            sets = [shingle_set((t or "").encode("utf-8", "surrogatepass"), s.words, hashes) for t in texts]
+            counts = np.minimum(count_vectors(sets, s.groups), _FULL).astype("<u2")
+            columns = [
+                pa.array([fingerprint(t, s.words) for t in texts], pa.int64()), pa.array([len(x) for x in sets], pa.int64()),
+                pa.array([x.tobytes() for x in counts], pa.binary()), pa.array([_keys(x, s).view(np.int64) for x in sets], pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=[*kept, *(f.name for f in made)])
+
+    return source.mapInArrow(run, T.StructType([*(source.schema[c] for c in kept), *made]))
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, uid), sorted by key, whose key another row has too."""
+    held: tuple | None = None  # the last row waits for the one after it; whether the one before has its key
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, uid = (batch.column(k).to_numpy() for k in (0, 1))
+        if held:
+            key, uid = np.r_[held[0], key], np.r_[held[1], uid]
+        same = key[1:] == key[:-1]
+        keep = np.r_[bool(held and held[2]), same] | np.r_[same, False]
+        out = keep[:-1]
+        yield pa.RecordBatch.from_arrays([pa.array(key[:-1][out]), pa.array(uid[:-1][out])], names=["key", "uid"])
+        held = key[-1], uid[-1], keep[-1]
+    if held and held[2]:
+        yield pa.RecordBatch.from_arrays([pa.array([held[0]], pa.int64()), pa.array([held[1]], pa.int64())], names=["key", "uid"])
+
+
+def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches sorted by their first column, cut only where it changes."""
+    parts: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        parts.append(batch)
+        if batch.column(0)[0] == batch.column(0)[-1] == parts[0].column(0)[-1]:
+            continue  # still inside one run
+        whole = pa.Table.from_batches(parts)
+        key = whole.column(0).to_numpy()
+        cut = int(np.searchsorted(key, key[-1], side="left"))
+        parts = whole.slice(cut).combine_chunks().to_batches()
+        if cut:
+            yield whole.slice(0, cut)
+    if parts:
+        yield pa.Table.from_batches(parts)
+
+
+def _starts(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    return start, np.diff(np.r_[start, len(key)])
+
+
+def _vectors(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u2").reshape(len(column), -1)
+
+
+def _may_be_alike(counts: np.ndarray, size: np.ndarray, other: np.ndarray, other_size: np.ndarray, share: int) -> np.ndarray:
+    """Whether the summed minima allow the overlap; a count that is full says nothing."""
+    bound = np.minimum(counts, other).sum(axis=-1, dtype=np.int64)
+    full = (counts == _FULL).any(axis=-1) & (other == _FULL).any(axis=-1)
+    return full | ((100 + share) * bound >= share * (size + other_size))
+
+
+def _flood_alike(node: np.ndarray, size: np.ndarray, counts: np.ndarray, share: int) -> list[tuple[int, int]]:
+    """A spanning forest of what may be alike among the members of one band; over a block, all stay together."""
+    if len(node) > BLOCK:
+        return [(int(node[0]), int(y)) for y in node[1:]]
+    rest, links = np.arange(len(node)), []
+    while len(rest):
+        front, rest = [int(rest[0])], rest[1:]
+        while front and len(rest):
+            x = front.pop()
+            near = _may_be_alike(counts[rest], size[rest], counts[x], size[x], share)
+            links += [(int(node[x]), int(node[y])) for y in rest[near]]
+            front += rest[near].tolist()
+            rest = rest[~near]
+    return links
 
-    small_batches(nodes.sparkSession, 4096)
-    dealt = nodes.select("node", "fp").mapInArrow(deal, "node long, fp binary, code long")
-    return dealt.repartition("code").sortWithinPartitions("code", "node").mapInArrow(run, "a long, b long").distinct()
 
+def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-def _sketches(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, same_text, fp, n_shingles) of each row: wide fingerprint and number of distinct shingles."""
-    small_batches(docs.sparkSession)
-    source = docs.select("doc_id", text_key().alias("same_text"), F.col("text").alias("__text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
-        for batch in batches:
-            texts = batch.column(2).to_pylist()
-            fps = pa.array([wide_fingerprint(t, words) for t in texts], pa.binary())
-            sizes = [len(shingle_set((t or "").encode("utf-8", "surrogatepass"), words, hashes)) for t in texts]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], fps, pa.array(sizes, pa.int64())], names=["doc_id", "same_text", "fp", "n_shingles"])
+def pairs_by_bands(keys: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
+    """Pairs (a, b) that connect all nodes of ``nodes(node, n_shingles, counts)`` whose sets link, and few others.
+
+    ``keys(key, node)`` are the band keys, of which linked sets share one. Where few nodes share a key all their pairs
+    are tested, once each; where many do, the key's nodes are searched as a group; a group over a block
+    stays whole, for the block's tiles to be decided.
+    """
+    spark, share = keys.sparkSession, s.share
+    sized = nodes.select("node", "n_shingles")
 
-    fields = [source.schema["doc_id"], source.schema["same_text"], T.StructField("fp", T.BinaryType()), T.StructField("n_shingles", T.LongType())]
-    return source.mapInArrow(run, T.StructType(fields))
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for runs in _whole_runs(batches):
+            key, node, size = (runs.column(k).to_numpy() for k in range(3))
+            start, length = _starts(key)
+            of_run = np.repeat(length, length)
+            at = np.flatnonzero((of_run > 1) & (of_run <= PAIRED))
+            found = [np.empty((0, 2), dtype=np.int64)]
+            for step in range(1, PAIRED):
+                i = np.flatnonzero(key[at][step:] == key[at][:-step])
+                if not len(i):
+                    break
+                x, y = at[i], at[i + step]
+                fits = share * size[y] <= 100 * size[x]
+                found.append(np.c_[np.minimum(node[x], node[y]), np.maximum(node[x], node[y])][fits])
+            pairs, many = np.unique(np.concatenate(found), axis=0), np.flatnonzero(of_run > PAIRED)
+            columns = [np.r_[pairs[:, 0], node[many]], np.r_[pairs[:, 1], np.zeros(len(many), np.int64)], np.r_[np.zeros(len(pairs), np.int64), key[many]]]
+            alone = np.r_[np.zeros(len(pairs), bool), np.ones(len(many), bool)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(alone)], names=["a", "b", "key", "many"])
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a, b, n, m = (batch.column(k).to_numpy() for k in range(4))
+                near = _may_be_alike(_vectors(batch.column(4)), n, _vectors(batch.column(5)), m, share)
+                yield _pair_batch(a[near], b[near])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for runs in _whole_runs(batches):
+            key, node, size = (runs.column(k).to_numpy() for k in range(3))
+            counts, sets = _vectors(runs.column(3)), _Sets()
+            links = [x for at, n in zip(*_starts(key), strict=True) for x in _flood_alike(node[at : at + n], size[at : at + n], counts[at : at + n], share) if sets.join(*x)]
+            if links:
+                yield _pair_batch(*np.array(links, dtype=np.int64).T)
+
+    small_batches(spark, 16_384)
+    members = keys.join(sized, "node").select("key", "node", "n_shingles")
+    found = members.repartition("key").sortWithinPartitions("key", "n_shingles", "node").mapInArrow(deal, "a long, b long, key long, many boolean")
+    found = stored(found, "simhash-pairs")
+    first, second = (nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("counts").alias(f"counts_{x}")) for x in "ab")
+    few = found.where("NOT many").select("a", "b").distinct().join(first, "a").join(second, "b")
+    few = few.select("a", "b", "n_a", "n_b", "counts_a", "counts_b").mapInArrow(test, "a long, b long")
+    many = found.where("many").select("key", F.col("a").alias("node")).join(nodes.select("node", "n_shingles", "counts"), "node")
+    many = many.select("key", "node", "n_shingles", "counts").repartition("key").sortWithinPartitions("key", "n_shingles", "node")
+    many = many.mapInArrow(search, "a long, b long")
+    out = stored(few.unionByName(many), "simhash-alike")
+    discard(found)
+    return out
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of each component kept: the one with the smallest doc_id, then text hash.
 
     Links join texts whose five-word shingle sets have at least the given similarity; texts without words
-    are linked with each other. Equal texts are one node before the search. Fingerprints only propose
-    pairs, as spanning forests, and what these connect is a block; all pairs of a block are then decided on
-    the exact sets (``links_in_blocks``), so a proposal that fails parts nobody and no table of pairs is
-    made. Texts are never written: they are read for the fingerprints, for the sets of proposed nodes, and
+    are linked with each other. Equal texts are one node before the search. SimHash fingerprints within three
+    bits, found by pivots (``near_copy_groups``), and shared bands (``pairs_by_bands``) propose; bands leave no
+    link out, so the result does not hang on chance. What proposals connect is a block; all pairs of a block are
+    then decided on the exact sets (``links_in_blocks``), so a proposal that fails parts nobody and no table of pairs
+    is made. Texts are never written: they are read for the sketches, for the sets of proposed nodes, and
     to be returned, where rows to leave out are told by id and text hash. Rows equal in both are one.
     Null ids come after all others.
     """
-    rows = stored(_sketches(docs, words), "simhash-rows")
+    s = Settings(words=words, share=round(100 * similarity))
+    whole = stored(_sketches(docs, s), "simhash-sketches")
+    small_batches(docs.sparkSession, 65_536)
+    keys = whole.select(F.explode("keys").alias("key"), "uid").repartition("key").sortWithinPartitions("key")
+    keys = stored(keys.mapInArrow(_shared, "key long, uid long"), "simhash-keys")
+    rows = stored(whole.drop("keys"), "simhash-rows")
+    discard(whole)
     least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id")).alias("least")
-    nodes = rows.groupBy("same_text").agg(F.first("fp").alias("fp"), F.first("n_shingles").alias("n_shingles"), least)
-    nodes = stored(nodes.select(F.monotonically_increasing_id().alias("node"), "same_text", "fp", "n_shingles", "least"), "simhash-nodes")
-    plan, most = tables_for(nodes.count(), similarity), widest(similarity, 256)
-    proposed = stored(candidate_pairs(nodes, plan, most), "simhash-candidates")
+    nodes = rows.groupBy("same_text").agg(F.min("uid").alias("node"), *[F.first(c).alias(c) for c in ("fp", "n_shingles", "counts")], least)
+    nodes = stored(nodes, "simhash-nodes")
+    of = rows.select("uid", "same_text").join(nodes.select("same_text", "node"), "same_text").select("uid", "node")
+    banded = pairs_by_bands(keys.join(of, "uid").select("key", "node").distinct(), nodes, s)
+    groups = stored(near_copy_groups(nodes.select("fp", F.col("node").alias("id"))), "simhash-groups")
+    near = nodes.select("node", "fp").join(groups, "fp").where("node <> group_id").select(F.col("node").alias("a"), F.col("group_id").alias("b"))
+    proposed = stored(banded.unionByName(near).distinct(), "simhash-candidates")
+    discard(keys, banded, groups)
     blocks = connected_components(proposed, "simhash-blocks").select("node", F.col("component").alias("block"))
     seen = stored(rows.groupBy("doc_id", "same_text").agg(F.count("*").alias("times")), "simhash-seen")
     members = nodes.join(blocks, "node").select("node", "block", "n_shingles", "least.doc_id", "same_text")
     members = stored(with_times(members, seen.where("times > 1")), "simhash-members")
-    links = links_in_blocks(members, docs, Settings(words=words, share=round(100 * similarity)))
+    links = links_in_blocks(members, docs, s)
     discard(proposed, members)
     member = stored(connected_components(links, "simhash-components").select("node", "component"), "simhash-classes")
     whole = nodes.select("node", "same_text", "least").join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
